@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, simhash, url_filter
+from . import bpe, fingerprint, line_dedup, quality_rules, simhash, url_filter
 from ._shared import table
 
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -34,6 +34,35 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_verdicts(table(spark, sf_dir, "documents")).drop("host")
+
+
+OP3_SQL = """
+with t as (select doc_id, source, coalesce(text, '') as text from documents),
+w as (select *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') as words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as lines from t),
+f as (select doc_id, source, cast(len(words) as bigint) as n_words, cast(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) as bigint) as word_chars,
+  cast(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as bigint) as n_symbols, cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines,
+  words from w),
+g as (select doc_id, unnest(range(1, len(words) - 1)) as i, words from f),
+h as (select doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] as win from g),
+r as (select doc_id, i from (select *, count(*) over (partition by doc_id, win) as n from h) where n >= 2),
+p as (select doc_id, count(distinct pos) as n from (select doc_id, unnest([i, i + 1, i + 2]) as pos from r) group by doc_id),
+b as (select f.doc_id, source, n_words, word_chars, n_symbols, n_dup_lines, cast(coalesce(p.n, 0) as bigint) as n_repeat_words,
+  n_words < 50 or 100 * coalesce(p.n, 0) > 50 * n_words as base_failed from f left join p using (doc_id)),
+s as (select source, count(*) as n, count(*) filter (where base_failed) as bad, count(*) filter (where base_failed) / count(*) as rate from b group by source),
+m as (select avg(rate) as mean, var_pop(rate) as v from s),
+k as (select mean, case when v > 0 then greatest(mean * (1 - mean) / v - 1, 0) else 1e6 end as strength from m),
+d as (select source, (bad + mean * strength) / (n + strength) > 0.75 as host_failed from s, k)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not (base_failed or host_failed) as kept
+from b join d on b.source is not distinct from d.source
+"""
+
+
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -67,8 +96,10 @@ select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from m w
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_quality_rules": op3_quality_rules,
+    "op4_fingerprints": op4_fingerprints,
     "op7_line_dedup": op7_line_dedup,
     "op10_url_filter": op10_url_filter,
 }
 
-SQL: dict[str, str] = {"op7_line_dedup": OP7_SQL, "op10_url_filter": OP10_SQL}
+SQL: dict[str, str] = {"op3_quality_rules": OP3_SQL, "op7_line_dedup": OP7_SQL, "op10_url_filter": OP10_SQL}
