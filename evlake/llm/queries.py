@@ -8,11 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, line_dedup, quality_rules, simhash, url_filter
+from . import bpe, fingerprint, line_dedup, pii, quality_rules, simhash, url_filter
 from ._shared import table
 
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
 
+#: A deployment puts its own secret here.
+PSEUDONYM_KEY = "example pseudonym key"
+
 URL_RULES = [
     ("allow", "org", "/"),
     ("block", "example.org", "/es/"),
@@ -80,6 +83,10 @@ from d group by doc_id
 """
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_verdicts(table(spark, sf_dir, "pages"), URL_RULES, default="allow")
 
@@ -99,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_fingerprints": op4_fingerprints,
     "op7_line_dedup": op7_line_dedup,
+    "op8_pii": op8_pii,
     "op10_url_filter": op10_url_filter,
 }
 
