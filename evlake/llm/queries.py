@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, line_dedup, pii, quality_rules, simhash, url_filter
+from . import bpe, fingerprint, line_dedup, pii, quality_model, quality_rules, simhash, url_filter
 from ._shared import table
 
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -66,6 +66,17 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+#: Scores from here on predict label 1.
+GOOD_SCORE = 0.7
+
+
+def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality_model.train(docs, table(spark, sf_dir, "labels"))
+    found = quality_model.score(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", quality_model.held_out().alias("held_out"), "score", (F.col("score") >= GOOD_SCORE).cast("int").alias("predicted"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -105,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_quality_rules": op3_quality_rules,
     "op4_fingerprints": op4_fingerprints,
+    "op6_quality_model": op6_quality_model,
     "op7_line_dedup": op7_line_dedup,
     "op8_pii": op8_pii,
     "op10_url_filter": op10_url_filter,
