@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, line_dedup, pii, quality_model, quality_rules, simhash, url_filter
+from . import bpe, fingerprint, line_dedup, packing, pii, quality_model, quality_rules, simhash, url_filter
 from ._shared import table
 
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
+WORD_TOKENIZER = "word_bpe_49k.json"
 
 #: A deployment puts its own secret here.
 PSEUDONYM_KEY = "example pseudonym key"
@@ -98,6 +99,11 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_TOKENIZER), end_id=1, window=2048)
+    return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_verdicts(table(spark, sf_dir, "pages"), URL_RULES, default="allow")
 
@@ -119,6 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_model": op6_quality_model,
     "op7_line_dedup": op7_line_dedup,
     "op8_pii": op8_pii,
+    "op9_packing": op9_packing,
     "op10_url_filter": op10_url_filter,
 }
 
