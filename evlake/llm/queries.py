@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, line_dedup, packing, pii, quality_model, quality_rules, simhash, url_filter
+from . import bpe, fingerprint, line_dedup, packing, pii, quality_model, quality_rules, simhash, substring_dedup, url_filter
 from ._shared import table
 
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -67,6 +67,17 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows, cut = substring_dedup.without_repeats(docs)
+    # equal rows are cut alike, and one of them stands for all
+    lost = cut.select("doc", "h", F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]).alias("lost"), F.size("spans").cast("long").alias("n_cut"), F.sha2("kept", 256).alias("cut_sha")).dropDuplicates(["doc", "h"])
+    text = F.coalesce("text", F.lit(""))
+    whole = docs.select("doc_id", F.coalesce("doc_id", F.lit(-(2**63))).alias("doc"), F.xxhash64(text).alias("h"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("sha"))
+    joined = whole.join(lost, ["doc", "h"], "left")
+    return joined.select("doc_id", "n_bytes", F.coalesce("lost", F.lit(0)).alias("n_removed"), F.coalesce("n_cut", F.lit(0)).alias("n_spans"), F.coalesce("cut_sha", "sha").alias("kept_sha256"))
+
+
 #: Scores from here on predict label 1.
 GOOD_SCORE = 0.7
 
@@ -122,6 +133,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_quality_rules": op3_quality_rules,
     "op4_fingerprints": op4_fingerprints,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_quality_model": op6_quality_model,
     "op7_line_dedup": op7_line_dedup,
     "op8_pii": op8_pii,
