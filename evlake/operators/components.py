@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import written
+from .storage import written
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -20,10 +20,10 @@ def _least(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
     """(node, root) for every node of an edge; root is the least node of its component.
 
-    Each round hooks every node to a smaller one and is written to shared storage.
-    Nulls and self-loops are ignored; repeated edges count once; no edges give no rows.
+    Nodes are of any orderable type. Each round hooks every node to a smaller one and is written to
+    shared storage. Nulls and self-loops are ignored; repeated edges count once; no edges give no rows.
     """
-    a, b = F.col(left).cast("long"), F.col(right).cast("long")
+    a, b = F.col(left), F.col(right)
     now = written(edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
     state = _state(now)
     while state[0]:

@@ -1,7 +1,10 @@
-"""The registered queries of the library and their SQL."""
+"""All registered queries."""
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-SQL: dict = {}
+from . import record_queries, view_queries  # noqa: F401  they register themselves
+from .registry import QUERIES, SQL
+
+FLAGSHIP = "frontier"
+
+__all__ = ["FLAGSHIP", "QUERIES", "SQL"]
