@@ -34,10 +34,9 @@ def digest(canon: Column) -> Column:
 def split_buckets(canons: DataFrame) -> DataFrame:
     """Digests of canons(digest, canon) under which different canonical texts lie, found by comparing bytes.
 
-    Texts are combined within each map task, so that copies don't travel.
+    Copies are combined within each map task, and each different text travels once.
     """
-    found = canons.groupBy("digest").agg(F.min("canon").alias("least"), F.max("canon").alias("most"))
-    return found.where("least <> most").select("digest")
+    return canons.distinct().groupBy("digest").count().where("count > 1").select("digest")
 
 
 def fingerprint_name(digest_col: Column, is_split: Column, canon_sha: Column) -> Column:
@@ -100,18 +99,23 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     edited = F.concat(F.left(F.col("text"), n - half), F.left(F.col("next_text"), half))
     both = with_next(texts).select(
         "doc_id", n.cast("long").alias("n_chars"), F.sha2(edited, 256).alias("edited_sha256"), canonical(F.col("text")).alias("canon"), canonical(edited).alias("edited"), canonical(F.col("next_text")).alias("next"))
+    sha = lambda text: F.unhex(F.sha2(text, 256))
     slim = both.select(
-        "doc_id", "n_chars", "edited_sha256", digest(F.col("canon")).alias("digest"), digest(F.col("edited")).alias("edited_digest"), F.sha2("canon", 256).alias("sha"), F.sha2("edited", 256).alias("edited_sha"),
-        (F.col("canon") == F.col("edited")).cast("double").alias("near_edited"), (F.col("canon") == F.col("next")).cast("double").alias("near_next"))
+        "doc_id", "n_chars", F.unhex("edited_sha256").alias("edited_sha256"), F.unhex(digest(F.col("canon"))).alias("digest"), F.unhex(digest(F.col("edited"))).alias("edited_digest"),
+        sha("canon").alias("sha"), sha("edited").alias("edited_sha"), (F.col("canon") == F.col("edited")).cast("double").alias("near_edited"), (F.col("canon") == F.col("next")).cast("double").alias("near_next"))
     slim = written(slim, "digests")
     canons = texts.select(canonical(F.col("text")).alias("canon"))
-    split = split_buckets(canons.select(digest(F.col("canon")).alias("digest"), "canon"))
+    split = split_buckets(canons.select(F.unhex(digest(F.col("canon"))).alias("digest"), "canon"))
     named = slim.select("digest", "sha").unionByName(slim.select(F.col("edited_digest").alias("digest"), F.col("edited_sha").alias("sha")))
-    split = split.unionByName(named.groupBy("digest").agg(F.min("sha").alias("least"), F.max("sha").alias("most")).where("least <> most").select("digest")).distinct()
-    for name in ("digest", "edited_digest"):
-        slim = slim.join(split.select(F.col("digest").alias(f"{name}_split")), F.col(name) == F.col(f"{name}_split"), "left")
+    split = written(split.unionByName(named.distinct().groupBy("digest").count().where("count > 1").select("digest")).distinct(), "split")
+    if split.isEmpty():  # as for all but made-up texts: every digest is a name
+        slim = slim.withColumns({"digest_split": F.lit(None).cast("binary"), "edited_digest_split": F.lit(None).cast("binary")})
+    else:
+        for name in ("digest", "edited_digest"):
+            slim = slim.join(split.select(F.col("digest").alias(f"{name}_split")), F.col(name) == F.col(f"{name}_split"), "left")
+    text_of = lambda c: F.lower(F.hex(c))
     return slim.select(
-        "doc_id", "n_chars", "edited_sha256",
-        fingerprint_name(F.col("digest"), F.col("digest_split").isNotNull(), F.col("sha")).alias("fingerprint"),
-        fingerprint_name(F.col("edited_digest"), F.col("edited_digest_split").isNotNull(), F.col("edited_sha")).alias("edited_fingerprint"),
+        "doc_id", "n_chars", text_of("edited_sha256").alias("edited_sha256"),
+        fingerprint_name(text_of("digest"), F.col("digest_split").isNotNull(), text_of("sha")).alias("fingerprint"),
+        fingerprint_name(text_of("edited_digest"), F.col("edited_digest_split").isNotNull(), text_of("edited_sha")).alias("edited_fingerprint"),
         "near_edited", "near_next")
