@@ -10,8 +10,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evlake.operators.components import connected_components
+
 from ._shared import arrow_map, keyed, written
-from .graph import connected_components
 
 #: Bits in which linked fingerprints may differ, at most.
 MAX_BITS = 4
