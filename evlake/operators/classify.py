@@ -81,7 +81,8 @@ def sync_members(members: DataFrame, considered: DataFrame, qualifying: DataFram
     gone = considered.select("event_id").distinct().join(qualifying, "event_id", "left_anti")
     left = members.join(gone, "event_id", "left_anti")
     removed = members.join(gone, "event_id", "left_semi")
-    counts = new.agg(F.count("*").alias("added")).join(removed.agg(F.count("*").alias("removed")))
+    marked = new.select(F.lit(1).alias("n"), F.lit(0).alias("g")).unionByName(removed.select(F.lit(0).alias("n"), F.lit(1).alias("g")))
+    counts = marked.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("added"), F.coalesce(F.sum("g"), F.lit(0)).alias("removed"))
     return left.unionByName(new), counts
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -110,8 +112,10 @@ def write_rss_feed(feed: DataFrame, path: str) -> None:
 
 def manifest(counts: DataFrame, runs: DataFrame, run_id: str) -> DataFrame:
     """(profile_id, value): counts and each source's figures, without error texts."""
-    sources = runs.agg(F.array_sort(F.collect_list(F.struct("source_id", "status", "fetched", "changed", "parsed", "parse_errors"))).alias("sources"))
-    return counts.join(F.broadcast(sources)).select("profile_id", F.to_json(F.struct(F.struct("new", "upcoming").alias("counts"), F.lit(run_id).alias("run_id"), F.lit(SCHEMA_VERSION).alias("schema_version"), "sources")).alias("value"))
+    columns = ["source_id", "status", "fetched", "changed", "parsed", "parse_errors"]
+    # a row for each configured source
+    sources = F.from_json(F.lit(json.dumps([r.asDict() for r in runs.select(*columns).orderBy("source_id").collect()])), "array<struct<source_id: string, status: string, fetched: bigint, changed: bigint, parsed: bigint, parse_errors: bigint>>")
+    return counts.select("profile_id", F.to_json(F.struct(F.struct("new", "upcoming").alias("counts"), F.lit(run_id).alias("run_id"), F.lit(SCHEMA_VERSION).alias("schema_version"), sources.alias("sources"))).alias("value"))
 
 
 def publish(feed: DataFrame, runs: DataFrame, run_id: str, path: str, now: Column) -> bool:
