@@ -62,14 +62,13 @@ def host_verdicts(rules: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFram
 
     The prior is a beta distribution with the mean and variance of the hosts' failure rates; a host's
     rate is the posterior mean, so hosts with few documents lean on all others. A null host is one host.
+    The two numbers of the prior are all that reaches the driver.
     """
     hosts = rules.groupBy("host").agg(F.count("*").alias("n_docs"), F.count_if("base_failed").alias("n_failed")).withColumn("rate", F.col("n_failed") / F.col("n_docs"))
-    prior = hosts.agg(F.avg("rate").alias("mean"), F.var_pop("rate").alias("var"))
-    strength = F.when(F.col("var") > 0, F.greatest(F.col("mean") * (1 - F.col("mean")) / F.col("var") - 1, F.lit(0.0))).otherwise(F.lit(_EVEN_STRENGTH))
-    rate = (F.col("n_failed") + F.col("mean") * F.col("strength")) / (F.col("n_docs") + F.col("strength"))
-    # prior is one row by construction: a global aggregate
-    shrunk = hosts.join(F.broadcast(prior.withColumn("strength", strength))).withColumn("shrunk_rate", rate)
-    return shrunk.select("host", "n_docs", "n_failed", "shrunk_rate", (F.col("shrunk_rate") > max_rate).alias("host_failed"))
+    mean, variance = hosts.agg(F.avg("rate"), F.var_pop("rate")).first()
+    strength = max(mean * (1 - mean) / variance - 1, 0.0) if variance else _EVEN_STRENGTH
+    shrunk = (F.col("n_failed") + (mean or 0.0) * strength) / (F.col("n_docs") + strength)
+    return hosts.withColumn("shrunk_rate", shrunk).select("host", "n_docs", "n_failed", "shrunk_rate", (F.col("shrunk_rate") > max_rate).alias("host_failed"))
 
 
 def quality_verdicts(docs: DataFrame, max_rate: float = MAX_HOST_RATE, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
