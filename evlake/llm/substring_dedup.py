@@ -6,7 +6,7 @@ grouped by Spark (an external sort with spill) by the bytes around them: at each
 over the distance, places are compared by the bytes common to all windows of a node (unlike: no window
 is shared), then by the bytes of all its windows (alike: every window is shared); what is neither goes
 one level down, at last to single windows. So every window's answer is exact but for collisions of
-128-bit hashes, and neither a window nor a pair of copies is ever written out for the whole corpus.
+two 64-bit hashes at once, and neither all windows nor pairs of copies are ever written out.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import arrow_map, shared_dir, written
+from ._shared import arrow_map, discard, release, shared_dir, written_at
 
 WIDTH = 200
 GRAM = 32
@@ -65,13 +65,13 @@ def _sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(right[:n], left[width - 1 : width - 1 + n])
 
 
-def samples(parts: list[bytes], width: int = WIDTH, gram: int = GRAM) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each part the sampled places of its windows, in order, and their k-gram hashes."""
+def samples(parts: list[bytes], width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """Part, place, k-gram hash, least and greatest distance of the windows that each sample stands for, in order."""
     data = np.frombuffer(b"".join(parts), np.uint8)
     lengths = np.fromiter(map(len, parts), np.int64, len(parts))
-    nothing = (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+    nothing = np.zeros(0, np.int64)
     if len(data) < width:
-        return [nothing] * len(parts)
+        return nothing, nothing, np.zeros(0, np.uint64), nothing, nothing
     grams = Rolling(data, 0).grams(gram)
     keys = grams * np.uint64(0xBF58476D1CE4E5B9)
     keys ^= keys >> np.uint64(31)
@@ -80,122 +80,134 @@ def samples(parts: list[bytes], width: int = WIDTH, gram: int = GRAM) -> list[tu
     at = (_sliding_least(keys, width - gram + 1) & _PLACE).astype(np.int64)
     part = np.repeat(np.arange(len(parts)), lengths)[: len(at)]
     ends = np.cumsum(lengths)
-    inside = ends[part] - np.arange(len(at)) >= width
-    at, part = at[inside], part[inside]
+    window = np.flatnonzero(ends[part] - np.arange(len(at)) >= width)
+    at, part = at[window], part[window]
     first = np.ones(len(at), bool)
     first[1:] = at[1:] != at[:-1]
-    at, part = at[first], part[first]
-    cuts = np.searchsorted(part, np.arange(len(parts) + 1))
-    starts = ends - lengths
-    return [(at[i:j] - s, grams[at[i:j]]) for i, j, s in zip(cuts, cuts[1:], starts)]
+    last = np.append(first[1:], True)[: len(at)]
+    place = at[first]
+    return part[first], place - (ends - lengths)[part[first]], grams[place], place - window[last], place - window[first]
+
+
+def _packed(a: np.ndarray, low: np.ndarray, high: np.ndarray, node: np.ndarray | int = 0) -> np.ndarray:
+    """A place, the distances of its own windows and a node in one number."""
+    return (a << 24) | (low << 16) | (high << 8) | node
 
 
 def _sampled(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Samples of each text of (doc, h, text); long texts in parts that overlap by a window."""
+    """Samples of each text of (row, text); long texts in parts that overlap by a window."""
     parts, owners, offsets = [], [], []
     for i, text in enumerate(batch.column("text").to_pylist()):
         data = text.encode("utf-8", "surrogatepass")
-        for at in range(0, max(len(data) - WIDTH + 1, 0), _BLOCK - WIDTH):
+        for at in range(0, max(len(data) - WIDTH + 1, 0), _BLOCK - WIDTH + 1):
             parts.append(data[at : at + _BLOCK])
             owners.append(i)
             offsets.append(at)
-    found, block, size = [], [], 0
-    for p in [*parts, None]:
+    found, block, begin, size = [], [], 0, 0
+    for k, p in enumerate([*parts, None]):
         if block and (p is None or size + len(p) > _BLOCK + WIDTH):
-            found += samples(block)
-            block, size = [], 0
+            part, *rest = samples(block)
+            found.append((part + begin, *rest))
+            block, begin, size = [], k, 0
         if p is not None:
             block.append(p)
             size += len(p)
-    counts = [len(a) for a, _ in found]
-    of = np.repeat(np.array(owners, np.int64), counts)
-    at = np.concatenate([a + o for (a, _), o in zip(found, offsets)]) if found else np.zeros(0, np.int64)
-    grams = np.concatenate([g for _, g in found]) if found else np.zeros(0, np.uint64)
-    # neighbouring parts of one text may both have a sample of their common bytes
-    twice = np.zeros(len(at), bool)
-    twice[1:] = (of[1:] == of[:-1]) & (at[1:] <= at[:-1])
-    of, at, grams = of[~twice], at[~twice], grams[~twice]
-    return pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(of)), batch.column("h").take(pa.array(of)), pa.array(at), pa.array(grams.view(np.int64))], ["doc", "h", "a", "core"])
-
-
-def _nodes(places: list[dict], data: bytes, level: int) -> tuple[np.ndarray, ...]:
-    """Children at a level of (a, node) places: a, node, core and full hashes.
-
-    A node is a range of distances of a window's start before a. Its core are the bytes in all its
-    windows, its full bytes those in any of them; a node with windows outside the text has no full
-    bytes and equals no other.
+    if not found:
+        return batch.slice(0, 0).select(["row"]).append_column("place", pa.array([], pa.int64())).append_column("core", pa.array([], pa.int64()))
+    part, a, grams, low, high = (np.concatenate(x) for x in zip(*found))
+    of, a = np.array(owners, np.int64)[part], a + np.array(offsets, np.int64)[part]
+    # neighbouring parts of one text may share a sample, with some of its windows each
+    twice = np.flatnonzero((of[1:] == of[:-1]) & (a[1:] == a[:-1])) + 1
+    low[twice - 1], high[twice - 1] = np.minimum(low[twice - 1], low[twice]), np.maximum(high[twice - 1], high[twice])
+    of, a, grams, low, high = (np.delete(x, twice) for x in (of, a, grams, low, high))
+    return pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(of)), pa.array(_packed(a, low, high)), pa.array(grams.view(np.int64))], ["row", "place", "core"])
+
+
+def _compared(level: int):
+    """For children at a level of the places of (row, text, places): their core and full hashes.
+
+    A node is a range of distances of a window's start before its sample. Its core are the bytes common
+    to all windows of the range, its full bytes those of the place's own windows in it. Equal windows
+    have equal cores; equal full bytes at equal distances have equal windows.
     """
     size, above = SIZES[level], SIZES[max(level - 1, 0)]
-    a = np.fromiter((p["a"] for p in places), np.int64, len(places))
-    node = np.fromiter((p["node"] for p in places), np.int64, len(places))
     fan = above // size
-    a, node = np.repeat(a, fan), (node[:, None] * fan + np.arange(fan)).ravel()
-    low = node * size
-    high = np.minimum(low + size, WIDTH - GRAM + 1) - 1
-    first, last = np.maximum(0, a + WIDTH - len(data)), np.minimum(WIDTH - GRAM, a)
-    some = (low <= high) & (low <= last) & (high >= first)
-    a, node, low, high, first, last = (x[some] for x in (a, node, low, high, first, last))
-    whole = (high <= last) & (low >= first)
-    return a, node, low, high, whole
 
-
-def _compared(level: int):
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out: list[tuple] = []
-        of = []
-        for i, (text, places) in enumerate(zip(batch.column("text").to_pylist(), batch.column("places").to_pylist())):
-            data = text.encode("utf-8", "surrogatepass")
-            a, node, low, high, whole = _nodes(places, data, level)
-            bytes_ = np.frombuffer(data, np.uint8)
-            one, two = Rolling(bytes_, 0), Rolling(bytes_, 1)
-            core = one.of(a - low, WIDTH - (high - low))
-            start, length = np.where(whole, a - high, 0), np.where(whole, WIDTH + high - low, 0)
-            # without full bytes: numbers that no other place has
-            own = np.uint64(batch.column("h")[i].as_py() % (1 << 64)) ^ (a.astype(np.uint64) * np.uint64(_BASES[0]))
-            f = np.where(whole, one.of(start, length), own)
-            g = np.where(whole, two.of(start, length), np.uint64(batch.column("doc")[i].as_py() % (1 << 64)))
-            out.append((a, node, core.view(np.int64), f.view(np.int64), g.view(np.int64)))
-            of += [i] * len(a)
+        out, counts = [], []
+        for text, places in zip(batch.column("text").to_pylist(), batch.column("places").to_pylist()):
+            data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+            packed = np.repeat(np.array(places, np.int64), fan)
+            a, own_low, own_high = packed >> 24, packed >> 16 & 255, packed >> 8 & 255
+            node = (packed & 255) * fan + np.tile(np.arange(fan), len(places))
+            bottom = node * size
+            top = np.minimum(bottom + size, WIDTH - GRAM + 1) - 1
+            low, high = np.maximum(bottom, own_low), np.minimum(top, own_high)
+            some = low <= high
+            a, own_low, own_high, node, bottom, top, low, high = (x[some] for x in (a, own_low, own_high, node, bottom, top, low, high))
+            mixed = node.astype(np.uint64) * np.uint64(_BASES[1])
+            core = Rolling(data, 0).of(a - bottom, WIDTH - (top - bottom)) ^ mixed
+            full = Rolling(data, 1).of(a - high, WIDTH + high - low) ^ (low << 8 | high).astype(np.uint64) * np.uint64(_BASES[0])
+            out.append((_packed(a, own_low, own_high, node), core.view(np.int64), full.view(np.int64)))
+            counts.append(len(a))
         columns = [pa.array(np.concatenate(x)) for x in zip(*out)]
-        return pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(of, pa.int64())), batch.column("h").take(pa.array(of, pa.int64())), *columns], ["doc", "h", "a", "node", "core", "f", "g"])
+        return pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(np.repeat(np.arange(len(counts)), counts))), *columns], ["row", "place", "core", "f"])
 
     return rows
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+def row_key(doc_id: F.Column, text: F.Column) -> F.Column:
+    """A key of a document: rows with equal ids and texts share it, and are copies of each other."""
+    return F.xxhash64(doc_id.cast("long"), F.coalesce(text, F.lit("")))
+
+
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """The byte spans of docs that lie in strings of WIDTH bytes which start anywhere else too.
 
-    Returns (rows, texts, spans): rows(doc_id, doc, h) has a key for each input row, texts(doc, h, text)
-    those texts that may hold repeats, spans(doc, h, start, end) byte ranges that may overlap. Null
-    texts are empty; texts shorter than WIDTH have no spans. Equal rows are copies of each other. Empty
-    input: no rows.
+    Returns (texts, spans): texts(row, text) those that may hold repeats, spans(row, start, end) byte
+    ranges that may overlap; row is row_key(). Null texts are empty; texts shorter than WIDTH have no
+    spans. Empty input: no rows.
+
+    What a step has written is discarded once the next is written, and Spark may then free its shuffle
+    files: space follows the largest step, not their sum.
     """
     spark = docs.sparkSession
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc"), F.xxhash64(text).alias("h"), text.alias("text"))
-    sampled = written(arrow_map(keyed.where(F.octet_length("text") >= WIDTH).select("doc", "h", "text"), _sampled, "doc long, h long, a long, core long"), "samples")
+    keyed = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("row"), F.col(text_col).alias("text")).where(F.octet_length("text") >= WIDTH)
+    sampled, old = written_at(arrow_map(keyed, _sampled, "row long, place long, core long"), "samples")
     common = sampled.groupBy("core").count().where("count > 1").select("core")
-    places = written(sampled.join(common, "core").select("doc", "h", "a", F.lit(0).cast("long").alias("node")), "places")
+    places, now = written_at(sampled.join(common, "core").select("row", "place"), "places")
+    discard(spark, old)
+    release(spark)
 
     # the texts that hold places, by bucket: later joins with them move only places
     name, buckets = f"texts_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
-    holding = keyed.select("doc", "h", "text").join(places.select("doc", "h").distinct(), ["doc", "h"], "left_semi")
-    holding.write.bucketBy(buckets, "doc", "h").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    keyed.join(places.select("row").distinct(), "row", "left_semi").write.bucketBy(buckets, "row").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    release(spark)
     texts = spark.table(name)
 
     spans = []
-    for level in range(len(SIZES)):
-        listed = places.groupBy("doc", "h").agg(F.collect_set(F.struct("a", "node")).alias("places"))
-        nodes = written(arrow_map(texts.join(listed, ["doc", "h"]), _compared(level), "doc long, h long, a long, node long, core long, f long, g long"), "nodes")
-        classes = nodes.groupBy("node", "core", "f", "g").agg(F.count("*").alias("n"), F.min(F.xxhash64("doc", "h", "a")).alias("first"))
-        cores = classes.groupBy("node", "core").agg(F.sum("n").alias("total"), F.count("*").alias("n_classes")).where("total > 1").drop("total")
-        judged = nodes.join(classes.join(cores, ["node", "core"]), ["node", "core", "f", "g"])
-        judged = written(judged.where("n > 1 or n_classes > 1").select("doc", "h", "a", "node", (F.col("n") > 1).alias("alike"), ((F.col("n_classes") > 1) & ((F.col("n") == 1) | (F.col("first") == F.xxhash64("doc", "h", "a")))).alias("below")), "judged")
-        low = F.col("node") * SIZES[level]
-        high = F.least(low + SIZES[level], F.lit(WIDTH - GRAM + 1)) - 1
-        spans.append(judged.where("alike").select("doc", "h", (F.col("a") - high).alias("start"), (F.col("a") - low + WIDTH).alias("end")))
-        places = judged.where("below").select("doc", "h", "a", "node")
-    return keyed.drop("text"), texts, functools.reduce(DataFrame.unionByName, spans)
+    for level, size in enumerate(SIZES):
+        listed = places.groupBy("row").agg(F.collect_set("place").alias("places"))
+        nodes, old = written_at(arrow_map(texts.join(listed, "row"), _compared(level), "row long, place long, core long, f long"), "nodes")
+        discard(spark, now)
+        # most cores are of one place, or all alike: only the others need their classes counted
+        cores = nodes.groupBy("core").agg(F.count("*").alias("total"), (F.min("f") < F.max("f")).alias("mixed")).where("total > 1").select("core", "mixed")
+        met, now = written_at(nodes.join(cores, "core"), "met")
+        discard(spark, old)
+        release(spark)
+        mixed = met.where("mixed")
+        classes = mixed.groupBy("core", "f").agg(F.count("*").alias("n"), F.min(F.xxhash64("row", "place")).alias("first"))
+        judged, old = written_at(mixed.join(classes, ["core", "f"]).select("row", "place", (F.col("n") > 1).alias("alike"), ((F.col("n") == 1) | (F.col("first") == F.xxhash64("row", "place"))).alias("below")), "judged")
+        alike = met.where("not mixed").select("row", "place").unionByName(judged.where("alike").select("row", "place"))
+        a, node = F.shiftright("place", 24), F.col("place").bitwiseAND(255)
+        low = F.greatest(node * size, F.shiftright("place", 16).bitwiseAND(255))
+        high = F.least(node * size + (size - 1), F.shiftright("place", 8).bitwiseAND(255))
+        spans.append(written_at(alike.select("row", (a - high).alias("start"), (a - low + WIDTH).alias("end")), "spans")[0])
+        discard(spark, now)
+        release(spark)
+        places, now = judged.where("below").select("row", "place"), old
+    discard(spark, now)
+    return texts, functools.reduce(DataFrame.unionByName, spans)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -209,14 +221,13 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(rows, cut): rows(doc_id, doc, h) of every document, cut(doc, h, spans, kept) of those that lose bytes.
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row, spans, kept) of documents that lose bytes: the maximal removed byte ranges, and the remaining bytes, concatenated.
 
-    spans are the maximal removed byte ranges, kept the remaining bytes, concatenated; the cases of
-    repeated_spans() hold.
+    row is row_key(); documents without a row here stay whole. The cases of repeated_spans() hold.
     """
-    rows, texts, spans = repeated_spans(docs, id_col, text_col)
-    listed = spans.groupBy("doc", "h").agg(F.collect_set(F.struct("start", "end")).alias("found"))
+    texts, spans = repeated_spans(docs, id_col, text_col)
+    listed = spans.groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("found"))
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         ranges, kept = [], []
@@ -226,7 +237,6 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             edges = [0, *(x for r in ranges[-1] for x in r), len(data)]
             kept.append(b"".join(data[i:j] for i, j in zip(edges[::2], edges[1::2])))
         spans = pa.array([[{"start": s, "end": e} for s, e in r] for r in ranges], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-        return pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("h"), spans, pa.array(kept, pa.binary())], ["doc", "h", "spans", "kept"])
+        return pa.RecordBatch.from_arrays([batch.column("row"), spans, pa.array(kept, pa.binary())], ["row", "spans", "kept"])
 
-    once = texts.join(listed, ["doc", "h"])
-    return rows, arrow_map(once, cut, "doc long, h long, spans array<struct<start: bigint, end: bigint>>, kept binary")
+    return arrow_map(texts.join(listed, "row"), cut, "row long, spans array<struct<start: bigint, end: bigint>>, kept binary")
