@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import functools
 import os
+import unicodedata
+from array import array
 from collections.abc import Callable
 
 import numpy as np
@@ -20,8 +22,17 @@ SHARD_IDS = 2_000_000
 #: Terms of a seed that are looked up, those of most weight.
 QUERY_TERMS = 12
 K1, B = 1.2, 0.75
-#: Words whose ids a worker keeps; beyond, it starts anew.
-CACHE_WORDS = 600_000
+#: Words whose ids a worker keeps, the first it meets; others are encoded where they occur.
+CACHE_WORDS = 1_000_000
+
+
+def _byte_letters() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if it is visible, else the next from U+0100 on."""
+    visible = [33 <= b <= 126 or 161 <= b <= 172 or b >= 174 for b in range(256)]
+    return [chr(b) if seen else chr(256 + visible[:b].count(False)) for b, seen in enumerate(visible)]
+
+
+_BYTE_LETTERS = _byte_letters()
 
 
 class WordIds:
@@ -31,37 +42,52 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(path)
         self.type = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.mark = "\x01"
-        (self.mark_id,) = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
         self.known: dict[bytes, bytes] = {}
 
     def learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Encodes words many at a time, with a mark of a single id between them."""
-        plain, out = [], {}
+        """Encodes words; those of letters alone are one pre-token each and go straight to the merges."""
+        out, merges, kind = {}, self.tokenizer.model.tokenize, self.type[1:].replace("u2", "H").replace("u4", "I")
         for word in words:
-            if self.mark.encode() in word or b"<|" in word:  # a mark, or a special token
-                out[word] = np.array(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, self.type).tobytes()
+            if word.isalpha() and word.islower():
+                ids = [t.id for t in merges(word.decode())]
             else:
-                plain.append(word)
-        for at in range(0, len(plain), 2000):
-            some = plain[at : at + 2000]
-            ids = np.array(self.tokenizer.encode(f" {self.mark} ".join([w.decode("utf-8", "replace") for w in some]), add_special_tokens=False).ids, self.type)
-            cuts = np.flatnonzero(ids == self.mark_id)
-            starts, ends = [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]
-            out.update((w, ids[i:j].tobytes()) for w, i, j in zip(some, starts, ends, strict=True))
+                text = word.decode("utf-8", "replace")
+                plain = self.normalized(text)
+                if plain.isalpha():
+                    ids = [t.id for t in merges("".join([_BYTE_LETTERS[b] for b in plain.encode()]))]
+                else:
+                    ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            out[word] = array(kind, ids).tobytes()
         return out
 
+    def normalized(self, text: str) -> str:
+        """text as the tokenizer reads it; most words are in that form already."""
+        if text.lower() == text and unicodedata.is_normalized("NFC", text):
+            return text
+        return self.tokenizer.normalizer.normalize_str(text)
+
     def ids(self, text: str) -> bytes:
-        words = text.encode("utf-8", "replace").split()
+        data, known = text.encode("utf-8", "replace"), self.known
+        # the tokenizer lowers case itself; its special tokens are read before that
+        words = (data if b"<|" in data else data.lower()).split()
         try:
-            return b"".join(map(self.known.__getitem__, words))
+            return b"".join(map(known.__getitem__, words))
         except KeyError:
-            made = self.learn([w for w in set(words) if w not in self.known])
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-            made = self.learn(list(set(words)))
-        self.known.update((w, i) for w, i in made.items() if len(w) <= 64)
-        return b"".join([self.known[w] if w in self.known else made[w] for w in words])
+            pass
+        new = [w for w in set(words) if w not in known]
+        bare = {w: x for w in new if (x := w.rstrip(b".,!")) != w and (x.isalpha() or self.normalized(x.decode("utf-8", "replace")).isalpha())}
+        # letters before closing marks are a word of their own to the pre-tokeniser
+        parts = {*bare.values(), *(w[len(x) :] for w, x in bare.items()), *(w for w in new if w not in bare)}
+        made = self.learn([w for w in parts if w not in known])
+        of = lambda w: made[w] if w in made else known[w]
+        made |= {w: of(x) + of(w[len(x) :]) for w, x in bare.items()}
+        if len(known) < CACHE_WORDS:
+            known.update(made)
+            out = b"".join(map(known.__getitem__, words))
+            for w in [w for w in made if len(w) > 64]:
+                del known[w]
+            return out
+        return b"".join([of(w) for w in words])
 
 
 @functools.cache
