@@ -19,8 +19,8 @@ from ._shared import arrow_map, keyed, written
 WINDOW = 2048
 #: Ids of a shard of the index, about: what one task holds at a time.
 SHARD_IDS = 2_000_000
-#: Terms of a seed that are looked up, those of most weight.
-QUERY_TERMS = 12
+#: Terms in more than this share of a shard's pieces are kept as a row of all pieces, which adds up faster; it changes no score.
+DENSE_SHARE = 1 / 8
 K1, B = 1.2, 0.75
 #: Words whose ids a worker keeps, the first it meets; others are encoded where they occur.
 CACHE_WORDS = 1_000_000
@@ -152,17 +152,28 @@ class Bm25Shard:
         self.docs, self.by_term = docs[order].astype(np.int32), weights[order]
         self.begin = np.searchsorted(terms[order], np.arange(n_terms + 1))
         self.n = len(ids)
+        held = np.diff(self.begin)
+        common = np.flatnonzero(held > max(1, DENSE_SHARE * self.n))
+        self.row = np.full(n_terms, -1, np.int32)
+        self.row[common] = np.arange(len(common))
+        self.rows = np.zeros((len(common), self.n), np.float32)
+        for row, t in zip(self.rows, common.tolist()):
+            at = slice(self.begin[t], self.begin[t + 1])
+            row[self.docs[at]] = self.by_term[at]
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused pieces that share one of the seed's heaviest terms, the best first, ties by place."""
-        own = slice(self.own[seed], self.own[seed + 1])
-        terms, weights = self.terms[own], self.weights[own]
-        if len(terms) > QUERY_TERMS:
-            terms = terms[np.argpartition(-weights, QUERY_TERMS)[:QUERY_TERMS]]
+        """Unused pieces that share a term with the seed, by BM25 over all its terms, the best first, ties by place."""
+        terms = self.terms[self.own[seed] : self.own[seed + 1]]
+        row = self.row[terms]
         scores = np.zeros(self.n, np.float32)
-        for t in terms.tolist():
-            at = slice(self.begin[t], self.begin[t + 1])
-            scores[self.docs[at]] += self.by_term[at]
+        for r in row[row >= 0].tolist():
+            scores += self.rows[r]
+        rare = terms[row < 0]
+        if len(rare):
+            begin, held = self.begin[rare], self.begin[rare + 1] - self.begin[rare]
+            # the places of all the rare terms' postings, one after the other
+            at = np.arange(held.sum()) + np.repeat(begin - np.cumsum(held) + held, held)
+            scores += np.bincount(self.docs[at], self.by_term[at], self.n).astype(np.float32)
         found = np.flatnonzero((scores > 0) & unused)
         return found[np.argsort(-scores[found], kind="stable")]
 
