@@ -83,11 +83,17 @@ def city_state(address: Column) -> Column:
     return F.when(state.isNotNull() & city.isNotNull(), F.struct(state.alias("state"), city.alias("city")))
 
 
+def _shown_state(part: Column) -> Column:
+    """Whether an address part is a state as addresses show it: a state's abbreviation (not the district's) or California, perhaps with a postal code."""
+    name = F.upper(F.regexp_extract(part, r"(?i)^([a-z]{2}|california)(?:\s+\d{5}(?:-\d{4})?)?$", 1))
+    return name.isin("CALIFORNIA", *[s for s in STATES if s != "DC"])
+
+
 def city_of(address: Column) -> Column:
-    """The last 'City, ST' of an address whose city isn't itself a state, the country or a postal code."""
-    parts = address_parts(address)
-    pairs = F.transform(parts, lambda p, i: F.struct(F.get(parts, i - 1).alias("city"), state_abbr(_without_zip(p)).alias("state")))
-    fits = lambda x: x["state"].isNotNull() & x["city"].isNotNull() & state_abbr(x["city"]).isNull() & ~F.lower(x["city"]).isin(COUNTRY) & ~x["city"].rlike(r"^\d{5}(-\d{4})?$")
+    """The last 'City, ST' of an address whose city isn't itself a state or the country and doesn't begin with five digits."""
+    parts = F.transform(F.split(address, ","), lambda p: F.trim(p))
+    pairs = F.transform(parts, lambda p, i: F.struct(F.get(parts, i - 1).alias("city"), _shown_state(p).alias("state")))
+    fits = lambda x: x["state"] & (F.coalesce(x["city"], F.lit("")) != "") & ~_shown_state(x["city"]) & ~x["city"].rlike(r"(?i)^(?:us|usa|u\.s\.a?\.?|united states)$") & ~x["city"].rlike(r"^\d{5}")
     return F.try_element_at(F.filter(pairs, fits), F.lit(-1))["city"]
 
 
@@ -128,6 +134,16 @@ def platform_name(source_id: Column, prefixes: dict[str, str]) -> Column:
     return F.coalesce(out, source_id)
 
 
+def platforms(source_ids: Column, prefixes: dict[str, str]) -> Column:
+    """The different platforms of an event's sources, in their order."""
+    return F.array_distinct(F.transform(source_ids, lambda s: platform_name(s, prefixes)))
+
+
+def platform_of(source_ids: Column, prefixes: dict[str, str]) -> Column:
+    """The platform that an event is listed under: its first."""
+    return F.coalesce(F.get(platforms(source_ids, prefixes), F.lit(0)), F.lit("Other"))
+
+
 def attendance_mode(declared: Column, physical: Column, virtual: Column) -> Column:
     """The declared mode, else what its places say."""
     # Declared modes.

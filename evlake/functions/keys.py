@@ -22,4 +22,4 @@ def record_key(source: Column, native: Column) -> Column:
 
 def event_id(first_seen: Column, source_index: Column, position: Column) -> Column:
     """An identifier that sorts by creation: time, then source, then place within its batch."""
-    return F.concat(F.date_format(first_seen, "yyyyMMddHHmmssSSS"), F.lpad(source_index.cast("string"), 5, "0"), F.lpad(position.cast("string"), 9, "0"))
+    return F.concat(F.date_format(first_seen, "yyyyMMddHHmmssSSS"), F.lpad(source_index.cast("string"), 5, "0"), F.lpad(position.cast("string"), 19, "0"))

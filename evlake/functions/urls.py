@@ -14,7 +14,7 @@ SECRET = ["access_token", "api_key", "apikey", "auth", "client_secret", "key", "
 # Second-level labels under two-letter top labels.
 SECOND_LEVEL = ["ac", "co", "com", "edu", "gov", "net", "org"]
 # Hosts of online meetings.
-MEETING_HOSTS = ["zoom.us", "meet.google.com", "teams.microsoft.com", "webex.com"]
+MEETING_HOSTS = ["zoom.us", "meet.google.com", "teams.microsoft.com"]
 
 _PARTS = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 
@@ -31,14 +31,12 @@ def host(url: Column) -> Column:
 
 def _pairs(query: Column) -> Column:
     """Decoded (name, value) structs of a query; a name without = has an empty value."""
-    pieces = F.filter(F.split(query, "&"), lambda p: p != "")
 
     def pair(p: Column) -> Column:
-        name = F.regexp_extract(p, r"^([^=]*)", 1)
-        value = F.when(F.instr(p, "=") > 0, F.regexp_extract(p, r"^[^=]*=(.*)$", 1)).otherwise("")
-        return F.struct(F.coalesce(F.try_url_decode(name), name).alias("k"), F.coalesce(F.try_url_decode(value), value).alias("v"))
+        decoded = lambda text: F.coalesce(F.try_url_decode(text), text)
+        return F.struct(decoded(F.substring_index(p, "=", 1)).alias("k"), decoded(F.regexp_extract(p, "(?s)=(.*)$", 1)).alias("v"))
 
-    return F.transform(pieces, pair)
+    return F.transform(F.filter(F.split(query, "&"), lambda p: p != ""), pair)
 
 
 def _encoded(pairs: Column) -> Column:
@@ -48,21 +46,24 @@ def _encoded(pairs: Column) -> Column:
 def canonical_url(url: Column) -> Column:
     """One spelling for all links to a page: lower scheme and host, no user, default port, fragment or tracking, sorted query.
 
-    Null stays null; text without an authority is only trimmed.
+    Null stays null; text without an authority is only trimmed. Each part is worked out once a row.
     """
-    scheme = F.lower(part(url, 1))
-    default = F.when(scheme == "http", F.lit(":80")).when(scheme == "https", F.lit(":443")).otherwise(F.lit(":"))
-    authority = F.lower(F.regexp_replace(part(url, 2), r"^.*@", ""))
-    authority = F.regexp_replace(authority, r":$", "")
-    authority = F.when(F.endswith(authority, default), F.left(authority, F.length(authority) - F.length(default))).otherwise(authority)
-    path = F.when(part(url, 3) == "", F.lit("/")).otherwise(part(url, 3))
 
     def tracked(p: Column) -> Column:
-        return F.lower(p["k"]).isin(TRACKING) | F.lower(p["k"]).startswith("utm_")
+        return let(F.lower(p["k"]), lambda k: k.isin(TRACKING) | k.startswith("utm_"))
 
-    query = _encoded(F.array_sort(F.filter(_pairs(part(url, 4)), lambda p: ~tracked(p))))
-    full = F.concat(scheme, F.lit("://"), authority, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
-    return F.when(part(url, 2) == "", F.trim(url)).otherwise(full)
+    def joined(u: Column) -> Column:
+        bare = F.regexp_replace(F.lower(F.regexp_replace(u["authority"], r"^.*@", "")), r":$", "")
+        port = F.when(u["scheme"] == "http", F.lit(":80$")).when(u["scheme"] == "https", F.lit(":443$")).otherwise(F.lit(":$"))
+        query = F.regexp_replace(F.concat(F.lit("?"), _encoded(F.array_sort(F.filter(_pairs(u["query"]), lambda p: ~tracked(p))))), r"^\?$", "")
+        full = F.concat(u["scheme"], F.lit("://"), F.regexp_replace(bare, port, ""), F.regexp_replace(u["path"], "^$", "/"), query)
+        return F.when(u["authority"] == "", u["text"]).otherwise(full)
+
+    def split(text: Column) -> Column:
+        part_of = lambda i: F.regexp_extract(text, _PARTS, i)
+        return let(F.struct(text.alias("text"), F.lower(part_of(1)).alias("scheme"), part_of(2).alias("authority"), part_of(3).alias("path"), part_of(4).alias("query")), joined)
+
+    return let(F.trim(url), split)
 
 
 def redact_url(url: Column) -> Column:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geo import area_of_event, platform_of
+from ..functions.times import day_heading
+
 PAGE_SIZES = {"10": 10, "25": 25, "50": 50, "all": None}
 LAST_HEADINGS = {"Online": 1, "Location not listed": 2}
 
@@ -53,5 +56,32 @@ def groups(rows: DataFrame, heading: Column, order: list[str]) -> DataFrame:
 
 
 def placed_in_groups(rows: DataFrame, heading: Column, order: list[str]) -> DataFrame:
-    """rows with place, from 1, under their heading."""
+    """rows with place, from 1, under their heading: the members of each group in order, a row each."""
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(F.lower(heading)).orderBy(*order)))
+
+
+def page_groups(shown: DataFrame, member: str, order: list[str]) -> DataFrame:
+    """(heading, members): what a page of browse() shows under each heading, as first written; only for pages of a fixed size."""
+    listed = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(member).alias("_member")))), lambda m: m["_member"])
+    return shown.groupBy(F.lower("heading").alias("_key")).agg(F.min_by("heading", F.struct(*order)).alias("heading"), listed.alias("members")).drop("_key")
+
+
+def headings(sort: str, prefixes: dict[str, str]) -> Column:
+    """The heading of a feed row by date, city or source."""
+    if sort == "city":
+        return area_of_event(F.col("attendance_mode"), F.col("address"), F.col("area"))
+    if sort == "source":
+        return platform_of(F.col("source_ids"), prefixes)
+    return day_heading(F.col("start_utc"), F.col("tz"))
+
+
+def browse(feed: DataFrame, query: str = "", kind: str | None = None, sort: str = "date", size: str = "25", number: int = 1, prefixes: dict[str, str] | None = None) -> DataFrame:
+    """A page of a feed's rows: those that contain every word, of a kind, in the order of sort, with heading and the summary counts.
+
+    Adds heading, page, pages, first, last, matched (rows that the search leaves) and total (rows of the
+    feed). By date the order is the feed's; by city or source headings come alphabetically, the general
+    ones last, and rows by start under each.
+    """
+    found = search(feed, query, ["title", "venue", "address", "organizer"], kind).withColumn("heading", headings(sort, prefixes or {}))
+    order = ["start_utc", "event_id"] if sort == "date" else heading_order(F.col("heading"), "start_utc", "event_id")
+    return page(found, order, size, number).withColumn("total", F.lit(feed.count()))

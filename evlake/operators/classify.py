@@ -72,18 +72,20 @@ def events_of_sources(events: DataFrame, event_sources: DataFrame, names: list[s
     return events.join(event_sources.where(F.col("source_id").isin(names)).select("event_id"), "event_id", "left_semi")
 
 
-def sync_members(members: DataFrame, considered: DataFrame, qualifying: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+def sync_members(members: DataFrame, considered: DataFrame, qualifying: DataFrame, now: Column, keys: tuple[str, ...] = ("event_id",)) -> tuple[DataFrame, DataFrame]:
     """(members, counts) after a run: first_seen of those who stay is kept, those considered who no longer qualify go.
 
-    members(event_id, first_seen); members who weren't considered stay.
+    members(keys, first_seen); members who weren't considered stay. With a profile among the keys, all
+    profiles are brought up to date at once.
     """
-    new = qualifying.select("event_id").distinct().join(members, "event_id", "left_anti").withColumn("first_seen", now)
-    gone = considered.select("event_id").distinct().join(qualifying, "event_id", "left_anti")
-    left = members.join(gone, "event_id", "left_anti")
-    removed = members.join(gone, "event_id", "left_semi")
+    by = list(keys)
+    new = qualifying.select(*by).distinct().join(members, by, "left_anti").withColumn("first_seen", now)
+    gone = considered.select(*by).distinct().join(qualifying, by, "left_anti")
+    left = members.join(gone, by, "left_anti")
+    removed = members.join(gone, by, "left_semi")
     marked = new.select(F.lit(1).alias("n"), F.lit(0).alias("g")).unionByName(removed.select(F.lit(0).alias("n"), F.lit(1).alias("g")))
     counts = marked.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("added"), F.coalesce(F.sum("g"), F.lit(0)).alias("removed"))
-    return left.unionByName(new), counts
+    return left.unionByName(new.select(*left.columns)), counts
 
 
 def label_metrics(predicted: DataFrame, prediction: str = "predicted", label: str = "label") -> DataFrame:

@@ -65,8 +65,27 @@ def select_sources(sources: DataFrame, state: DataFrame, now: Column) -> DataFra
     return joined.withColumn("fetch", probe_due(F.coalesce("state", F.lit("healthy")), F.col("last_probe"), F.col("since"), now))
 
 
+def source_states(runs: DataFrame, **levels: float) -> DataFrame:
+    """(source_id, state, since, last_probe): where each source of a log of runs stands; last_probe is its last run that fetched."""
+    judged = states(verdicts(runs, **levels)).groupBy("source_id").agg(F.max_by(F.struct("state", "since"), F.struct("started_at", "run_id")).alias("_s"), F.max("started_at").alias("last_probe"))
+    return judged.select("source_id", "_s.state", "_s.since", "last_probe")
+
+
+def skipped_runs(selected: DataFrame, run_id: str, now: Column) -> DataFrame:
+    """Run rows of the sources that select_sources() leaves out."""
+    none = [F.lit(0).cast("bigint").alias(c) for c in ("fetched", "changed", "parsed", "parse_errors")]
+    return selected.where(~F.col("fetch")).select("source_id", *none, F.lit("disabled").alias("status"), F.lit(None).cast("string").alias("error"), F.lit(run_id).alias("run_id"), now.alias("started_at"))
+
+
+def alerts(judged: DataFrame) -> DataFrame:
+    """(source_id, run_id, action, title, body) of judged runs that raise or resolve an alert."""
+    title = F.concat(F.lit("Source "), "source_id", F.when(F.col("action") == "resolve", F.lit(" recovered")).otherwise(F.concat(F.lit(" is "), "state")))
+    body = F.when(F.col("action") == "alert", F.concat_ws("\n", F.concat(F.lit("Unhealthy runs in a row: "), "unhealthy_runs"), F.array_join("reasons", "\n"))).otherwise(F.lit("Healthy again."))
+    return judged.where("action is not null").select("source_id", "run_id", "action", title.alias("title"), body.alias("body"))
+
+
 def drift_samples(unhealthy: DataFrame, raw: DataFrame, n: int = 10) -> DataFrame:
-    """For each unhealthy (source_id, run_id): its reasons and the first n raw records by native id."""
-    found = raw.join(unhealthy.select("source_id", "run_id", "reasons"), ["source_id", "run_id"])
+    """For each unhealthy (source_id, run_id): its reasons and the first n raw records by native id; none if it fetched none."""
+    found = unhealthy.select("source_id", "run_id", "reasons").join(raw, ["source_id", "run_id"], "left")
     first = found.withColumn("_k", F.row_number().over(Window.partitionBy("source_id", "run_id").orderBy("native_id"))).where(F.col("_k") <= n)
-    return first.groupBy("source_id", "run_id", "reasons").agg(F.array_sort(F.collect_list(F.struct("native_id", "payload"))).alias("records"))
+    return first.groupBy("source_id", "run_id", "reasons").agg(F.array_sort(F.collect_list(F.when(F.col("native_id").isNotNull(), F.struct("native_id", "payload")))).alias("records"))

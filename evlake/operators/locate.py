@@ -39,11 +39,11 @@ def budgeted(plan: DataFrame, budget: int = LOOKUP_BUDGET) -> DataFrame:
 
 
 def postal_points(addresses: DataFrame, centroids: DataFrame, key: str = "address_key") -> DataFrame:
-    """(key, lat, lon, precision): the centroid of the last 'ST 12345' pair whose state and code are known.
+    """(key, lat, lon, precision): the centroid of the last 'ST 12345' or 'California 12345' pair whose state and code are known.
 
     centroids(zip, lat, lon) is a table of a country's codes, a few megabytes.
     """
-    text, pattern = F.upper(key), r"\b([A-Z]{2})\s+(\d{5})(?:-\d{4})?\b"
+    text, pattern = F.upper(key), r"\b([A-Z]{2}|CALIFORNIA)\s+(\d{5})(?:-\d{4})?\b"
     pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("state"), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("zip"))
     exploded = addresses.select(F.col(key), F.posexplode(pairs).alias("_pos", "_pair")).where(state_abbr(F.col("_pair.state")).isNotNull())
     joined = exploded.join(centroids, F.col("_pair.zip") == F.col("zip"))
@@ -56,7 +56,7 @@ def place_points(addresses: DataFrame, centroids: DataFrame, key: str = "address
     return parts.join(centroids, ["state", "place"]).select(key, "lat", "lon", F.lit("place").alias("precision"))
 
 
-def enrich(events: DataFrame, cache: DataFrame, zips: DataFrame, places: DataFrame, now: Column, geocode: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def enrich(events: DataFrame, cache: DataFrame, zips: DataFrame, places: DataFrame, now: Column, geocode: Callable[[DataFrame], DataFrame] | None = None, budget: int = LOOKUP_BUDGET) -> DataFrame:
     """(address_key, lat, lon, precision): the best answer for each address that events lack.
 
     geocode(keys) -> (address_key, lat, lon) is asked for the budgeted addresses alone.
@@ -65,7 +65,7 @@ def enrich(events: DataFrame, cache: DataFrame, zips: DataFrame, places: DataFra
     keys = plan.select("address_key")
     answers = [plan.where("plan = 'cached'").select("address_key", "lat", "lon", "precision", F.lit(0).alias("rank"))]
     if geocode:
-        answers.append(geocode(budgeted(plan).select("address_key")).where("lat is not null").select("address_key", "lat", "lon", F.lit("address").alias("precision"), F.lit(1).alias("rank")))
+        answers.append(geocode(budgeted(plan, budget).select("address_key")).where("lat is not null").select("address_key", "lat", "lon", F.lit("address").alias("precision"), F.lit(1).alias("rank")))
     for rank, found in ((2, postal_points(keys, zips)), (3, place_points(keys, places))):
         answers.append(found.withColumn("rank", F.lit(rank)))
     all_answers = answers[0]

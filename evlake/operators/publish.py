@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.times import rss_when
+from ..functions.times import db_text, rss_when
 
 SCHEMA_VERSION = 1
 RSS_ITEMS = 100
@@ -49,14 +47,50 @@ def newest(feed: DataFrame, n: int = RSS_ITEMS) -> DataFrame:
     return feed.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
 
 
+def framed(items: DataFrame, frames: DataFrame, order: list[str], separator: str = "") -> DataFrame:
+    """(profile_id, value): the lines of each profile's document: head, items in order, foot.
+
+    items(profile_id, value, order columns), frames(profile_id, head, foot). Items but a profile's first
+    begin with separator. Range partitions are in document order, so part files put one after the other
+    are the document, and no profile lies in one cell or task.
+    """
+    at = F.struct(*order)
+    first = items.groupBy("profile_id").agg(F.min(at).alias("_first"))
+    placed = items.withColumn("_at", at)
+    if separator:
+        placed = placed.join(F.broadcast(first), "profile_id").withColumn("value", F.when(F.col("_at") == F.col("_first"), F.col("value")).otherwise(F.concat(F.lit(separator), "value")))
+    ends = frames.select("profile_id", F.explode(F.array(F.struct(F.lit(0).alias("part"), F.col("head").alias("value")), F.struct(F.lit(2).alias("part"), F.col("foot").alias("value")))).alias("e")).select("profile_id", "e.part", "e.value")
+    body = placed.select("profile_id", F.lit(1).alias("part"), "value", "_at")
+    lines = body.unionByName(ends, allowMissingColumns=True)
+    keys = ["profile_id", "part", "_at"]
+    return lines.repartitionByRange(*keys).sortWithinPartitions(*keys).select("profile_id", "value")
+
+
+def named_profiles(feed: DataFrame, names: DataFrame | None) -> DataFrame:
+    """(profile_id, name): those of names, which may have no event; without names those of the feed, under their ids."""
+    return feed.select("profile_id").distinct().withColumn("name", F.col("profile_id")) if names is None else names.select("profile_id", "name")
+
+
 def json_lines(feed: DataFrame) -> DataFrame:
-    """One JSON text for each event, keys in order; a large feed is its lines in feed order, never one cell."""
+    """One JSON text for each event, keys in order."""
     return feed.select("profile_id", "start_utc", "event_id", F.to_json(F.struct(*sorted(c for c in feed.columns if c != "profile_id"))).alias("value"))
 
 
-def write_json_feed(feed: DataFrame, path: str) -> None:
-    lines = json_lines(feed).repartitionByRange("profile_id", "start_utc", "event_id").sortWithinPartitions("profile_id", "start_utc", "event_id")
-    lines.select("profile_id", "value").write.mode("overwrite").partitionBy("profile_id").text(path)
+def json_document(feed: DataFrame, generated: Column, names: DataFrame | None = None) -> DataFrame:
+    """(profile_id, value): lines of each profile's JSON document: count, events in feed order, generated_at, profile, schema_version."""
+    counts = feed.groupBy("profile_id").agg(F.count("*").alias("n"))
+    frames = named_profiles(feed, names).join(counts, "profile_id", "left").select(
+        "profile_id", F.concat(F.lit('{"count":'), F.coalesce("n", F.lit(0)), F.lit(',"events":[')).alias("head"),
+        F.concat(F.lit('],"generated_at":"'), db_text(generated), F.lit('","profile":'), F.to_json(F.struct(F.col("profile_id").alias("id"), "name")), F.lit(f',"schema_version":{SCHEMA_VERSION}}}')).alias("foot"))
+    return framed(json_lines(feed), frames, ["start_utc", "event_id"], ",")
+
+
+def _write(lines: DataFrame, path: str, line_end: str = "\n") -> None:
+    lines.write.mode("overwrite").partitionBy("profile_id").text(path, lineSep=line_end)
+
+
+def write_json_feed(feed: DataFrame, path: str, generated: Column, names: DataFrame | None = None) -> None:
+    _write(json_document(feed, generated, names), path)
 
 
 def _ics_text(value: Column) -> Column:
@@ -82,10 +116,18 @@ def ics_event(generated: Column) -> Column:
     return F.array_join(F.array_compact(lines), "\r\n")
 
 
-def write_ics_feed(feed: DataFrame, path: str, generated: Column) -> None:
-    """Calendar text by profile: part files in feed order, without the calendar's own first and last lines."""
-    rows = feed.withColumn("value", ics_event(generated)).repartitionByRange("profile_id", "start_utc", "event_id").sortWithinPartitions("profile_id", "start_utc", "event_id")
-    rows.select("profile_id", "value").write.mode("overwrite").partitionBy("profile_id").text(path, lineSep="\r\n")
+def ics_document(feed: DataFrame, generated: Column, names: DataFrame | None = None) -> DataFrame:
+    """(profile_id, value): lines of each profile's calendar."""
+    head = ["BEGIN:VCALENDAR", "PRODID:-//evlake//EN", "VERSION:2.0", "CALSCALE:GREGORIAN", "METHOD:PUBLISH", "X-WR-CALNAME:{}", "X-PUBLISHED-TTL:PT12H"]
+    named = fold_line(F.concat(F.lit("X-WR-CALNAME:"), _ics_text(F.col("name"))))
+    lines = [named if "{}" in h else F.lit(h) for h in head]
+    frames = named_profiles(feed, names).select("profile_id", F.concat_ws("\r\n", *lines).alias("head"), F.lit("END:VCALENDAR").alias("foot"))
+    items = feed.withColumn("value", ics_event(generated)).select("profile_id", "start_utc", "event_id", "value")
+    return framed(items, frames, ["start_utc", "event_id"])
+
+
+def write_ics_feed(feed: DataFrame, path: str, generated: Column, names: DataFrame | None = None) -> None:
+    _write(ics_document(feed, generated, names), path, "\r\n")
 
 
 def _xml(text: Column) -> Column:
@@ -102,31 +144,48 @@ def rss_item() -> Column:
     tag = lambda name, v: F.when(v.isNotNull(), F.concat(F.lit(f"<{name}>"), _xml(v), F.lit(f"</{name}>")))
     kinds = F.array_join(F.transform(F.array_sort("kinds"), lambda k: F.concat(F.lit("<category>"), _xml(k), F.lit("</category>"))), "")
     published = F.concat(F.date_format("first_seen", "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0000"))
-    return F.concat(F.lit("<item>"), F.concat_ws("", tag("title", F.col("title")), tag("link", F.col("url")), tag("guid", F.col("event_id")), tag("pubDate", published), tag("description", about), kinds), F.lit("</item>"))
+    return F.concat(F.lit("<item>"), F.concat_ws("", tag("title", F.col("title")), tag("link", F.col("url")), F.concat(F.lit('<guid isPermaLink="false">'), _xml(F.col("event_id")), F.lit("</guid>")), tag("pubDate", published), tag("description", about), kinds), F.lit("</item>"))
 
 
-def write_rss_feed(feed: DataFrame, path: str) -> None:
-    items = newest(feed).withColumn("value", rss_item())
-    items.repartition("profile_id").sortWithinPartitions("profile_id", "place").select("profile_id", "value").write.mode("overwrite").partitionBy("profile_id").text(path)
+def rss_document(feed: DataFrame, generated: Column, names: DataFrame | None = None, site: str = "") -> DataFrame:
+    """(profile_id, value): lines of each profile's channel with its newest events."""
+    name = _xml(F.col("name"))
+    built = F.concat(F.date_format(generated, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0000"))
+    head = F.concat(
+        F.lit('<?xml version="1.0" encoding="utf-8"?><rss version="2.0"><channel><title>'), name, F.lit("</title><link>"), _xml(F.lit(site)), F.lit("</link><description>New events: "), name,
+        F.lit("</description><lastBuildDate>"), built, F.lit("</lastBuildDate>"))
+    frames = named_profiles(feed, names).select("profile_id", head.alias("head"), F.lit("</channel></rss>").alias("foot"))
+    return framed(newest(feed).withColumn("value", rss_item()).select("profile_id", "place", "value"), frames, ["place"])
+
+
+def write_rss_feed(feed: DataFrame, path: str, generated: Column, names: DataFrame | None = None, site: str = "") -> None:
+    _write(rss_document(feed, generated, names, site), path)
 
 
 def manifest(counts: DataFrame, runs: DataFrame, run_id: str) -> DataFrame:
     """(profile_id, value): counts and each source's figures, without error texts."""
     columns = ["source_id", "status", "fetched", "changed", "parsed", "parse_errors"]
-    # a row for each configured source
-    sources = F.from_json(F.lit(json.dumps([r.asDict() for r in runs.select(*columns).orderBy("source_id").collect()])), "array<struct<source_id: string, status: string, fetched: bigint, changed: bigint, parsed: bigint, parse_errors: bigint>>")
-    return counts.select("profile_id", F.to_json(F.struct(F.struct("new", "upcoming").alias("counts"), F.lit(run_id).alias("run_id"), F.lit(SCHEMA_VERSION).alias("schema_version"), sources.alias("sources"))).alias("value"))
+    # one array of a row for each configured source
+    listed = runs.groupBy(F.lit(run_id).alias("run_id")).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("sources"))
+    joined = counts.withColumn("run_id", F.lit(run_id)).join(F.broadcast(listed), "run_id", "left")
+    return joined.select("profile_id", F.to_json(F.struct(F.struct("new", "upcoming").alias("counts"), "run_id", F.lit(SCHEMA_VERSION).alias("schema_version"), "sources")).alias("value"))
+
 
+def publish(feed: DataFrame, runs: DataFrame, run_id: str, path: str, now: Column, names: DataFrame | None = None, site: str = "") -> bool:
+    """Writes all feeds and the day's additions, and last the manifest, without which readers see nothing; nothing if every active source failed.
 
-def publish(feed: DataFrame, runs: DataFrame, run_id: str, path: str, now: Column) -> bool:
-    """Writes all feeds, and last the manifest, without which readers see nothing; nothing if every active source failed."""
+    names(profile_id, name) are the profiles, also those without an event; without it those of the feed.
+    """
     active, failed = runs.agg(F.count_if(F.col("status") != "disabled"), F.count_if(~F.col("status").isin("ok", "disabled"))).first()
     if active and active == failed:
         return False
-    write_json_feed(feed, f"{path}/json")
-    write_ics_feed(feed, f"{path}/ics", now)
-    write_rss_feed(feed, f"{path}/rss")
-    manifest(feed_counts(feed, now), runs, run_id).write.mode("overwrite").partitionBy("profile_id").text(f"{path}/manifest")
+    write_json_feed(feed, f"{path}/json", now, names)
+    day = F.date_trunc("day", now)
+    write_json_feed(added_between(feed, day, day + F.make_dt_interval(F.lit(1)), now), f"{path}/new", now, named_profiles(feed, names))
+    write_ics_feed(feed, f"{path}/ics", now, names)
+    write_rss_feed(feed, f"{path}/rss", now, names, site)
+    counted = named_profiles(feed, names).select("profile_id").join(feed_counts(feed, now), "profile_id", "left").na.fill(0, ["upcoming", "new"])
+    _write(manifest(counted, runs, run_id), f"{path}/manifest")
     return True
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import record_queries, view_queries  # noqa: F401  they register themselves
+from . import record_queries, source_queries, view_queries  # noqa: F401  they register themselves
 from .registry import QUERIES, SQL
 
 FLAGSHIP = "frontier"

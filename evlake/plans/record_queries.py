@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import geo, text, urls
+from ..functions import geo, keys, text, urls
 from ..operators import changes, folds, resolve
 from ..sources import pages as page_source
 from ..sources import robots
@@ -33,9 +33,9 @@ select source_id, url, cast(place as int) as place from r where place <= 50
 """)
 def frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidate pages of each host: its links in canonical form, first come first."""
-    found = page_source.page_links(table(spark, sf_dir, "pages"))
-    order = table(spark, sf_dir, "pages").groupBy(F.col("url").alias("page")).agg(F.min("page_id").alias("page_ord"))
-    links = found.join(order, "page").withColumn("source_id", urls.host(F.col("page")))
+    pages = table(spark, sf_dir, "pages")
+    order = pages.groupBy(F.col("url").alias("page")).agg(F.min("page_id").alias("page_ord"))
+    links = page_source.page_links(pages).join(order, "page").withColumn("source_id", urls.host(F.col("page")))
     return page_source.frontier(links, r"/[a-z]+$", 50)
 
 
@@ -50,12 +50,15 @@ def canonical_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-select page_id, regexp_replace(replace(url, '://', '://user:pw@'), '^([a-z]+://)[^/?#@]*@', '\\1***@') || '&token=***' as redacted from pages where strpos(url, '?') > 0 and strpos(url, '#') = 0
+with p as (select page_id, string_split(replace(url, '://', '://***@'), '#') as u from pages)
+select page_id, u[1] || case when contains(u[1], '?') then '&' else '?' end || 'token=***' || case when len(u) > 1 then '#' || u[2] else '' end as redacted from p
 """)
 def redacted_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page urls with a user and a token put in, and masked again."""
-    pages = table(spark, sf_dir, "pages").where("instr(url, '?') > 0 and instr(url, '#') = 0")
-    secret = F.concat(F.replace("url", F.lit("://"), F.lit("://user:pw@")), F.lit("&token=abc123"))
+    pages = table(spark, sf_dir, "pages")
+    named = F.replace("url", F.lit("://"), F.lit("://user:pw@"))
+    base, anchor = F.regexp_extract(named, "^([^#]*)", 1), F.regexp_extract(named, "(#.*)$", 1)
+    secret = F.concat(base, F.when(F.contains(base, F.lit("?")), F.lit("&")).otherwise("?"), F.lit("token=abc123"), anchor)
     return pages.select("page_id", urls.redact_url(secret).alias("redacted"))
 
 
@@ -114,18 +117,21 @@ def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with old as (select o_orderkey, sha256(o_orderstatus || '|' || cast(cast(o_totalprice * 100 as bigint) as varchar)) as h from orders where o_orderkey % 11 <> 0),
-new as (select o_orderkey, sha256(o_orderstatus || '|' || cast(cast(case when o_orderkey % 7 = 0 then o_totalprice + 1 else o_totalprice end * 100 as bigint) as varchar)) as h from orders where o_orderkey % 13 <> 0)
-select new.o_orderkey, case when old.h is null then 'new' when old.h = new.h then 'unchanged' else 'changed' end as change from new left join old using (o_orderkey)
+select o_orderkey, case when o_orderkey % 11 = 0 then 'new' when o_orderkey % 7 in (0, 1) then 'changed' else 'unchanged' end as change from orders
 """)
 def content_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two snapshots of orders, some keys dropped and some prices changed, compared by content."""
+    """All orders against the latest of earlier snapshots: unknown ones, ones with another price, ones back at an older price, and the rest."""
     orders = table(spark, sf_dir, "orders")
-    price = lambda p: F.sha2(F.concat_ws("|", "o_orderstatus", (p * 100).cast("bigint").cast("string")), 256)
-    old = orders.where("o_orderkey % 11 <> 0").select("o_orderkey", price(F.col("o_totalprice")).alias("content_hash"))
-    moved = F.when(F.col("o_orderkey") % 7 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
-    new = orders.where("o_orderkey % 13 <> 0").select("o_orderkey", price(moved).alias("content_hash"))
-    return changes.detect_changes(new, old, ["o_orderkey"]).select("o_orderkey", "change")
+    k = F.col("o_orderkey")
+    # the order of keys in a payload doesn't matter
+    payload = lambda price, names: keys.content_hash(F.to_json(F.struct(*[{"status": F.col("o_orderstatus"), "price": price}[n].alias(n) for n in names])))
+    price = F.round(F.col("o_totalprice"), 2)
+    known = orders.where("o_orderkey % 11 <> 0")
+    first = known.select(k, payload(price, ["status", "price"]).alias("content_hash"), ts("2026-01-01").alias("fetched_at"))
+    again = known.where("o_orderkey % 7 = 1").select(k, payload(price + 1, ["price", "status"]).alias("content_hash"), ts("2026-01-02").alias("fetched_at"))
+    latest = changes.latest_versions(first.unionByName(again), ["o_orderkey"], "fetched_at")
+    now = orders.select(k, payload(F.when(k % 7 == 0, price + 1).otherwise(price), ["price", "status"]).alias("content_hash"))
+    return changes.detect_changes(now, latest, ["o_orderkey"]).select("o_orderkey", "change")
 
 
 @query("select user_id, event_type, ts, event_id, value from (select *, row_number() over (partition by user_id, event_type order by ts desc, event_id desc, value desc) as k from events) where k = 1")
@@ -196,7 +202,7 @@ def run_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FOLD_ROWS = """
 d as (select o_custkey as key, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as ord, o_orderpriority as source, 10 - cast(substr(o_orderpriority, 1, 1) as int) as priority,
   case when o_orderkey % 3 <> 0 then cast(o_orderkey as varchar) end as title, case when o_orderkey % 4 = 0 then cast(o_totalprice as varchar) end as venue,
-  case o_orderstatus when 'F' then 'cancelled' else 'scheduled' end as status, case when o_orderkey % 5 < 2 then (o_orderkey % 90)::double end as lat, case when o_orderkey % 10 = 0 then 'place' end as geo_precision from orders),
+  case o_orderstatus when 'F' then 'cancelled' else 'scheduled' end as status, o_orderdate as seen, case when o_orderkey % 5 < 2 then (o_orderkey % 90)::double end as lat, case when o_orderkey % 10 = 0 then 'place' end as geo_precision from orders),
 t as (select *, max(row(priority, -ord, source)) over (partition by key order by ord rows between unbounded preceding and 1 preceding) as top from d),
 l as (select *, ord = 1 or source = top[3] or priority > top[1] as leads from t)
 """
@@ -227,11 +233,11 @@ def upsert_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 r as (select *, case when lat is null then 3 when geo_precision = 'place' then 2 else 0 end as rank from l),
 b as (select *, row_number() over (partition by key order by rank, case when leads then 0 else 1 end, case when leads then -ord else ord end) as k from r)
 select key, coalesce(arg_max(title, ord) filter (where leads and title is not null), arg_min(title, ord) filter (where title is not null)) as title,
-  case when bool_or(status = 'cancelled') then 'cancelled' else arg_min(status, ord) end as status, max(lat) filter (where k = 1) as lat from b group by key
+  case when bool_or(status = 'cancelled') then 'cancelled' else arg_min(status, ord) end as status, max(lat) filter (where k = 1) as lat, min(seen) as first_seen, max(seen) as last_seen from b group by key
 """)
 def merge_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _fold_rows(spark, sf_dir).withColumns({"first_seen": F.col("seen"), "last_seen": F.col("seen")})
-    return folds.merge_fold(rows, "key", "ord", "source", "priority", ["title"]).select("key", "title", "status", "lat")
+    return folds.merge_fold(rows, "key", "ord", "source", "priority", ["title"]).select("key", "title", "status", "lat", "first_seen", "last_seen")
 
 
 # --- duplicates -----------------------------------------------------------------

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
@@ -38,6 +39,37 @@ class Reference:
     places: DataFrame
     profiles: list[classify.Profile] = field(default_factory=list)
     kinds: dict[str, list[str]] = field(default_factory=dict)
+    #: Polygons of time zones, and a service for addresses, where there are any.
+    zones: DataFrame | None = None
+    geocode: Callable[[DataFrame], DataFrame] | None = None
+    #: (profile_id, name), and the page that feeds link to.
+    names: DataFrame | None = None
+    site: str = ""
+
+
+@dataclass
+class Report:
+    """What a run says besides its state: each source's figures, rejected drafts, alerts, and records of unhealthy sources."""
+
+    published: bool
+    metrics: DataFrame
+    rejects: DataFrame
+    alerts: DataFrame
+    drift: DataFrame
+
+
+def drafts_of_adapters(adapters: dict[str, Callable[[DataFrame], DataFrame]], sources: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """A parser of raw records of many sources: each source's records by its own adapter, drafts in one table."""
+
+    def parse(raw: DataFrame) -> DataFrame:
+        named = raw.join(F.broadcast(sources.select("source_id", "adapter")), "source_id")
+        parts = [adapters[name](named.where(F.col("adapter") == name).drop("adapter")) for name in sorted(adapters)]
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part, allowMissingColumns=True)
+        return out
+
+    return parse
 
 
 def keep_region(drafts: DataFrame, sources: DataFrame, polygons: DataFrame) -> DataFrame:
@@ -48,45 +80,58 @@ def keep_region(drafts: DataFrame, sources: DataFrame, polygons: DataFrame) -> D
     return joined.where("keep_region is null or _in").drop("keep_region", "_in")
 
 
-def ingest(state: State, incoming: DataFrame, drafts_of, reference: Reference, now, run_id: str, replay: bool = False) -> tuple[State, DataFrame, DataFrame]:
+def ingest(state: State, incoming: DataFrame, drafts_of, reference: Reference, now, run_id: str, replay: bool = False, active: DataFrame | None = None) -> tuple[State, DataFrame, DataFrame]:
     """(state, this run's metrics, rejects) after incoming raw records; replay parses unchanged ones too.
 
     drafts_of(raw) gives drafts with reason for those that couldn't be parsed. Unchanged records only say
-    that their events were seen.
+    that their events were seen. active(source_id) are the sources that were fetched; without it all
+    enabled ones. Of the raw log only what is new is written; prune_raw() shortens it.
     """
     keys = ["source_id", "native_id"]
     compared = written(changes.detect_changes(incoming, changes.latest_versions(state.raw, keys, "fetched_at"), keys), "compared")
     fresh = compared if replay else compared.where("change <> 'unchanged'")
     parsed = drafts_of(fresh).withColumn("url", canonical_url(F.col("url")))
     reasons = F.array_distinct(F.concat(changes.draft_reasons(), F.array_compact(F.array("reason"))))
-    judged = written(parsed.withColumn("reasons", reasons), "drafts")
-    valid, rejects = judged.where("size(reasons) = 0").drop("reasons", "reason"), judged.where("size(reasons) > 0")
+    # ranges keep the order of sources and records, whatever the size of a source
+    in_order = parsed.withColumn("reasons", reasons).repartitionByRange("source_id", "native_id").sortWithinPartitions("source_id", "native_id")
+    judged = written(in_order.withColumn("pos", F.monotonically_increasing_id()), "drafts")
+    valid, rejects = judged.where("size(reasons) = 0").drop("reasons", "reason"), judged.where("size(reasons) > 0").drop("pos")
     kept = keep_region(valid, reference.sources, reference.polygons)
     # a row for each configured source
     index = reference.sources.select("source_id").distinct().withColumn("source_index", F.dense_rank().over(Window.orderBy("source_id")))
-    ordered = kept.join(index, "source_id", "left").withColumn("source_index", F.coalesce("source_index", F.lit(0))).withColumn("pos", F.row_number().over(Window.partitionBy("source_id").orderBy("native_id")))
+    ordered = kept.join(F.broadcast(index), "source_id", "left").withColumn("source_index", F.coalesce("source_index", F.lit(0)))
     events, links = upsert.upsert(ordered, state.events, state.links, reference.sources, now)
     seen = compared.where("change = 'unchanged'").select(*keys).join(links, keys).select("event_id").distinct().withColumn("_seen", F.lit(True))
     events = events.join(seen, "event_id", "left").withColumn("last_seen", F.when(F.col("_seen"), F.lit(now).cast("timestamp")).otherwise(F.col("last_seen"))).select(*state.events.columns)
     outcome = judged.select(*keys, (F.size("reasons") == 0).alias("parsed"), (F.size("reasons") > 0).alias("parse_error"))
     records = compared.select(*keys, "change").join(outcome, keys, "left").na.fill(False, ["parsed", "parse_error"])
-    active = reference.sources.where("enabled").select("source_id")
+    active = reference.sources.where("enabled").select("source_id") if active is None else active
     failed = active.join(incoming.select("source_id").distinct(), "source_id", "left_anti").withColumn("error", F.lit("no records"))
     metrics = changes.run_metrics(active, records, failed).withColumns({"run_id": F.lit(run_id), "started_at": F.lit(now).cast("timestamp")})
-    log = compared.where("change <> 'unchanged'").select(*[c for c in state.raw.columns if c != "run_id"]).withColumn("run_id", F.lit(run_id))
-    raw = changes.prune(state.raw.unionByName(log.select(*state.raw.columns)), keys, "fetched_at", F.lit(now).cast("timestamp") - F.make_dt_interval(F.lit(PRUNE_DAYS)))
-    after = State(written(events, "events"), written(links, "links"), written(raw, "raw"), state.runs.unionByName(metrics.select(*state.runs.columns)), state.members, state.aliases)
+    log = written(compared.where("change <> 'unchanged'").select(*[c for c in state.raw.columns if c != "run_id"]).withColumn("run_id", F.lit(run_id)), "raw")
+    after = State(written(events, "events"), written(links, "links"), state.raw.unionByName(log.select(*state.raw.columns)), state.runs.unionByName(metrics.select(*state.runs.columns)), state.members, state.aliases)
     return after, metrics, rejects
 
 
+def prune_raw(state: State, now) -> State:
+    """The raw log without superseded records that are old, written anew; worth its cost now and then."""
+    kept = changes.prune(state.raw, ["source_id", "native_id"], "fetched_at", F.lit(now).cast("timestamp") - F.make_dt_interval(F.lit(PRUNE_DAYS)))
+    state.raw = written(kept, "raw")
+    return state
+
+
 def located(state: State, reference: Reference, now) -> State:
-    """Missing points from addresses, with their precision."""
+    """Missing points from addresses, with their precision, and then missing zones from points."""
     moment = F.lit(now).cast("timestamp")
-    found = locate.enrich(state.events, reference.cache, reference.zips, reference.places, moment).select("address_key", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.col("precision").alias("_precision"))
+    found = locate.enrich(state.events, reference.cache, reference.zips, reference.places, moment, reference.geocode).select("address_key", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.col("precision").alias("_precision"))
     wants = F.col("lat").isNull() & (F.col("attendance_mode") != "online") & F.col("_lat").isNotNull()
     joined = state.events.withColumn("address_key", address_key(F.col("address"))).join(found, "address_key", "left")
     filled = joined.withColumns({"geo_precision": F.when(wants, F.nullif("_precision", F.lit("address"))).otherwise(F.col("geo_precision")), "lon": F.when(wants, F.col("_lon")).otherwise(F.col("lon")), "lat": F.when(wants, F.col("_lat")).otherwise(F.col("lat"))})
-    state.events = written(filled.select(*state.events.columns), "events")
+    filled = filled.select(*state.events.columns)
+    if reference.zones is not None:
+        zoned = spatial.zone_of_points(locate.missing_zones(filled, moment).select("event_id", "lat", "lon"), reference.zones, ["event_id"]).select("event_id", "found_tz")
+        filled = filled.join(zoned, "event_id", "left").withColumn("tz", F.coalesce("tz", "found_tz")).drop("found_tz")
+    state.events = written(filled, "events")
     return state
 
 
@@ -122,20 +167,23 @@ def classified(state: State, reference: Reference, now) -> State:
 
 
 def assigned(state: State, reference: Reference, now) -> State:
-    """Memberships of all profiles, brought up to date."""
+    """Memberships of all profiles, brought up to date in one pass over the upcoming events."""
     moment = F.lit(now).cast("timestamp")
+    profiles = reference.profiles
+    if not profiles:
+        return state
     upcoming = publish.with_sources(state.events.where(publish.is_upcoming(moment)), state.links)
-    members = state.members.limit(0)
-    known = state.members.where(~F.col("profile_id").isin([p.profile_id for p in reference.profiles]))
-    for profile in reference.profiles:
-        considered = classify.events_of_sources(upcoming, state.links, profile.sources)
-        inside = spatial.region_members(considered, reference.polygons.where(F.col("region_id") == profile.region_id), ["event_id"]).select("event_id", F.lit(True).alias("_in"))
-        joined = considered.join(inside, "event_id", "left")
-        takes = classify.admits(profile, F.col("source_ids"), F.coalesce("_in", F.lit(False)), F.col("lat").isNotNull(), F.col("attendance_mode"), F.col("title"), F.col("description"))
-        own = state.members.where(F.col("profile_id") == profile.profile_id).select("event_id", "first_seen")
-        now_members, _ = classify.sync_members(own, considered, joined.where(takes), moment)
-        members = members.unionByName(now_members.withColumn("profile_id", F.lit(profile.profile_id)).select(*members.columns))
-    state.members = written(members.unionByName(known), "members")
+    wanted = reference.polygons.where(F.col("region_id").isin([p.region_id for p in profiles]))
+    inside = spatial.region_members(upcoming, wanted, ["event_id"]).groupBy("event_id").agg(F.collect_set("region_id").alias("_regions"))
+    joined = upcoming.join(inside, "event_id", "left")
+    named = lambda p: F.lit(p.profile_id)
+    takes = lambda p: F.lit(True) if p.sources is None else F.coalesce(F.arrays_overlap("source_ids", F.array(*map(F.lit, p.sources)).cast("array<string>")), F.lit(False))
+    admits = lambda p: classify.admits(p, F.col("source_ids"), F.coalesce(F.array_contains("_regions", p.region_id), F.lit(False)), F.col("lat").isNotNull(), F.col("attendance_mode"), F.col("title"), F.col("description"))
+    judged = joined.select("event_id", F.explode(F.array_compact(F.array(*[F.when(takes(p), F.struct(named(p).alias("profile_id"), admits(p).alias("member"))) for p in profiles]))).alias("j")).select("event_id", "j.*")
+    judged = written(judged, "judged")
+    keys = ("event_id", "profile_id")
+    members, _ = classify.sync_members(state.members.select(*keys, "first_seen"), judged, judged.where("member"), moment, keys)
+    state.members = written(members.select(*state.members.columns), "members")
     return state
 
 
@@ -146,13 +194,24 @@ def feed(state: State, reference: Reference, now) -> DataFrame:
     return spatial.area_labels(rows, reference.polygons, ["profile_id", "event_id"]).withColumn("kinds", classify.published_kinds(F.col("kinds"), F.col("rule_kinds"))).drop("rule_kinds")
 
 
-def run(state: State, incoming: DataFrame, drafts_of, reference: Reference, now, run_id: str, path: str) -> tuple[State, bool]:
-    """One day, in this order: ingest, locate, judge, merge, classify, select, publish. Returns the new state and whether it was published."""
-    state, metrics, _ = ingest(state, incoming, drafts_of, reference, now, run_id)
+def run(state: State, incoming: DataFrame, drafts_of, reference: Reference, now, run_id: str, path: str) -> tuple[State, Report]:
+    """One day, in this order: choose sources, ingest, locate, judge, merge, classify, select, publish. Returns the new state and a report.
+
+    Sources that have been unhealthy for long are passed over but for a weekly probe; they get run rows
+    of status disabled.
+    """
+    moment = F.lit(now).cast("timestamp")
+    chosen = written(health.select_sources(reference.sources.where("enabled").select("source_id"), health.source_states(state.runs), moment), "chosen")
+    active = chosen.where("fetch").select("source_id")
+    state, metrics, rejects = ingest(state, incoming.join(F.broadcast(active), "source_id", "left_semi"), drafts_of, reference, now, run_id, active=active)
     state = located(state, reference, now)
-    state.runs = written(state.runs, "runs")
+    state.runs = written(state.runs.unionByName(health.skipped_runs(chosen, run_id, moment).select(*state.runs.columns)), "runs")
+    today = judged_runs(state).where(F.col("run_id") == run_id)
     state = assigned(classified(merged(state, reference, now), reference, now), reference, now)
-    return state, publish.publish(feed(state, reference, now), metrics, run_id, path, F.lit(now).cast("timestamp"))
+    of_run = state.runs.where(F.col("run_id") == run_id)
+    published = publish.publish(feed(state, reference, now), of_run, run_id, path, moment, reference.names, reference.site)
+    drift = health.drift_samples(today.where("not healthy"), state.raw.where(F.col("run_id") == run_id))
+    return state, Report(published, metrics, rejects, health.alerts(today), drift)
 
 
 def judged_runs(state: State) -> DataFrame:

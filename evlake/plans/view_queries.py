@@ -70,8 +70,8 @@ def geocode_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("with " + _ADDRESS + """,
 d as (select distinct k, regexp_extract(k, ' ([a-z]+) (\\d{5})$', 1) as st, regexp_extract(k, '(\\d{5})$', 1) as zip from a)
-select k as address_key, case when st = 'il' and zip::int % 3 = 0 then zip::double / 1000 else 39.0 end as lat, case when st = 'il' and zip::int % 3 = 0 then 'postal' else 'place' end as precision
-from d where (st = 'il') or st = 'california'
+select k as address_key, case when zip::int % 3 = 0 then zip::double / 1000 else 39.0 end as lat, case when zip::int % 3 = 0 then 'postal' else 'place' end as precision
+from d where st = 'il' or st = 'california'
 """)
 def zip_place_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Addresses by postal code where the code is known, else by state and city."""
@@ -245,14 +245,6 @@ def feed_top100(spark: SparkSession, sf_dir: str) -> DataFrame:
     return publish.newest(_feed(spark, sf_dir)).select("profile_id", "event_id", "place")
 
 
-@query()
-def feed_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The calendar text of each upcoming event."""
-    plain = {c: F.lit(None).cast("string") for c in ("description", "url", "address")}
-    full = _feed(spark, sf_dir).withColumns({"title": F.concat(F.lit("Order, "), F.col("event_id")), "venue": F.col("profile_id"), "lat": F.lit(1.5), "lon": F.lit(2.5), "kinds": F.array(F.lit("talk"), F.lit("meetup")), **plain})
-    return full.select("profile_id", "event_id", publish.ics_event(ts("1998-06-01")).alias("ics"))
-
-
 @query("""
 with m as (select c_custkey, c_name, c_mktsegment, row_number() over (order by lower(c_mktsegment), c_custkey) as k, count(*) over () as matched from customer where contains(lower(c_name || ' ' || c_mktsegment), 'cust') and contains(lower(c_name || ' ' || c_mktsegment), '1'))
 select c_custkey, cast(3 as int) as page, cast(ceil(matched / 25.0) as int) as pages, cast(matched as int) as matched from m where k between 51 and 75

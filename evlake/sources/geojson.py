@@ -34,8 +34,12 @@ def polygons(files: DataFrame) -> DataFrame:
     """
     parsed = files.select("region_id", F.from_json("body", f"struct<type: string, features: {_FEATURES}, properties: struct<name: string>, geometry: {_GEOMETRY}, coordinates: string>").alias("j"))
     single = F.array(F.struct(F.col("j.properties").alias("properties"), F.coalesce("j.geometry", F.struct("j.type", "j.coordinates")).alias("geometry")))
-    features = parsed.select("region_id", F.posexplode(F.coalesce("j.features", single)).alias("_feature", "f"))
-    shapes = features.select("region_id", "_feature", F.col("f.properties.name").alias("name"), F.posexplode(_rings(F.col("f.geometry.type"), F.col("f.geometry.coordinates"))).alias("_part", "rings"))
+    features = F.coalesce("j.features", single)
+    found = F.flatten(F.transform(features, lambda f, i: F.transform(
+        F.coalesce(_rings(f["geometry"]["type"], f["geometry"]["coordinates"]), F.array().cast(f"array<array<{_RING}>>")),
+        lambda rings, k: F.struct(i.alias("_feature"), k.alias("_part"), f["properties"]["name"].alias("name"), rings.alias("rings")))))
+    some = F.when(F.size(found) > 0, found).otherwise(F.raise_error(F.concat(F.lit("no polygon in region "), "region_id")))
+    shapes = parsed.select("region_id", F.explode(some).alias("s")).select("region_id", "s.*")
     outer = F.get("rings", F.lit(0))
     xs, ys = F.transform(outer, lambda p: F.get(p, F.lit(0))), F.transform(outer, lambda p: F.get(p, F.lit(1)))
     out = shapes.select(
@@ -46,4 +50,5 @@ def polygons(files: DataFrame) -> DataFrame:
 
 def check_polygons(files: DataFrame) -> DataFrame:
     """(region_id, problem) for files without any polygon."""
-    return files.join(polygons(files).select("region_id").distinct(), "region_id", "left_anti").select("region_id", F.lit("no polygon").alias("problem"))
+    shape = r'"type"\s*:\s*"(?:Multi)?Polygon"'
+    return files.where(~F.coalesce(F.col("body").rlike(shape), F.lit(False))).select("region_id", F.lit("no polygon").alias("problem"))

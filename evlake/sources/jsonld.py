@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.keys import content_hash
 from ..functions.geo import attendance_mode, capacity, location_fields, organization_name, postal_address, with_state
 from ..functions.text import clean_text, enum_suffix
 from ..functions.times import dates_only, parse_iso, zone_for_offset
@@ -19,10 +20,13 @@ _SCRIPT = r"""(?is)<script\b[^>]*?\btype\s*=\s*["']?\s*application/ld\+json\s*(?
 _WRAPPER = r"(?s)^\s*(?:<!--|//\s*<!\[CDATA\[|/\*\s*<!\[CDATA\[\s*\*/|<!\[CDATA\[)?(.*?)(?:-->|//\s*\]\]>|/\*\s*\]\]>\s*\*/|\]\]>)?\s*$"
 
 
+def _bodies(html: str) -> Column:
+    return F.transform(F.regexp_extract_all(html, F.lit(_SCRIPT), F.lit(1)), lambda b: F.regexp_replace(b, _WRAPPER, "$1"))
+
+
 def blocks(pages: DataFrame, page: str = "url", html: str = "html") -> DataFrame:
     """(page, block, body): the structured-data scripts of each page, without comment marks around them."""
-    found = F.transform(F.regexp_extract_all(html, F.lit(_SCRIPT), F.lit(1)), lambda b: F.regexp_replace(b, _WRAPPER, "$1"))
-    return pages.select(F.col(page).alias("page"), F.posexplode(found).alias("block", "body"))
+    return pages.select(F.col(page).alias("page"), F.posexplode(_bodies(html)).alias("block", "body"))
 
 
 def _types(node: dict) -> list[str]:
@@ -52,7 +56,8 @@ def nodes(pages: DataFrame, page: str = "url", html: str = "html") -> DataFrame:
     """(page, pos, types, nested, node): every object of a page's structured data as JSON text, depth first.
 
     nested says that it lies in an event. Blocks that aren't JSON, or are nested beyond Python's depth, are
-    passed over. JSON of any shape can't be typed beforehand, so one Arrow pass walks each page's blocks.
+    passed over. JSON of any shape can't be typed beforehand, so one Arrow pass walks each page's blocks;
+    nothing is shuffled, and rows of one url stay apart.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,8 +77,8 @@ def nodes(pages: DataFrame, page: str = "url", html: str = "html") -> DataFrame:
             kinds = [pa.string(), pa.int64(), pa.list_(pa.string()), pa.bool_(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["page", "pos", "types", "nested", "node"])
 
-    by_page = blocks(pages, page, html).groupBy("page").agg(F.transform(F.array_sort(F.collect_list(F.struct("block", "body"))), lambda b: b["body"]).alias("bodies"))
-    return by_page.mapInArrow(rows, "page string, pos long, types array<string>, nested boolean, node string")
+    with_blocks = pages.select(F.col(page).alias("page"), _bodies(html).alias("bodies")).where("size(bodies) > 0")
+    return with_blocks.mapInArrow(rows, "page string, pos long, types array<string>, nested boolean, node string")
 
 
 def event_nodes(found: DataFrame) -> DataFrame:
@@ -107,10 +112,26 @@ def _address(place: Column) -> Column:
     return F.when(a.startswith("{"), postal_address(*parts, F.when(~country.startswith("{"), country))).otherwise(a)
 
 
+# Properties of an event, of its places and of its organizers that are kept.
+EVENT_KEYS = ["@id", "@type", "description", "endDate", "eventAttendanceMode", "eventStatus", "location", "maximumAttendeeCapacity", "name", "organizer", "previousStartDate", "startDate", "url"]
+PLACE_KEYS = ["@type", "address", "geo", "latitude", "longitude", "name", "url"]
+ORGANIZER_KEYS = ["@type", "name", "url"]
+
+
 def slim(node: Column) -> Column:
-    """What of an event node is kept: prices, images and the like change without the event changing."""
-    event = "name: string, description: string, startDate: string, endDate: string, eventAttendanceMode: string, eventStatus: string, url: string, maximumAttendeeCapacity: string, location: string, organizer: string"
-    return F.to_json(F.from_json(node, f"struct<{event}>"))
+    """What of an event node is kept, as JSON text: prices, images and the like change without the event changing.
+
+    Places and organizers are cut in the same way, one by one where there are several; other values stay
+    whole. Keys come in order at every level, so their order in the page doesn't matter.
+    """
+    row = lambda keys: "struct<" + ", ".join(f"`{k}`: string" for k in keys) + ">"
+    cut = lambda value, keys: F.when(value.startswith("{"), F.to_json(F.from_json(value, row(keys)))).otherwise(value)
+    event = F.from_json(F.to_json(F.try_parse_json(node)), row(EVENT_KEYS))
+    kept = {k: event[k] for k in EVENT_KEYS}
+    for name, keys in (("location", PLACE_KEYS), ("organizer", ORGANIZER_KEYS)):
+        several = F.to_json(F.transform(F.from_json(event[name], "array<string>"), lambda v: cut(v, keys)))  # noqa: B023
+        kept[name] = F.when(event[name].startswith("["), several).otherwise(cut(event[name], keys))
+    return F.to_json(F.struct(*[v.alias(k) for k, v in kept.items()]))
 
 
 def parse_event_pages(events: DataFrame, only_dates: bool = False, default_state: str | None = None, zone: str = "UTC") -> DataFrame:
@@ -137,7 +158,7 @@ def parse_event_pages(events: DataFrame, only_dates: bool = False, default_state
     address = with_state(at["address"], F.lit(default_state)) if default_state else at["address"]
     status = enum_suffix(_field(n, "eventStatus"))
     return ready.select(
-        "source_id", F.col("page").alias("native_id"), F.sha2(slim(n), 256).alias("content_hash"), F.col("_title").alias("title"), F.left(clean_text(_field(n, "description")), F.lit(MAX_DESCRIPTION)).alias("description"),
+        "source_id", F.col("page").alias("native_id"), content_hash(slim(n)).alias("content_hash"), F.col("_title").alias("title"), F.left(clean_text(_field(n, "description")), F.lit(MAX_DESCRIPTION)).alias("description"),
         F.col("_start").alias("start_utc"), F.when(late, F.col("_end")).alias("end_utc"), zone_for_offset(_field(n, "startDate"), F.lit(zone)).alias("tz"), at["venue"].alias("venue"), address.alias("address"), at["lat"].alias("lat"), at["lon"].alias("lon"),
         attendance_mode(_field(n, "eventAttendanceMode"), at["physical"], at["virtual"]).alias("attendance_mode"), F.when(status == "EventCancelled", "cancelled").otherwise("scheduled").alias("status"),
         organization_name(organizers).alias("organizer"), F.col("page").alias("url"), F.array().cast("array<string>").alias("kinds"), capacity(_field(n, "maximumAttendeeCapacity")).alias("size_signal"),

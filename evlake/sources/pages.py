@@ -19,15 +19,30 @@ def page_links(pages: DataFrame, page: str = "url", html: str = "html") -> DataF
     return joined.groupBy("page", "url").agg(F.min("pos").alias("pos")).select("page", "pos", "url")
 
 
+def candidates(links: DataFrame, items: DataFrame | None = None, fixed: DataFrame | None = None) -> DataFrame:
+    """Candidate pages in one table: links, then item lists and fixed urls of (source_id, page, page_ord, pos, url[, item]).
+
+    On one page items come before links and fixed urls before both, each in its own order.
+    """
+    out = links.withColumn("_rank", F.lit(2)).withColumn("item", F.lit(None).cast("string"))
+    for rank, more in ((1, items), (0, fixed)):
+        if more is not None:
+            out = out.unionByName(more.withColumn("_rank", F.lit(rank)), allowMissingColumns=True)
+    return out.withColumn("pos", F.col("_rank").cast("long") * F.lit(1 << 48) + F.col("pos")).drop("_rank")
+
+
 def frontier(links: DataFrame, pattern: str, cap: int) -> DataFrame:
-    """(source_id, url, place) of links(source_id, page, page_ord, pos, url): canonical pages that match pattern, first come first, at most cap for a source.
+    """(source_id, url, place[, item]) of links(source_id, page, page_ord, pos, url[, item]): canonical pages that match pattern, first come first, at most cap for a source.
 
-    cap is the source's own request limit.
+    The listing page itself is left out. item is that of the first place that has the page. cap is the
+    source's own request limit.
     """
-    ready = links.withColumn("url", canonical_url(F.col("url"))).where((F.col("url") != canonical_url(F.col("page"))) & F.col("url").rlike(pattern))
-    first = ready.groupBy("source_id", "url").agg(F.min(F.struct("page_ord", "pos")).alias("_at"))
+    ready = links.withColumn("_url", canonical_url(F.col("url"))).where(F.col("_url").rlike(pattern)).where(F.col("_url") != canonical_url(F.col("page")))
+    at = F.struct("page_ord", "pos")
+    kept = [F.min_by("item", at).alias("item")] if "item" in links.columns else []
+    first = ready.groupBy("source_id", F.col("_url").alias("url")).agg(F.min(at).alias("_at"), *kept)
     placed = first.withColumn("place", F.row_number().over(Window.partitionBy("source_id").orderBy("_at", "url")))
-    return placed.where(F.col("place") <= cap).select("source_id", "url", "place")
+    return placed.where(F.col("place") <= cap).drop("_at")
 
 
 def refresh_plan(candidates: DataFrame, stored: DataFrame, day: Column, every: int) -> DataFrame:

@@ -11,17 +11,19 @@ from ..functions.urls import host, part
 def read_robots(files: DataFrame, agent: str) -> DataFrame:
     """(host, allow, pattern, delay) of files(host, body): the groups that name agent, else those of *.
 
-    Agent lines in a row share the rules after them; any rule line closes the list, an empty Disallow
-    too, which forbids nothing.
+    A group names an agent if one of its agent lines is the agent's product name (what stands before /),
+    whatever the case. Agent lines share the rules after them; an allow, disallow or delay line closes
+    the list, an empty Disallow too, which forbids nothing. Lines of other fields are passed over.
     """
-    lines = files.select("host", F.posexplode(F.split("body", r"\r?\n")).alias("n", "line")).withColumn("line", F.trim(F.regexp_replace("line", r"#.*$", "")))
-    split = lines.select("host", "n", F.lower(F.trim(F.regexp_extract("line", r"^([^:]*):", 1))).alias("field"), F.trim(F.regexp_extract("line", r"^[^:]*:(.*)$", 1)).alias("value")).where("field <> ''")
+    product = agent.split("/")[0].strip().lower()
+    lines = files.select("host", F.posexplode(F.split("body", r"\r\n|\r|\n")).alias("n", "line")).withColumn("line", F.trim(F.regexp_replace("line", r"#.*$", "")))
+    split = lines.select("host", "n", F.lower(F.trim(F.regexp_extract("line", r"^([^:]*):", 1))).alias("field"), F.trim(F.regexp_extract("line", r"^[^:]*:(.*)$", 1)).alias("value")).where("field in ('user-agent', 'allow', 'disallow', 'crawl-delay')")
     order = Window.partitionBy("host").orderBy("n")
     opens = (F.col("field") == "user-agent") & (F.coalesce(F.lag("field").over(order), F.lit("")) != "user-agent")
     grouped = split.withColumn("_opens", opens.cast("int")).withColumn("group", F.sum("_opens").over(order))
-    agents = grouped.where("field = 'user-agent'").select("host", "group", F.when(F.col("value") == "*", 0).when(F.contains(F.lit(agent.lower()), F.lower("value")), 1).alias("specific")).where("specific is not null")
+    agents = grouped.where("field = 'user-agent'").select("host", "group", F.when(F.col("value") == "*", 0).when(F.lower("value") == product, 1).alias("specific")).where("specific is not null")
     ranked = agents.withColumn("_best", F.max("specific").over(Window.partitionBy("host"))).where("specific = _best").select("host", "group").distinct()
-    rules = grouped.where("field in ('allow', 'disallow', 'crawl-delay')").join(ranked, ["host", "group"])
+    rules = grouped.where("field <> 'user-agent'").join(ranked, ["host", "group"])
     delay = rules.where("field = 'crawl-delay'").groupBy("host").agg(F.max(F.col("value").try_cast("double")).alias("delay"))
     paths = rules.where("field <> 'crawl-delay' and value <> ''").select("host", (F.col("field") == "allow").alias("allow"), F.col("value").alias("pattern"))
     return paths.join(delay, "host", "left")

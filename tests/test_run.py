@@ -1,4 +1,5 @@
 import datetime as dt
+import json
 
 from pyspark.sql import functions as F
 
@@ -34,12 +35,14 @@ def records(spark, *feeds):
 def test_a_day_and_the_next(spark, tmp_path):
     state, reference = setup(spark)
     incoming = records(spark, ("a", feed_text("AI Night")), ("b", feed_text("AI Night!", uid="9")))
-    state, published = daily.run(state, incoming, ics.parse_ics, reference, NOW, "r1", str(tmp_path / "one"))
+    state, report = daily.run(state, incoming, ics.parse_ics, reference, NOW, "r1", str(tmp_path / "one"))
     (event,) = state.events.collect()
     # two postings of one event: the higher priority's title, the lower id
-    assert published and event.title == "AI Night!" and event.rule_kinds == ["meetup", "talk"] and state.links.count() == 2 and state.aliases.count() == 1
+    assert report.published and event.title == "AI Night!" and event.rule_kinds == ["meetup", "talk"] and state.links.count() == 2 and state.aliases.count() == 1
     assert {(r.source_id, r.fetched, r.parsed, r.parse_errors) for r in state.runs.collect()} == {("a", 2, 1, 1), ("b", 2, 1, 1)}
-    assert spark.read.text(str(tmp_path / "one/json")).count() == 1
+    document = json.loads("\n".join(r.value for r in spark.read.text(str(tmp_path / "one/json")).collect()))
+    assert (document["count"], document["profile"], [e["title"] for e in document["events"]]) == (1, {"id": "p", "name": "p"}, ["AI Night!"])
+    assert report.alerts.count() == 0 and {(r.source_id, len(r.records)) for r in report.drift.collect()} == {("a", 2), ("b", 2)}
     again, _, _ = daily.ingest(state, incoming, ics.parse_ics, reference, NOW + dt.timedelta(days=1), "r2")
     assert {(r.source_id, r.changed) for r in again.runs.where("run_id = 'r2'").collect()} == {("a", 0), ("b", 0)}
     (same,) = again.events.collect()
@@ -50,5 +53,5 @@ def test_a_day_and_the_next(spark, tmp_path):
 
 def test_nothing_is_published_when_all_sources_fail(spark, tmp_path):
     state, reference = setup(spark)
-    _, published = daily.run(state, records(spark), ics.parse_ics, reference, NOW, "r1", str(tmp_path / "none"))
-    assert not published and not (tmp_path / "none").exists()
+    _, report = daily.run(state, records(spark), ics.parse_ics, reference, NOW, "r1", str(tmp_path / "none"))
+    assert not report.published and not (tmp_path / "none").exists()
