@@ -5,35 +5,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import discard, written, written_at
 
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.sum(F.expr("xxhash64(v, u) % 1000003"))).first())
 
 
-def _least(edges: DataFrame) -> DataFrame:
-    """The least neighbour of each u; min() is combined before the shuffle, so a hub costs no more than any node."""
-    return edges.groupBy("u").agg(F.min("v").alias("m"))
+def _with_least(edges: DataFrame) -> tuple[DataFrame, str]:
+    """edges with m, the least neighbour of each u, and where these are written.
+
+    min() is combined before the shuffle; the join reads its result from storage, so that Spark can
+    split the edges of a hub among tasks.
+    """
+    least, path = written_at(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
+    return edges.join(least, "u"), path
 
 
 def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
     """(node, root) for every node of an edge; root is the least node of its component.
 
     Nodes are of any orderable type. Each round hooks every node to a smaller one and is written to
-    shared storage. Nulls and self-loops are ignored; repeated edges count once; no edges give no rows.
+    shared storage; what a round no longer needs is deleted. Nulls and self-loops are ignored; repeated
+    edges count once; no edges give no rows.
     """
     a, b = F.col(left), F.col(right)
-    now = written(edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
+    now, path = written_at(edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
     state = _state(now)
     while state[0]:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_least(both), "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
-        large = large.where("u != v").distinct()
-        joined = large.join(_least(large), "u")
+        both, least = _with_least(now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+        large = both.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+        large, larger = written_at(large.where("u != v").distinct(), "edges")
+        joined, smaller = _with_least(large)
         small = joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).distinct()
-        now = written(small, "edges")
+        after, new = written_at(small, "edges")
+        for old in (path, least, larger, smaller):
+            discard(now.sparkSession, old)
+        now, path = after, new
         before, state = state, _state(now)
         if state == before:
             break
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    roots = written(now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()), "roots")
+    discard(now.sparkSession, path)
+    return roots

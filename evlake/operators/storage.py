@@ -6,22 +6,39 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the cluster names no folder of its own, as in tests.
+#: Used only in local mode, where driver and executors are one process, and only if no folder is named.
 OWN_DIR = "/tmp/checkpoints/evlake"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; set to OWN_DIR where it is unset."""
+    """The folder that spark.checkpoint.dir names. In local mode it may be unset, and is then set to OWN_DIR; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.conf.set("spark.checkpoint.dir", OWN_DIR)
         found = OWN_DIR
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage, and a lost executor costs nothing."""
+def written_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """written(), and where it lies."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts lineage, and a lost executor costs nothing.
+
+    It stays there, as results read it later; a cluster clears the folder as it does checkpoints.
+    """
+    return written_at(df, name)[0]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a table of written_at(); nothing may read it any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
