@@ -54,7 +54,9 @@ def classified(events: DataFrame, event_sources: DataFrame, default_kinds: DataF
 
 
 def published_kinds(kinds: Column, rule_kinds: Column) -> Column:
-    return F.array_sort(F.array_union(kinds, rule_kinds))
+    """Kinds of an event's sources and of the rules together, sorted; null counts as none."""
+    none = F.array().cast("array<string>")
+    return F.array_sort(F.array_union(F.coalesce(kinds, none), F.coalesce(rule_kinds, none)))
 
 
 def admits(profile: Profile, sources: Column, in_region: Column, located: Column, mode: Column, title: Column, description: Column) -> Column:
