@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import gc
-import uuid
+import contextlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evlake.operators.storage import shared_dir, written  # noqa: F401
+from evlake.operators.storage import discard, shared_dir, written, written_at  # noqa: F401
 
 #: White space of the word and line contracts: space and \t \n \x0b \x0c \r.
 SPACE = " \t\n\x0b\x0c\r"
@@ -23,37 +24,55 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """written(), and where it lies."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
+#: Settings for chains of written tables: shuffle files go when a query ends, and Arrow batches are small.
+_CHAIN = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    """Deletes a table of written_at(); nothing may read it any more."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """While it lasts, Spark deletes the shuffle files of a query when the query ends, and sends workers small batches; the session's settings come back."""
+    before = {name: spark.conf.get(name) for name in _CHAIN}
+    for name, value in _CHAIN.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of queries that have ended, which it does when the driver collects garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
+#: Bytes of a batch that a worker turns into Python objects at a time, about; a longer text is alone.
+BATCH_BYTES = 2 << 20
 
 
-def arrow_map(df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """mapInArrow, one output batch for each input batch.
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about BATCH_BYTES, whatever the lengths of its texts."""
+    if batch.nbytes <= BATCH_BYTES:
+        yield batch
+        return
+    sizes = np.full(batch.num_rows, 64.0)
+    for column in batch.columns:
+        texts = [column] if not pa.types.is_struct(column.type) else column.flatten()
+        for c in texts:
+            if pa.types.is_string(c.type) or pa.types.is_binary(c.type):
+                sizes += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+            elif pa.types.is_list(c.type):
+                sizes += 8 * pc.fill_null(pc.list_value_length(c), 0).to_numpy(zero_copy_only=False)
+    part = (np.cumsum(sizes) // BATCH_BYTES).astype(np.int64)
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(edges, edges[1:]):
+        yield batch.slice(a, b - a)
+
 
-    Batches hold few rows, so that long texts stay within a worker's memory.
-    """
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+def arrow_map(df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+    """mapInArrow, with rows() called on parts of bounded size, so that long texts stay within a worker's memory."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows and (out := rows(batch)) is not None:
-                yield out
+            if batch.num_rows:
+                for part in slices(batch):
+                    if (out := rows(part)) is not None:
+                        yield out
 
     return df.mapInArrow(over, schema)
 
