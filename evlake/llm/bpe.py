@@ -6,10 +6,11 @@ import base64
 import functools
 import itertools
 import sys
-import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,16 +91,24 @@ def _scan(elements: np.ndarray, product: np.ndarray) -> np.ndarray:
     return grid.T.ravel()[:n]
 
 
+def _members(pattern: str, points: np.ndarray) -> np.ndarray:
+    """Those of the code points that a class matches, by the Unicode tables of the library whose ids are wanted.
+
+    With a token for each byte, that library's encoder gives back what the pattern matches and nothing else.
+    """
+    encoder = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+    text = points.astype("<u4").tobytes().decode("utf-32-le")
+    return np.frombuffer(bytes(encoder.encode_ordinary(text)).decode().encode("utf-32-le"), np.uint32)
+
+
 @functools.cache
 def _classes() -> np.ndarray:
-    """The symbol of every code point: Unicode categories L and N, and the White_Space property."""
+    """The symbol of every code point: Unicode categories L and N, and white space."""
+    points = np.arange(sys.maxunicode + 1)
+    points = points[(points < 0xD800) | (points > 0xDFFF)]
     out = np.full(sys.maxunicode + 1, _OTHER, np.uint8)
-    for c in range(sys.maxunicode + 1):
-        kind = unicodedata.category(chr(c))[0]
-        if kind in "LN":
-            out[c] = _LETTER if kind == "L" else _NUMBER
-    # The White_Space code points.
-    out[[*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = _BLANK
+    for pattern, symbol in ((r"\p{L}", _LETTER), (r"\p{N}", _NUMBER), (r"\s", _BLANK)):
+        out[_members(pattern, points)] = symbol
     out[0x20] = _SPACE
     out[ord("'")] = _QUOTE
     out[[ord(c) for c in "stmd"]] = _SHORT
@@ -265,15 +274,60 @@ def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: s
     return arrow_map(keyed(docs, id_col, text_col), rows, schema)
 
 
-def decode(ids: Column, ranks_path: str) -> Column:
-    """The bytes of an array of ids; null for null. An unknown id fails the job."""
+class _Pieces(dict):
+    """The bytes of the pre-tokens seen so far, by the bytes of their ids."""
+
+    def __init__(self, bytes_of: list[bytes]) -> None:
+        self.bytes_of = bytes_of
+
+    def __missing__(self, ids: bytes) -> bytes:
+        found = b"".join([self.bytes_of[i] for i in np.frombuffer(ids, np.int32).tolist()])
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        if len(ids) <= 64:
+            self[ids] = found
+        return found
+
+
+@functools.cache
+def _pieces(path: str) -> _Pieces:
+    return _Pieces(vocabulary(path).bytes_of)
+
+
+def decode(ids: Column, ranks_path: str, counts: Column | None = None) -> Column:
+    """The bytes of an array of ids; null for null. An unknown id fails the job.
+
+    With counts, the number of ids of each pre-token, what a pre-token decodes to is looked up as a whole.
+    """
+
+    def cut(values: np.ndarray, sizes: np.ndarray | None) -> bytes:
+        if sizes is None:
+            bytes_of = vocabulary(ranks_path).bytes_of
+            return b"".join([bytes_of[i] for i in values.tolist()])
+        data, ends = values.astype(np.int32).tobytes(), (4 * np.cumsum(sizes)).tolist()
+        return b"".join(map(_pieces(ranks_path).__getitem__, [data[a:b] for a, b in zip([0, *ends], ends)]))
+
+    def lists(batch: pa.Array) -> Iterator[np.ndarray]:
+        values, ends = batch.values.to_numpy(zero_copy_only=False), batch.offsets.to_numpy()
+        return (values[a:b] for a, b in zip(ends, ends[1:]))
+
+    if counts is None:
+
+        @F.arrow_udf("binary")
+        def joined(batch: pa.Array) -> pa.Array:
+            return pa.array([None if gone else cut(x, None) for x, gone in zip(lists(batch), batch.is_null().to_pylist())], pa.binary())
+
+        return joined(ids)
 
     @F.arrow_udf("binary")
-    def joined(batch: pa.Array) -> pa.Array:
-        bytes_of = vocabulary(ranks_path).bytes_of
-        values = batch.values.to_numpy(zero_copy_only=False)
-        ends = batch.offsets.to_numpy()
-        out = [None if gone else b"".join([bytes_of[i] for i in values[a:b].tolist()]) for a, b, gone in zip(ends, ends[1:], batch.is_null().to_pylist())]
-        return pa.array(out, pa.binary())
-
-    return joined(ids)
+    def by_piece(batch: pa.Array, sizes: pa.Array) -> pa.Array:
+        return pa.array([None if gone else cut(x, n) for x, n, gone in zip(lists(batch), lists(sizes), batch.is_null().to_pylist())], pa.binary())
+
+    return by_piece(ids, counts)
+
+
+def pre_token_text(text: Column, offsets: Column, place: Column) -> Column:
+    """The pre-token at a place, from 0, of a text, by the offsets of encode(); null beyond the last."""
+    start = F.get(offsets, place)
+    end = F.coalesce(F.get(offsets, place + 1), F.length(text))
+    return F.substring(text, start + 1, end - start)

@@ -52,39 +52,55 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return slim.join(split, F.col("digest") == F.col("_split"), "left").select("doc_id", fingerprint_name(F.col("digest"), F.col("_split").isNotNull(), F.col("sha")).alias("fingerprint"))
 
 
-def _next_bucket(buckets: DataFrame, levels: int) -> DataFrame:
-    """(bucket, next_bucket): for each different bucket the next lower one, the highest for the lowest.
+#: Rows of a last window, at most: so many numbers are left when ids are shifted often enough.
+LAST_WINDOW = 1024
 
-    Within windows of WINDOW_IDS numbers first; what is last in its window gets the highest bucket of
-    the next lower window, found in the same way. The last level holds a number for WINDOW_IDS ** (levels + 2) ids.
+
+def _next_bucket(buckets: DataFrame, span: int) -> DataFrame:
+    """(chain, bucket, next_bucket): for each different bucket of a chain the next lower one, null for the lowest.
+
+    Windows of WINDOW_IDS numbers first; what is last in its window gets the highest bucket of the next
+    lower window, found in the same way until no more than LAST_WINDOW numbers are left, however the
+    buckets are spread over a range of span. So no window holds more.
     """
-    if not levels:
-        everywhere = Window.orderBy(F.desc("bucket"))
-        first = F.first("bucket").over(everywhere)
-        return buckets.select("bucket", F.coalesce(F.lead("bucket").over(everywhere), first).alias("next_bucket"))
+    if span <= LAST_WINDOW:
+        everywhere = Window.partitionBy("chain").orderBy(F.desc("bucket"))
+        return buckets.select("chain", "bucket", F.lead("bucket").over(everywhere).alias("next_bucket"))
     # shiftright floors where integer division would round towards zero
     grouped = buckets.withColumn("above", F.shiftright("bucket", 10))
-    inside = grouped.withColumn("lower", F.lead("bucket").over(Window.partitionBy("above").orderBy(F.desc("bucket"))))
-    tops = grouped.groupBy("above").agg(F.max("bucket").alias("top"))
-    after = _next_bucket(tops.select(F.col("above").alias("bucket")), levels - 1).select(F.col("bucket").alias("above"), F.col("next_bucket").alias("next_above"))
-    nexts = after.join(tops.select(F.col("above").alias("next_above"), F.col("top").alias("next_top")), "next_above").select("above", "next_top")
-    return inside.join(nexts, "above").select("bucket", F.coalesce("lower", "next_top").alias("next_bucket"))
+    inside = grouped.withColumn("lower", F.lead("bucket").over(Window.partitionBy("chain", "above").orderBy(F.desc("bucket"))))
+    tops = grouped.groupBy("chain", "above").agg(F.max("bucket").alias("top"))
+    after = _next_bucket(tops.select("chain", F.col("above").alias("bucket")), (span >> 10) + 1).select("chain", F.col("bucket").alias("above"), F.col("next_bucket").alias("next_above"))
+    nexts = after.join(tops.select("chain", F.col("above").alias("next_above"), F.col("top").alias("next_top")), ["chain", "next_above"], "left").select("chain", "above", "next_top")
+    return inside.join(nexts, ["chain", "above"]).select("chain", "bucket", F.coalesce("lower", "next_top").alias("next_bucket"))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) with next_text, that of the next row by descending doc_id (after the last: the first).
 
     A window sees the rows of WINDOW_IDS ids; only the first row of each such bucket travels further,
-    to the last of the bucket above. Equal ids follow one another by text, null ids come last.
+    to the last of the bucket above. Equal ids follow one another by a hash of their texts and by text.
+    Null ids come last, in the order of such hashes, a chain of their own with buckets of hashes.
     """
-    order = [F.desc_nulls_last("doc_id"), F.desc("text")]
-    # ids below any true one keep null ids in a bucket of their own
-    placed = docs.withColumn("bucket", F.coalesce(F.shiftright("doc_id", 10), F.lit(-(2**62))))
-    within = Window.partitionBy("bucket").orderBy(*order)
+    # no id and no hash stands alone: both are numbers whose high bits are a bucket
+    null_id = F.col("doc_id").isNull()
+    placed = docs.withColumn("digest", F.xxhash64("text")).withColumns({"chain": null_id.cast("int"), "number": F.coalesce("doc_id", "digest")}).withColumn("bucket", F.shiftright("number", 10))
+    low, high = placed.agg(F.min("bucket"), F.max("bucket")).first()
+    order = [F.desc("number"), F.desc("digest"), F.desc("text")]
+    within = Window.partitionBy("chain", "bucket").orderBy(*order)
     inner = placed.withColumns({"inner_next": F.lead("text").over(within), "is_last": F.lead(F.lit(True)).over(within).isNull()})
-    heads = placed.withColumn("place", F.row_number().over(within)).where("place = 1").select(F.col("bucket").alias("next_bucket"), F.col("text").alias("head"))
-    nexts = _next_bucket(placed.select("bucket").distinct(), 2).join(heads, "next_bucket").select("bucket", "head")
-    return inner.join(nexts, "bucket").select("doc_id", "text", F.when(F.col("is_last"), F.col("head")).otherwise(F.col("inner_next")).alias("next_text"))
+    heads = placed.withColumn("place", F.row_number().over(within)).where("place = 1").select("chain", F.col("bucket").alias("next_bucket"), F.col("text").alias("head"))
+    follows = _next_bucket(placed.select("chain", "bucket").distinct(), (high or 0) - (low or 0) + 1)
+    # after the last bucket of the ids come the null ids, and after these the ids begin again
+    ends = placed.groupBy("chain").agg(F.max("bucket").alias("top"))
+    ends = ends.withColumn("after", (F.col("chain") + 1) % 2)
+    both = ends.select(F.col("after").alias("next_chain"), F.col("chain").alias("from_chain")).join(ends.select(F.col("chain").alias("next_chain"), "top"), "next_chain")
+    own = ends.select(F.col("chain").alias("from_chain"), F.col("chain").alias("own_chain"), F.col("top").alias("own_top"))
+    turns = own.join(both, "from_chain", "left").select(F.col("from_chain").alias("chain"), F.coalesce("next_chain", "own_chain").alias("next_chain"), F.coalesce("top", "own_top").alias("first_bucket"))
+    linked = follows.join(F.broadcast(turns), "chain").select(
+        "chain", "bucket", F.when(F.col("next_bucket").isNull(), F.col("next_chain")).otherwise(F.col("chain")).alias("to_chain"), F.coalesce("next_bucket", "first_bucket").alias("next_bucket"))
+    nexts = linked.join(heads.withColumnRenamed("chain", "to_chain"), ["to_chain", "next_bucket"]).select("chain", "bucket", "head")
+    return inner.join(nexts, ["chain", "bucket"]).select("doc_id", "text", F.when(F.col("is_last"), F.col("head")).otherwise(F.col("inner_next")).alias("next_text"))
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -6,10 +6,13 @@ number, a date a date, and equal values become equal ones in every document.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import functools
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .columns import let
+from .columns import let, unused_name
 
 ROUNDS = 8
 #: Dates from 1900-01-01 on, as many as 128 * 571: two Feistel halves that fill the range.
@@ -163,14 +166,26 @@ def pseudonymised(docs: DataFrame, key: str, text_col: str = "text") -> DataFram
     A null text stays null, with none found; an invalid number stays as it is. Row by row, without a
     shuffle; texts without a digit or @ are passed on. key is a secret that whoever holds can link by.
     """
-    text = F.col(text_col)
+    text = F.col(f"`{text_col}`")
+    docs = docs.drop("n_private")
+    found, new = (unused_name(docs, n) for n in ("found", "new"))
     matches = F.regexp_extract_all(text, F.lit(_ANY), F.lit(0))
-    with_found = docs.drop("n_private").withColumn("_found", F.when(text.rlike("[0-9@]"), matches))
-    with_new = with_found.withColumn("_new", F.transform("_found", lambda m: pseudonym(m, F.lit(key))))
+    with_found = docs.withColumn(found, F.when(text.rlike("[0-9@]"), matches))
+    with_new = with_found.withColumn(new, F.transform(found, lambda m: pseudonym(m, F.lit(key))))
 
     def piece(between: Column, i: Column) -> Column:
-        return F.concat(between, F.coalesce(F.get(F.col("_new"), i), F.get(F.col("_found"), i), F.lit("")))
+        return F.concat(between, F.coalesce(F.get(F.col(new), i), F.get(F.col(found), i), F.lit("")))
 
     rebuilt = F.array_join(F.transform(F.split(text, _ANY, -1), piece), "")
-    n = F.when(F.size("_found") > 0, F.size(F.array_compact("_new"))).otherwise(0).cast("long")
-    return with_new.withColumn("n_private", n).withColumn(text_col, F.when(F.col("n_private") > 0, rebuilt).otherwise(text)).drop("_found", "_new")
+    n = F.when(F.size(found) > 0, F.size(F.array_compact(new))).otherwise(0).cast("long")
+    return with_new.withColumn("n_private", n).withColumn(text_col, F.when(F.col("n_private") > 0, rebuilt).otherwise(text)).drop(found, new)
+
+
+@functools.cache
+def _own_key() -> str:
+    return secrets.token_hex(16)
+
+
+def session_key(spark: SparkSession) -> str:
+    """The secret that spark.evlake.pseudonym.key names; without it one drawn for this driver process, under which no other run's pseudonyms link."""
+    return spark.conf.get("spark.evlake.pseudonym.key", None) or _own_key()

@@ -64,6 +64,8 @@ class AdditiveModel:
     offset: float = 0.0
     tables: list[np.ndarray] = field(default_factory=list)
     pairs: list[tuple[int, int]] = field(default_factory=list)
+    #: How many rows it was fitted on.
+    rows: int = 0
     pair_tables: list[np.ndarray] = field(default_factory=list)
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -136,6 +138,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> AdditiveModel:
     bins = [np.searchsorted(e, c, side="right") for e, c in zip(model.edges, x.T)]
     model.tables = [np.zeros(len(e) + 1) for e in model.edges]
     total = np.full(len(y), model.offset)
+    model.rows = len(y)
 
     def slopes() -> tuple[np.ndarray, np.ndarray]:
         p = 1 / (1 + np.exp(-total))

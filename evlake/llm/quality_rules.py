@@ -11,8 +11,10 @@ from .columns import SPACES, let, words_of
 MIN_WORDS = 50
 #: A text fails if more than this share of its words, in percent, lies in repeated three-word windows.
 MAX_REPEAT_PERCENT = 50
-#: A host fails if its shrunken failure rate is above this.
+#: A host fails as a whole if its shrunken failure rate is above this.
 MAX_HOST_RATE = 0.75
+#: Strict limits, for documents of hosts that fail a rule: words in repeated windows, symbols and repeated lines, for 100 words.
+STRICT_REPEAT_PERCENT, STRICT_SYMBOL_PERCENT, STRICT_LINE_PERCENT = 25, 10, 5
 #: Prior strength, in documents, where the hosts' rates don't differ or there is one host.
 _EVEN_STRENGTH = 1e6
 
@@ -57,23 +59,51 @@ def document_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return found.withColumn("base_failed", failed)
 
 
+def strict_failures(rules: DataFrame) -> dict[str, Column]:
+    """The rules that are aggregated by host, each with a stricter limit than a document alone is held to."""
+    n = F.col("n_words")
+    return {
+        "repeats": 100 * F.col("n_repeat_words") > STRICT_REPEAT_PERCENT * n,
+        "symbols": 100 * F.col("n_symbols") > STRICT_SYMBOL_PERCENT * n,
+        "lines": 100 * F.col("n_dup_lines") > STRICT_LINE_PERCENT * n,
+    }
+
+
+def _prior(mean: float | None, variance: float | None) -> tuple[float, float, float]:
+    """(mean, strength, limit) of the beta distribution with the mean and variance of the hosts' rates; limit is a standard deviation above its mean."""
+    if not variance:
+        return mean or 0.0, _EVEN_STRENGTH, 1.0
+    return mean, max(mean * (1 - mean) / variance - 1, 0.0), mean + variance**0.5
+
+
 def host_verdicts(rules: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """(host, n_docs, n_failed, shrunk_rate, host_failed) from document_rules() rows.
+    """(host, n_docs, shrunk_rate, host_failed, and for each strict rule its shrunk rate and whether the host fails it) from document_rules() rows.
 
-    The prior is a beta distribution with the mean and variance of the hosts' failure rates; a host's
-    rate is the posterior mean, so hosts with few documents lean on all others. A null host is one host.
-    The two numbers of the prior are all that reaches the driver.
+    For base_failed and for each of strict_failures() a beta prior is fitted to the hosts' failure rates;
+    a host's rate is the posterior mean, so hosts with few documents lean on all others. A host fails a
+    strict rule if this is over a standard deviation of the prior above its mean, and fails as a whole
+    above max_rate. If all hosts are alike, none fails a rule. A null host is one host. Two numbers of
+    each prior are all that reaches the driver.
     """
-    hosts = rules.groupBy("host").agg(F.count("*").alias("n_docs"), F.count_if("base_failed").alias("n_failed")).withColumn("rate", F.col("n_failed") / F.col("n_docs"))
-    mean, variance = hosts.agg(F.avg("rate"), F.var_pop("rate")).first()
-    strength = max(mean * (1 - mean) / variance - 1, 0.0) if variance else _EVEN_STRENGTH
-    shrunk = (F.col("n_failed") + (mean or 0.0) * strength) / (F.col("n_docs") + strength)
-    return hosts.withColumn("shrunk_rate", shrunk).select("host", "n_docs", "n_failed", "shrunk_rate", (F.col("shrunk_rate") > max_rate).alias("host_failed"))
+    failures = {"base": F.col("base_failed"), **strict_failures(rules)}
+    hosts = rules.groupBy("host").agg(F.count("*").alias("n_docs"), *[F.count_if(f).alias(f"n_{k}") for k, f in failures.items()])
+    hosts = written(hosts.withColumns({f"rate_{k}": F.col(f"n_{k}") / F.col("n_docs") for k in failures}), "hosts")
+    found = hosts.agg(*[f(f"rate_{k}").alias(f"{name}_{k}") for k in failures for name, f in (("mean", F.avg), ("variance", F.var_pop))]).first()
+    out, limits = {}, {}
+    for k in failures:
+        mean, strength, limits[k] = _prior(found[f"mean_{k}"], found[f"variance_{k}"])
+        out[k] = (F.col(f"n_{k}") + mean * strength) / (F.col("n_docs") + strength)
+    verdicts = [c for k in list(failures)[1:] for c in (out[k].alias(f"shrunk_{k}"), (out[k] > limits[k]).alias(f"fails_{k}"))]
+    return hosts.select("host", "n_docs", out["base"].alias("shrunk_rate"), (out["base"] > max_rate).alias("host_failed"), *verdicts)
 
 
 def quality_verdicts(docs: DataFrame, max_rate: float = MAX_HOST_RATE, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """document_rules() with kept: false if the document or its host failed. Empty input: no rows."""
+    """document_rules() with kept: false if the document failed, if its host failed as a whole, or if it fails a strict rule that its host fails. Empty input: no rows."""
     rules = written(document_rules(docs, id_col, text_col, host_col), "rules")
-    verdicts = host_verdicts(rules, max_rate).select(F.col("host").alias("_host"), "host_failed")
+    # read from storage, so that Spark can split the documents of a large host among tasks
+    verdicts = written(host_verdicts(rules, max_rate).withColumnRenamed("host", "_host"), "verdicts")
     joined = rules.join(verdicts, F.col("host").eqNullSafe(F.col("_host")), "left")
-    return joined.withColumn("kept", ~(F.col("base_failed") | F.coalesce("host_failed", F.lit(False)))).drop("_host", "host_failed")
+    failed = F.col("base_failed") | F.col("host_failed")
+    for k, f in strict_failures(rules).items():
+        failed |= f & F.col(f"fails_{k}")
+    return joined.withColumn("kept", ~F.coalesce(failed, F.col("base_failed"))).select(*rules.columns, "kept")

@@ -14,9 +14,6 @@ from ._shared import table
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
 WORD_TOKENIZER = "word_bpe_49k.json"
 
-#: A deployment puts its own secret here.
-PSEUDONYM_KEY = "example pseudonym key"
-
 URL_RULES = [
     ("allow", "org", "/"),
     ("block", "example.org", "/es/"),
@@ -33,8 +30,8 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(BYTE_RANKS)
-    found = bpe.encode(table(spark, sf_dir, "documents"), path, offsets=False)
-    found = found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), bpe.decode(F.col("ids"), path).alias("decoded"))
+    found = bpe.encode(table(spark, sf_dir, "documents"), path)
+    found = found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), bpe.decode(F.col("ids"), path, F.col("counts")).alias("decoded"))
     return found.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
@@ -51,15 +48,18 @@ f as (select doc_id, source, cast(len(words) as bigint) as n_words, cast(coalesc
 g as (select doc_id, unnest(range(1, len(words) - 1)) as i, words from f),
 h as (select doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] as win from g),
 r as (select doc_id, i from (select *, count(*) over (partition by doc_id, win) as n from h) where n >= 2),
-p as (select doc_id, count(distinct pos) as n from (select doc_id, unnest([i, i + 1, i + 2]) as pos from r) group by doc_id),
-b as (select f.doc_id, source, n_words, word_chars, n_symbols, n_dup_lines, cast(coalesce(p.n, 0) as bigint) as n_repeat_words,
-  n_words < 50 or 100 * coalesce(p.n, 0) > 50 * n_words as base_failed from f left join p using (doc_id)),
-s as (select source, count(*) as n, count(*) filter (where base_failed) as bad, count(*) filter (where base_failed) / count(*) as rate from b group by source),
-m as (select avg(rate) as mean, var_pop(rate) as v from s),
-k as (select mean, case when v > 0 then greatest(mean * (1 - mean) / v - 1, 0) else 1e6 end as strength from m),
-d as (select source, (bad + mean * strength) / (n + strength) > 0.75 as host_failed from s, k)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not (base_failed or host_failed) as kept
-from b join d on b.source is not distinct from d.source
+c as (select doc_id, count(distinct pos) as n from (select doc_id, unnest([i, i + 1, i + 2]) as pos from r) group by doc_id),
+b as (select f.doc_id, source, n_words, word_chars, n_symbols, n_dup_lines, cast(coalesce(c.n, 0) as bigint) as n_repeat_words,
+  n_words < 50 or 100 * coalesce(c.n, 0) > 50 * n_words as base_failed from f left join c using (doc_id)),
+x as (select *, 100 * n_repeat_words > 25 * n_words as f1, 100 * n_symbols > 10 * n_words as f2, 100 * n_dup_lines > 5 * n_words as f3 from b),
+s as (select source, count(*) as n, count(*) filter (where base_failed) as b0, count(*) filter (where f1) as b1, count(*) filter (where f2) as b2, count(*) filter (where f3) as b3 from x group by source),
+e as (select source, n, unnest([0, 1, 2, 3]) as k, unnest([b0, b1, b2, b3]) as bad from s),
+m as (select k, avg(bad / n) as mean, var_pop(bad / n) as v from e group by k),
+p as (select k, mean, case when v > 0 then greatest(mean * (1 - mean) / v - 1, 0) else 1e6 end as strength, case when k = 0 then 0.75 when v > 0 then mean + sqrt(v) else 1.0 end as limit_ from m),
+d as (select source, list(k) filter (where (bad + mean * strength) / (n + strength) > limit_) as fails from e join p using (k) group by source)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not (base_failed or coalesce(list_contains(fails, 0) or (f1 and list_contains(fails, 1)) or (f2 and list_contains(fails, 2)) or (f3 and list_contains(fails, 3)), false)) as kept
+from x join d on x.source is not distinct from d.source
 """
 
 
@@ -107,7 +107,7 @@ from d group by doc_id
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
+    return pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), pii.session_key(spark))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
