@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from .storage import discard, written, written_at
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.sum(F.expr("xxhash64(v, u) % 1000003"))).first())
+def _settled(edges: DataFrame) -> bool:
+    """Whether edges, each from a greater node u to a lesser v, are stars: each u has one edge, and no v has one."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    return ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 or (down = 1 and up = 1)").isEmpty()
 
 
 def _with_least(edges: DataFrame) -> tuple[DataFrame, str]:
@@ -31,20 +33,17 @@ def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
     """
     a, b = F.col(left), F.col(right)
     now, path = written_at(edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
-    state = _state(now)
-    while state[0]:
+    while not _settled(now):
         both, least = _with_least(now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))))
         large = both.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
         large, larger = written_at(large.where("u != v").distinct(), "edges")
-        joined, smaller = _with_least(large)
+        # few nodes have many smaller neighbours after that
+        joined = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         small = joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).distinct()
         after, new = written_at(small, "edges")
-        for old in (path, least, larger, smaller):
+        for old in (path, least, larger):
             discard(now.sparkSession, old)
         now, path = after, new
-        before, state = state, _state(now)
-        if state == before:
-            break
     roots = written(now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()), "roots")
     discard(now.sparkSession, path)
     return roots
