@@ -47,3 +47,9 @@ def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
     roots = written(now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()), "roots")
     discard(now.sparkSession, path)
     return roots
+
+
+def joined_components(roots: DataFrame, more: DataFrame, left: str, right: str) -> DataFrame:
+    """(node, root) of roots(node, root) after further edges between nodes that are roots; the graph of roots is all that is walked again."""
+    above = connected_components(more, left, right).toDF("root", "_above")
+    return roots.join(above, "root", "left").select("node", F.coalesce("_above", "root").alias("root"))

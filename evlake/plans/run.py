@@ -45,6 +45,8 @@ class Reference:
     #: (profile_id, name), and the page that feeds link to.
     names: DataFrame | None = None
     site: str = ""
+    #: Folder of the raw log, to which each run appends; without one the log is a union of written tables.
+    raw_path: str = ""
 
 
 @dataclass
@@ -108,8 +110,13 @@ def ingest(state: State, incoming: DataFrame, drafts_of, reference: Reference, n
     active = reference.sources.where("enabled").select("source_id") if active is None else active
     failed = active.join(incoming.select("source_id").distinct(), "source_id", "left_anti").withColumn("error", F.lit("no records"))
     metrics = changes.run_metrics(active, records, failed).withColumns({"run_id": F.lit(run_id), "started_at": F.lit(now).cast("timestamp")})
-    log = written(compared.where("change <> 'unchanged'").select(*[c for c in state.raw.columns if c != "run_id"]).withColumn("run_id", F.lit(run_id)), "raw")
-    after = State(written(events, "events"), written(links, "links"), state.raw.unionByName(log.select(*state.raw.columns)), state.runs.unionByName(metrics.select(*state.runs.columns)), state.members, state.aliases)
+    log = compared.where("change <> 'unchanged'").select(*[c for c in state.raw.columns if c != "run_id"])
+    if reference.raw_path:
+        changes.append_raw(log, reference.raw_path, run_id)
+        raw = log.sparkSession.read.schema(state.raw.schema).parquet(reference.raw_path).select(*state.raw.columns)
+    else:
+        raw = state.raw.unionByName(written(log.withColumn("run_id", F.lit(run_id)), "raw").select(*state.raw.columns))
+    after = State(written(events, "events"), written(links, "links"), raw, state.runs.unionByName(metrics.select(*state.runs.columns)), state.members, state.aliases)
     return after, metrics, rejects
 
 

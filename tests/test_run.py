@@ -34,6 +34,7 @@ def records(spark, *feeds):
 
 def test_a_day_and_the_next(spark, tmp_path):
     state, reference = setup(spark)
+    reference.raw_path = str(tmp_path / "raw")
     incoming = records(spark, ("a", feed_text("AI Night")), ("b", feed_text("AI Night!", uid="9")))
     state, report = daily.run(state, incoming, ics.parse_ics, reference, NOW, "r1", str(tmp_path / "one"))
     (event,) = state.events.collect()
@@ -45,6 +46,7 @@ def test_a_day_and_the_next(spark, tmp_path):
     assert report.alerts.count() == 0 and {(r.source_id, len(r.records)) for r in report.drift.collect()} == {("a", 2), ("b", 2)}
     again, _, _ = daily.ingest(state, incoming, ics.parse_ics, reference, NOW + dt.timedelta(days=1), "r2")
     assert {(r.source_id, r.changed) for r in again.runs.where("run_id = 'r2'").collect()} == {("a", 0), ("b", 0)}
+    assert sorted(r.run_id for r in spark.read.parquet(reference.raw_path).collect()) == ["r1"] * 4
     (same,) = again.events.collect()
     assert same.title == event.title and same.last_seen > event.last_seen
     replayed, metrics, rejects = daily.replay(state, ["a"], ics.parse_ics, reference, NOW, "r3")
