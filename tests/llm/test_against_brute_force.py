@@ -55,7 +55,7 @@ def test_op1(spark, docs):
     assert {d: (r.fingerprint, r.component_id) for d, r in got.items()} == {d: (f"{prints[d]:016x}", find(d)) for d in docs}
 
 
-def test_simhash_links_lose_none(spark):
+def test_simhash_links_lose_none(spark, monkeypatch):
     rng = random.Random(4)
     base = [rng.getrandbits(64) for _ in range(40)]
     prints = set(base)
@@ -66,8 +66,59 @@ def test_simhash_links_lose_none(spark):
                 y ^= 1 << bit
             prints.add(y)
     signed = {p - (1 << 64) if p >> 63 else p: p for p in prints}
-    got = {frozenset((signed[r.a], signed[r.b])) for r in simhash.links(spark.createDataFrame([(p,) for p in signed], "fp long")).collect()}
-    assert got == {frozenset((a, b)) for a in prints for b in prints if a < b and (a ^ b).bit_count() <= 4}
+    near = lambda a, b: (a ^ b).bit_count() <= 4
+    root = {p: p for p in prints}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in prints:
+        for b in prints:
+            if a < b and near(a, b):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    signed_root = {}
+    for s, p in signed.items():
+        signed_root[find(p)] = min(s, signed_root.get(find(p), s))
+    for rows_of_a_cell in (32, 1e-6):  # few groups of segments, and many
+        monkeypatch.setattr(simhash, "CELL_ROWS", rows_of_a_cell)
+        got = {r.fp: r.root for r in simhash.components(spark.createDataFrame([(p,) for p in signed], "fp long")).collect()}
+        assert got == {s: signed_root[find(p)] for s, p in signed.items()}
+
+
+def test_a_dense_group_takes_few_links(spark):
+    rng = random.Random(5)
+    base = rng.getrandbits(63)
+    prints = {base ^ (1 << rng.randrange(63)) ^ (1 << rng.randrange(63)) for _ in range(400)}
+    n = simhash.stars(spark.createDataFrame([(p,) for p in prints], "fp long"))[0].count()
+    assert len(prints) - 1 <= n <= 40 * len(prints)
+
+
+def test_every_code_point_is_cut_as_by_the_library():
+    vocab = bpe.Vocabulary(public_tokenizers.path(queries.BYTE_RANKS))
+    encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=vocab.ranks, special_tokens={})
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 4096):
+        text = "".join(f"a{c}a 1{c}1 .{c}. {c}\n" for c in map(chr, points[at : at + 4096]))
+        assert bpe.encode_texts([text], vocab)[0].tolist() == encoding.encode_ordinary(text), hex(points[at])
+
+
+def test_offsets_give_pre_tokens_and_decode(spark):
+    from pyspark.sql import functions as F
+
+    path = public_tokenizers.path(queries.BYTE_RANKS)
+    texts = ["", "It's 12 o'clock,  naïve\n\n x", None, "日本語 text", " " * 5]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = docs.join(bpe.encode(docs, path), "doc_id")
+    piece = F.transform(F.sequence(F.lit(0), F.size("offsets") - 1), lambda k: bpe.pre_token_text(F.col("text"), F.col("offsets"), k))
+    rows = found.select("doc_id", F.when(F.size("offsets") > 0, piece).alias("pieces"), bpe.decode(F.col("ids"), path, F.col("counts")).alias("a"), bpe.decode(F.col("ids"), path).alias("b")).collect()
+    import regex
+
+    for r in rows:
+        text = texts[r.doc_id] or ""
+        assert (r.pieces or []) == regex.findall(public_tokenizers.PATTERN, text) and bytes(r.a) == bytes(r.b) == text.encode()
 
 
 def test_op2(spark, docs):
@@ -120,13 +171,23 @@ def test_op4(spark, docs):
         assert tuple(got[d])[1:] == want
 
 
-def test_next_of_sparse_ids(spark):
-    ids = [5, 5000, 7_000_000, 7_000_001, 9_000_000_000, -3]
+@pytest.mark.parametrize("ids", [[5, 5000, 7_000_000, 7_000_001, 9_000_000_000, -3], [7], [0, 1, 2, 3], [(k * 0x9E3779B97F4A7C15 + (1 << 62)) % (1 << 64) - (1 << 63) for k in range(300)], [*range(2000, 4500), 2**62, -(2**62)]])
+def test_next_of_ids_however_spread(spark, ids):
     got = {r.doc_id: r.next_text for r in fingerprint.with_next(spark.createDataFrame([(i, str(i)) for i in ids], "doc_id long, text string")).collect()}
     order = sorted(ids, reverse=True)
     assert got == {d: str(order[(i + 1) % len(order)]) for i, d in enumerate(order)}
 
 
+def test_rows_without_ids_make_a_chain_after_the_others(spark):
+    rows = [(3, "c"), (1, "a"), *[(None, f"n{i}") for i in range(40)], (3, "d"), (None, "n1")]
+    got = [(r.doc_id, r.text, r.next_text) for r in fingerprint.with_next(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(t for _, t, _ in got) == sorted(n for _, _, n in got) == sorted(t for _, t in rows)
+    ids = {t: d for d, t in rows}
+    first = {n for d, t, n in got if d == 1}
+    assert len(first) == 1 and ids[first.pop()] is None
+    assert sum(ids[n] == 3 for d, _, n in got if d is None) == 1 and all(ids[n] in (3, 1) for d, _, n in got if d == 3)
+
+
 def test_split_buckets_are_told_apart(spark):
     rows = spark.createDataFrame([("h", "a"), ("h", "a"), ("h", "b"), ("g", "c")], "digest string, canon string")
     assert [r.digest for r in fingerprint.split_buckets(rows).collect()] == ["h"]
@@ -157,10 +218,32 @@ def test_long_texts_are_cut_in_overlapping_parts(monkeypatch):
     text = "".join(rng.choices("abcdef ", k=9000))
     import pyarrow as pa
 
-    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], ["row", "text"])
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), pa.array([text])], ["doc", "row", "text"])
     whole = substring_dedup._sampled(batch).to_pydict()
+    places = pa.RecordBatch.from_arrays([*batch.columns, pa.array([whole["place"]])], [*batch.schema.names, "places"])
+    levels = [substring_dedup._compared(level)(places).to_pydict() for level in range(2)]
     monkeypatch.setattr(substring_dedup, "_BLOCK", 1000)
     assert substring_dedup._sampled(batch).to_pydict() == whole
+    assert [substring_dedup._compared(level)(places).to_pydict() for level in range(2)] == levels
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_op5_on_hostile_texts(spark, seed):
+    rng = random.Random(seed)
+    thue = "ab"
+    for _ in range(9):
+        thue += thue.translate(str.maketrans("ab", "ba"))
+    base = "".join(rng.choices("abé ", k=700))
+    texts = [thue, thue[1:], "ab" * 150, "x" * 199, "x" * 200, "x" * 201, "y" * 100 + base, base[:200], base[1:201], base[:199], "é" * 300, "", None, base + base, "".join(rng.choices("ab", k=3000)), thue[:250] + "z" + thue[250:500]]
+    rng.shuffle(texts)
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = {r.doc: [(s.start, s.end) for s in r.spans] for r in substring_dedup.without_repeats(table).collect()}
+    want = slow_cut([t or "" for t in texts])
+    for i, (n, removed, spans, digest) in enumerate(want):
+        ranges = found.get(i, [])
+        kept = (texts[i] or "").encode()
+        kept = b"".join(kept[a:b] for a, b in zip([0, *(e for _, e in ranges)], [*(s for s, _ in ranges), len(kept)]))
+        assert (sum(e - s for s, e in ranges), len(ranges), hashlib.sha256(kept).hexdigest()) == (removed, spans, digest)
 
 
 def test_op6_on_held_out_rows(spark):
@@ -197,6 +280,18 @@ def test_urls():
     assert {u: trie.match(*url_filter.split_url(u))[0] for u in cases} == cases
 
 
+def test_joined_rules_equal_the_trie(spark):
+    rng = random.Random(6)
+    hosts, paths = ["", "org", "example.org", "a.example.org", "com", "x.com", "g"], ["", "/", "/a", "/a/", "/a/b", "/ab", "/a/bé", "/en/1"]
+    rules = [(rng.choice(["allow", "block"]), rng.choice(hosts), rng.choice(paths)) for _ in range(25)]
+    urls = [f"http://{rng.choice(['www.', 'a.', '', 'B.'])}{rng.choice(hosts)}{rng.choice(paths)}{rng.choice(['', 'x', '/', '?q', '#f', 'é/z'])}" for _ in range(400)] + [None, "", "no scheme", "://", "http:///a"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    want = sorted(map(tuple, url_filter.url_verdicts(pages, rules).collect()), key=str)
+    table = spark.createDataFrame(rules, "verdict string, host string, path string")
+    assert sorted(map(tuple, url_filter.url_verdicts(pages, table, max_bytes=0).collect()), key=str) == want
+    assert sorted(map(tuple, url_filter.url_verdicts(pages, rules, max_bytes=0).collect()), key=str) == want
+
+
 def slow_turns(values, radices, key):
     now, half = list(values), len(values) // 2
     for turn in range(pii.ROUNDS):
