@@ -22,6 +22,10 @@ SHARD_IDS = 2_000_000
 #: Terms in more than this share of a shard's pieces are kept as a row of all pieces, which adds up faster; it changes no score.
 DENSE_SHARE = 1 / 8
 K1, B = 1.2, 0.75
+#: Clusters by which rests are dealt to shards, at most, and rests that these are fitted on.
+MAX_CLUSTERS, FIT_RESTS = 64, 2000
+#: Terms by which a piece is dealt to its cluster, those whose weights differ most among clusters.
+TELLING_TERMS = 4096
 #: Words whose ids a worker keeps, the first it meets; others are encoded where they occur.
 CACHE_WORDS = 1_000_000
 
@@ -137,6 +141,57 @@ def document_frequencies(pieces: DataFrame, number_type: str, n_terms: int) -> n
     return out
 
 
+class Dealer:
+    """Deals pieces to shards by their words, so that the neighbours of a seed are mostly in its own shard.
+
+    Clusters of BM25 vectors by cosine, fitted on a sample. A cluster that holds more than a shard is
+    parted by number; its share is that of the sample.
+    """
+
+    def __init__(self, sample: list[np.ndarray], idf: np.ndarray, mean_length: float, n_ids: int, shard_ids: int) -> None:
+        self.idf, self.mean_length = idf, mean_length
+        k = max(1, min(MAX_CLUSTERS, -(-n_ids // shard_ids), len(sample)))
+        vectors = [self.vector(x) for x in sample]
+        self.centers = np.zeros((len(idf), k), np.float32)
+        rng = np.random.default_rng(0)
+        for j, i in enumerate(rng.choice(len(sample), k, replace=False) if sample else []):
+            self.centers[vectors[i][0], j] = vectors[i][1]
+        of = np.zeros(len(sample), int)
+        for _ in range(6 if k > 1 else 0):
+            of = np.array([self.nearest(v) for v in vectors])
+            sums = np.zeros_like(self.centers)
+            for (terms, weights), j in zip(vectors, of):
+                sums[terms, j] += weights
+            self.centers = sums / np.maximum(np.linalg.norm(sums, axis=0), 1e-9)
+        # only terms that tell clusters apart are looked up for all pieces
+        weights = idf[:, None] * self.centers
+        telling = np.argsort(-np.ptp(weights, axis=1), kind="stable")[:TELLING_TERMS]
+        self.row = np.full(len(idf), -1, np.int32)
+        self.row[telling] = np.arange(len(telling))
+        self.weights = np.ascontiguousarray(weights[telling])
+        held = np.bincount([self.cluster(x) for x in sample], [len(x) for x in sample], k) if sample else np.ones(k)
+        self.parts = np.maximum(1, np.ceil(held / max(held.sum(), 1) * n_ids / shard_ids - 0.3)).astype(np.int64)
+        self.first = np.cumsum(self.parts) - self.parts
+
+    def vector(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        terms, tf = np.unique(ids, return_counts=True)
+        weights = self.idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / self.mean_length))
+        return terms, (weights / max(np.linalg.norm(weights), 1e-9)).astype(np.float32)
+
+    def nearest(self, vector: tuple[np.ndarray, np.ndarray]) -> int:
+        return int((vector[1] @ self.centers[vector[0]]).argmax())
+
+    def cluster(self, ids: np.ndarray) -> int:
+        if self.weights.shape[1] == 1:
+            return 0
+        rows = self.row[ids]
+        return int(self.weights[rows[rows >= 0]].sum(0).argmax())
+
+    def shard(self, ids: np.ndarray, number: int) -> int:
+        j = self.cluster(ids)
+        return int(self.first[j] + number % self.parts[j])
+
+
 class Bm25Shard:
     """The inverted index of a shard's pieces, weights ready to add."""
 
@@ -211,31 +266,48 @@ def fill(lengths: list[int], neighbours: Callable[[int, np.ndarray], np.ndarray]
     return out
 
 
+def rests(docs: DataFrame, tokenizer_path: str, end_id: int = 1, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(whole windows, rests) of all documents, each piece with a number of its own, written to shared storage."""
+    pieces = tokenised(docs, tokenizer_path, end_id, window, id_col, text_col).withColumn("number", F.monotonically_increasing_id())
+    pieces = written(pieces, "pieces")
+    return pieces.where(F.col("length") == window), pieces.where(F.col("length") < window)
+
+
+def dealer_of(left: DataFrame, number_type: str, n_terms: int, shard_ids: int) -> Dealer:
+    """The Dealer of rests(), with the term statistics of all of them and clusters of a sample."""
+    n_rests, n_ids = left.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    seen = document_frequencies(left, number_type, n_terms)
+    idf = np.log1p((n_rests - seen + 0.5) / (seen + 0.5)).astype(np.float32)
+    sample = left.orderBy(F.xxhash64("number")).limit(FIT_RESTS).select("ids").toArrow() if n_ids > shard_ids else None
+    texts = [np.frombuffer(x.as_py(), number_type) for x in sample["ids"]] if sample else []
+    return Dealer(texts, idf, max(n_ids / max(n_rests, 1), 1.0), n_ids, shard_ids)
+
+
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, window: int = WINDOW, shard_ids: int = SHARD_IDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start, length, doc_tokens, ids, sequence_id, offset): every id of every document in exactly one piece.
 
-    Whole windows of long documents are sequences of their own; the rest of each document is dealt to a
-    shard by hash, and only there are neighbours sought, so that no task holds more than about shard_ids
-    ids. Term statistics are those of all rests. ids is binary, unsigned 32-bit little-endian. Null and
-    empty texts are end_id alone; repeated rows are packed as often as they come; empty input: no rows.
+    Whole windows of long documents are sequences of their own; the rest of each document is dealt by
+    its words to a shard, and only there are neighbours sought, so that no task holds more than about
+    shard_ids ids. Term statistics are those of all rests. ids is binary, unsigned 32-bit little-endian.
+    Null and empty texts are end_id alone; repeated rows, and rows without an id, are packed as often as
+    they come, wherever there is room; empty input: no rows.
     """
     if window & (window - 1):
         raise ValueError("window must be a power of two")
     words = word_ids(tokenizer_path)
     number_type, n_terms = words.type, max(words.tokenizer.get_vocab_size(), end_id + 1)
-    pieces = written(tokenised(docs, tokenizer_path, end_id, window, id_col, text_col), "pieces")
-    rests = pieces.where(F.col("length") < window)
-    n_rests, n_ids = rests.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
-    seen = document_frequencies(rests, number_type, n_terms)
-    idf = np.log1p((n_rests - seen + 0.5) / (seen + 0.5)).astype(np.float32)
-    statistics = docs.sparkSession.sparkContext.broadcast((idf, max(n_ids / max(n_rests, 1), 1.0)))
-    n_shards = max(1, -(-n_ids // shard_ids))
+    whole, left = rests(docs, tokenizer_path, end_id, window, id_col, text_col)
+    dealer = docs.sparkSession.sparkContext.broadcast(dealer_of(left, number_type, n_terms, shard_ids))
+
+    def placed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        numbers = batch.column("number").to_pylist()
+        shards = [dealer.value.shard(np.frombuffer(x, number_type), k) for x, k in zip(batch.column("ids").to_pylist(), numbers)]
+        return batch.append_column("shard", pa.array(shards, pa.int64()))
 
     def packed(found: pa.Table) -> pa.Table:
-        order = np.argsort([f"{d}/{s}" for d, s in zip(found["doc_id"].to_pylist(), found["start"].to_pylist())], kind="stable")
-        found = found.take(pa.array(order)).combine_chunks()
+        found = found.sort_by([("doc_id", "ascending"), ("start", "ascending"), ("number", "ascending")]).combine_chunks()
         ids = [np.frombuffer(x, number_type) for x in found["ids"].to_pylist()]
-        index = Bm25Shard(ids, *statistics.value)
+        index = Bm25Shard(ids, dealer.value.idf, dealer.value.mean_length)
         rows = fill([len(x) for x in ids], index.neighbours, window)
         of, at, length, sequence, offset = np.array(rows, np.int64).T
         shard = found["shard"][0].as_py()
@@ -246,11 +318,12 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, window: int = WI
         })
 
     schema = "doc_id long, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long"
-    dealt = rests.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start"), F.lit(n_shards))).groupBy("shard").applyInArrow(packed, schema)
+    columns = "doc_id long, start long, length long, doc_tokens long, ids binary, number long, shard long"
+    dealt = arrow_map(left, placed, columns).groupBy("shard").applyInArrow(packed, schema)
 
     def widened(batch: pa.RecordBatch) -> pa.RecordBatch:
         wide = pa.array([np.frombuffer(x, number_type).astype("<u4").tobytes() for x in batch.column("ids").to_pylist()], pa.binary())
         return batch.set_column(batch.schema.get_field_index("ids"), "ids", wide)
 
-    whole = pieces.where(F.col("length") == window).withColumn("sequence_id", 2 * F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
-    return dealt.unionByName(arrow_map(whole, widened, schema))
+    numbered = whole.withColumn("sequence_id", 2 * F.col("number")).withColumn("offset", F.lit(0).cast("long")).drop("number")
+    return dealt.unionByName(arrow_map(numbered, widened, schema))

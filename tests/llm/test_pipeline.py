@@ -5,7 +5,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from evlake.llm import queries, simhash, stages
+from evlake.llm import queries, stages
 from evlake.llm._shared import written
 
 SF = "/root/testdata/sf0.001"
@@ -50,9 +50,14 @@ def test_lines_by_brute_force(kept):
     assert after == want
 
 
+def word_sets(text):
+    found = text.lower().split()
+    return {tuple(found[i : i + 5]) for i in range(max(1, len(found) - 4))} if found else set()
+
+
 def test_one_document_of_each_group_stays(kept):
     before, after = map(texts, kept["near_duplicates"])
-    prints = {d: simhash.fingerprint(t, stages.NEAR_WORDS) for d, t in before.items()}
+    sets = {d: word_sets(t) for d, t in before.items()}
     root = {d: d for d in before}
 
     def find(x):
@@ -62,7 +67,8 @@ def test_one_document_of_each_group_stays(kept):
 
     for a in before:
         for b in before:
-            if a < b and (prints[a] ^ prints[b]).bit_count() <= stages.NEAR_BITS:
+            both = len(sets[a] & sets[b])
+            if a < b and 100 * both >= stages.NEAR_PERCENT * (len(sets[a]) + len(sets[b]) - both):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     assert after == {d: before[d] for d in before if find(d) == d}

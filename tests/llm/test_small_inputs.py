@@ -4,11 +4,11 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from evlake.llm import bpe, fingerprint, line_dedup, packing, pii, quality_model, quality_rules, simhash, substring_dedup, url_filter
+from evlake.llm import bpe, fingerprint, jaccard, line_dedup, packing, pii, quality_model, quality_rules, simhash, substring_dedup, url_filter
 
 BYTE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORD = public_tokenizers.path("word_bpe_49k.json")
-SCHEMA = "doc_id long, text string, source string, lang string, n_chars long, fp long, ids int, n_lines string, score string, kept string, row long, place int, bucket string, digest int"
+SCHEMA = "doc_id long, text string, source string, lang string, n_chars long, fp long, ids int, n_lines string, score string, kept string, row long, place int, bucket string, digest int, t int, gone string, places int, _found string, _new int, _line_doc int, node string, rid int, shard string"
 ROWS = [(1, "same text here for all of us\nanother line of text"), (1, "same text here for all of us\nanother line of text"), (2, None), (3, ""), (None, "same text here for all of us"), (None, None), (4, "x" * 5000), (5, " \n\t "), (6, "same text here for all of us\nanother line of text")]
 
 
@@ -24,6 +24,7 @@ OPERATORS = {
     "edited": lambda d: fingerprint.edited_fingerprints(d),
     "scores": lambda d: quality_model.score(d, quality_model.train(d, d.select("doc_id", F.lit(1).alias("quality")))),
     "lines": lambda d: line_dedup.dedup_lines(d),
+    "groups": lambda d: jaccard.grouped(d),
     "private": lambda d: pii.pseudonymised(d, "key"),
     "packed": lambda d: packing.pack(d, WORD),
     "urls": lambda d: url_filter.url_verdicts(d, [("allow", "a", "/")], id_col="doc_id", url_col="text"),
