@@ -70,11 +70,10 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     cut = substring_dedup.without_repeats(docs)
-    # rows with one key are cut alike, and one of them stands for all
-    lost = cut.select("row", F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]).alias("lost"), F.size("spans").cast("long").alias("n_cut"), F.sha2("kept", 256).alias("cut_sha")).dropDuplicates(["row"])
+    lost = cut.select(*substring_dedup.KEY, F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]).alias("lost"), F.size("spans").cast("long").alias("n_cut"), F.sha2("kept", 256).alias("cut_sha")).dropDuplicates(substring_dedup.KEY)
     text = F.coalesce("text", F.lit(""))
-    whole = docs.select("doc_id", substring_dedup.row_key(F.col("doc_id"), F.col("text")).alias("row"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("sha"))
-    joined = whole.join(lost, "row", "left")
+    whole = docs.select("doc_id", *substring_dedup.row_key(F.col("doc_id"), F.col("text")), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("sha"))
+    joined = whole.join(lost, substring_dedup.KEY, "left")
     return joined.select("doc_id", "n_bytes", F.coalesce("lost", F.lit(0)).alias("n_removed"), F.coalesce("n_cut", F.lit(0)).alias("n_spans"), F.coalesce("cut_sha", "sha").alias("kept_sha256"))
 
 

@@ -5,8 +5,9 @@ k-gram hash, so equal windows have their samples at the same distance. Sampled p
 grouped by Spark (an external sort with spill) by the bytes around them: at each level of a recursion
 over the distance, places are compared by the bytes common to all windows of a node (unlike: no window
 is shared), then by the bytes of all its windows (alike: every window is shared); what is neither goes
-one level down, at last to single windows. So every window's answer is exact but for collisions of
-two 64-bit hashes at once, and neither all windows nor pairs of copies are ever written out.
+one level down, at last to single windows. What a place is compared by is a 64-bit hash of the common
+bytes, which only brings places together, and a 128-bit digest of the bytes themselves, which alone
+decides. Neither all windows nor pairs of copies are ever written out.
 """
 
 from __future__ import annotations
@@ -16,10 +17,11 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import arrow_map, discard, release, shared_dir, written_at
+from ._shared import arrow_map, discard, shared_dir, shuffles_dropped, written, written_at
 
 WIDTH = 200
 GRAM = 32
@@ -94,8 +96,8 @@ def _packed(a: np.ndarray, low: np.ndarray, high: np.ndarray, node: np.ndarray |
     return (a << 24) | (low << 16) | (high << 8) | node
 
 
-def _sampled(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Samples of each text of (row, text); long texts in parts that overlap by a window."""
+def _sampled(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+    """Samples of each text of (doc, row, text); long texts in parts that overlap by a window."""
     parts, owners, offsets = [], [], []
     for i, text in enumerate(batch.column("text").to_pylist()):
         data = text.encode("utf-8", "surrogatepass")
@@ -113,18 +115,18 @@ def _sampled(batch: pa.RecordBatch) -> pa.RecordBatch:
             block.append(p)
             size += len(p)
     if not found:
-        return batch.slice(0, 0).select(["row"]).append_column("place", pa.array([], pa.int64())).append_column("core", pa.array([], pa.int64()))
+        return None
     part, a, grams, low, high = (np.concatenate(x) for x in zip(*found))
     of, a = np.array(owners, np.int64)[part], a + np.array(offsets, np.int64)[part]
     # neighbouring parts of one text may share a sample, with some of its windows each
     twice = np.flatnonzero((of[1:] == of[:-1]) & (a[1:] == a[:-1])) + 1
     low[twice - 1], high[twice - 1] = np.minimum(low[twice - 1], low[twice]), np.maximum(high[twice - 1], high[twice])
     of, a, grams, low, high = (np.delete(x, twice) for x in (of, a, grams, low, high))
-    return pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(of)), pa.array(_packed(a, low, high)), pa.array(grams.view(np.int64))], ["row", "place", "core"])
+    return pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(of)) for k in KEY), pa.array(_packed(a, low, high)), pa.array(grams.view(np.int64))], [*KEY, "place", "core"])
 
 
 def _compared(level: int):
-    """For children at a level of the places of (row, text, places): their core and full hashes.
+    """For children at a level of the places of (doc, row, text, places): the hash of their core and the digest of their full bytes.
 
     A node is a range of distances of a window's start before its sample. Its core are the bytes common
     to all windows of the range, its full bytes those of the place's own windows in it. Equal windows
@@ -133,80 +135,111 @@ def _compared(level: int):
     size, above = SIZES[level], SIZES[max(level - 1, 0)]
     fan = above // size
 
+    def compared(data: bytes, packed: np.ndarray, before: int) -> tuple[np.ndarray, ...]:
+        """For places within a part of a text that begins before bytes into it."""
+        own = np.repeat(packed, fan)
+        a, own_low, own_high = (own >> 24) - before, own >> 16 & 255, own >> 8 & 255
+        node = (own & 255) * fan + np.tile(np.arange(fan), len(packed))
+        bottom = node * size
+        top = np.minimum(bottom + size, WIDTH - GRAM + 1) - 1
+        low, high = np.maximum(bottom, own_low), np.minimum(top, own_high)
+        some = low <= high
+        a, own_low, own_high, node, bottom, top, low, high = (x[some] for x in (a, own_low, own_high, node, bottom, top, low, high))
+        mixed = node.astype(np.uint64) * np.uint64(_BASES[1])
+        core = Rolling(np.frombuffer(data, np.uint8), 0).of(a - bottom, WIDTH - (top - bottom)) ^ mixed
+        digest = xxhash.xxh3_128_digest
+        full = b"".join([digest(data[i:j], k) for i, j, k in zip((a - high).tolist(), (a - low + WIDTH).tolist(), (low << 8 | high).tolist())])
+        halves = np.frombuffer(full, np.int64).reshape(-1, 2)
+        return _packed(a + before, own_low, own_high, node), core.view(np.int64), halves[:, 0], halves[:, 1]
+
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         out, counts = [], []
-        for text, places in zip(batch.column("text").to_pylist(), batch.column("places").to_pylist()):
-            data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-            packed = np.repeat(np.array(places, np.int64), fan)
-            a, own_low, own_high = packed >> 24, packed >> 16 & 255, packed >> 8 & 255
-            node = (packed & 255) * fan + np.tile(np.arange(fan), len(places))
-            bottom = node * size
-            top = np.minimum(bottom + size, WIDTH - GRAM + 1) - 1
-            low, high = np.maximum(bottom, own_low), np.minimum(top, own_high)
-            some = low <= high
-            a, own_low, own_high, node, bottom, top, low, high = (x[some] for x in (a, own_low, own_high, node, bottom, top, low, high))
-            mixed = node.astype(np.uint64) * np.uint64(_BASES[1])
-            core = Rolling(data, 0).of(a - bottom, WIDTH - (top - bottom)) ^ mixed
-            full = Rolling(data, 1).of(a - high, WIDTH + high - low) ^ (low << 8 | high).astype(np.uint64) * np.uint64(_BASES[0])
-            out.append((_packed(a, own_low, own_high, node), core.view(np.int64), full.view(np.int64)))
-            counts.append(len(a))
+        lists = batch.column("places")
+        ends = lists.offsets.to_numpy()
+        values = lists.values.to_numpy()
+        for text, first, last in zip(batch.column("text").to_pylist(), ends.tolist(), ends[1:].tolist()):
+            data, packed = text.encode("utf-8", "surrogatepass"), values[first:last]
+            n = 0
+            for k in range(0, len(data), _BLOCK):
+                part = packed[(packed >> 24) // _BLOCK == k // _BLOCK] if len(data) > _BLOCK else packed
+                if len(part):
+                    begin = max(0, k - WIDTH)
+                    out.append(compared(data[begin : k + _BLOCK + WIDTH], part, begin))
+                    n += len(out[-1][0])
+            counts.append(n)
         columns = [pa.array(np.concatenate(x)) for x in zip(*out)]
-        return pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(np.repeat(np.arange(len(counts)), counts))), *columns], ["row", "place", "core", "f"])
+        of = pa.array(np.repeat(np.arange(len(counts)), counts))
+        return pa.RecordBatch.from_arrays([*(batch.column(k).take(of) for k in KEY), *columns], [*KEY, "place", "core", "f", "g"])
 
     return rows
 
 
-def row_key(doc_id: F.Column, text: F.Column) -> F.Column:
-    """A key of a document: rows with equal ids and texts share it, and are copies of each other."""
-    return F.xxhash64(doc_id.cast("long"), F.coalesce(text, F.lit("")))
+#: What names a document: its id, and a hash of its text in case the id repeats.
+KEY = ["doc", "row"]
+
+
+def row_key(doc_id: F.Column, text: F.Column) -> tuple[F.Column, F.Column]:
+    """The KEY columns of a document: rows share them only if they have equal ids and texts, and so are copies of each other."""
+    return F.coalesce(doc_id.cast("long"), F.lit(-(2**63))).alias("doc"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("row")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """The byte spans of docs that lie in strings of WIDTH bytes which start anywhere else too.
 
-    Returns (texts, spans): texts(row, text) those that may hold repeats, spans(row, start, end) byte
-    ranges that may overlap; row is row_key(). Null texts are empty; texts shorter than WIDTH have no
-    spans. Empty input: no rows.
+    Returns (texts, spans): texts(doc, row, text) those that may hold repeats, spans(doc, row, start,
+    end) byte ranges that may overlap; doc and row are row_key(). Null texts are empty; texts shorter
+    than WIDTH have no spans. Empty input: no rows.
 
-    What a step has written is discarded once the next is written, and Spark may then free its shuffle
-    files: space follows the largest step, not their sum.
+    What a step has written is discarded once the next is written, and its shuffle files go with it:
+    space follows the largest step, not their sum. Tables of one row for each core or class are written
+    before they are joined, so that Spark can split the places of a very common string among tasks.
     """
     spark = docs.sparkSession
-    keyed = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("row"), F.col(text_col).alias("text")).where(F.octet_length("text") >= WIDTH)
-    sampled, old = written_at(arrow_map(keyed, _sampled, "row long, place long, core long"), "samples")
-    common = sampled.groupBy("core").count().where("count > 1").select("core")
-    places, now = written_at(sampled.join(common, "core").select("row", "place"), "places")
+    with shuffles_dropped(spark):
+        return _spans(docs.select(*row_key(F.col(id_col), F.col(text_col)), F.col(text_col).alias("text")).where(F.octet_length("text") >= WIDTH))
+
+
+def _spans(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    spark = keyed.sparkSession
+    sampled, old = written_at(arrow_map(keyed, _sampled, "doc long, row long, place long, core long"), "samples")
+    common, counted = written_at(sampled.groupBy("core").count().where("count > 1").select("core"), "common")
+    places, now = written_at(sampled.join(common, "core").select(*KEY, "place"), "places")
     discard(spark, old)
-    release(spark)
+    discard(spark, counted)
 
-    # the texts that hold places, by bucket: later joins with them move only places
+    # the texts that hold places, by bucket: the joins of the levels move only places
     name, buckets = f"texts_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed.join(places.select("row").distinct(), "row", "left_semi").write.bucketBy(buckets, "row").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
-    release(spark)
+    path = f"{shared_dir(spark)}/{name}"
+    keyed.join(places.select(*KEY).distinct(), KEY, "left_semi").write.bucketBy(buckets, *KEY).option("path", path).saveAsTable(name)
     texts = spark.table(name)
-
     spans = []
-    for level, size in enumerate(SIZES):
-        listed = places.groupBy("row").agg(F.collect_set("place").alias("places"))
-        nodes, old = written_at(arrow_map(texts.join(listed, "row"), _compared(level), "row long, place long, core long, f long"), "nodes")
-        discard(spark, now)
-        # most cores are of one place, or all alike: only the others need their classes counted
-        cores = nodes.groupBy("core").agg(F.count("*").alias("total"), (F.min("f") < F.max("f")).alias("mixed")).where("total > 1").select("core", "mixed")
-        met, now = written_at(nodes.join(cores, "core"), "met")
-        discard(spark, old)
-        release(spark)
-        mixed = met.where("mixed")
-        classes = mixed.groupBy("core", "f").agg(F.count("*").alias("n"), F.min(F.xxhash64("row", "place")).alias("first"))
-        judged, old = written_at(mixed.join(classes, ["core", "f"]).select("row", "place", (F.col("n") > 1).alias("alike"), ((F.col("n") == 1) | (F.col("first") == F.xxhash64("row", "place"))).alias("below")), "judged")
-        alike = met.where("not mixed").select("row", "place").unionByName(judged.where("alike").select("row", "place"))
-        a, node = F.shiftright("place", 24), F.col("place").bitwiseAND(255)
-        low = F.greatest(node * size, F.shiftright("place", 16).bitwiseAND(255))
-        high = F.least(node * size + (size - 1), F.shiftright("place", 8).bitwiseAND(255))
-        spans.append(written_at(alike.select("row", (a - high).alias("start"), (a - low + WIDTH).alias("end")), "spans")[0])
+    try:
+        for level, size in enumerate(SIZES):
+            listed = places.groupBy(*KEY).agg(F.collect_set("place").alias("places"))
+            nodes, old = written_at(arrow_map(texts.join(listed, KEY), _compared(level), "doc long, row long, place long, core long, f long, g long"), "nodes")
+            discard(spark, now)
+            # most cores are of one place, or all alike: only the others need their classes counted
+            differ = (F.min("f") < F.max("f")) | (F.min("g") < F.max("g"))
+            cores, counted = written_at(nodes.groupBy("core").agg(F.count("*").alias("total"), differ.alias("mixed")).where("total > 1").select("core", "mixed"), "cores")
+            met, now = written_at(nodes.join(cores, "core"), "met")
+            discard(spark, old)
+            discard(spark, counted)
+            mixed, at = met.where("mixed"), F.xxhash64(*KEY, "place")
+            classes, counted = written_at(mixed.groupBy("core", "f", "g").agg(F.count("*").alias("n"), F.min(at).alias("first")), "classes")
+            below = (F.col("n") == 1) | (F.col("first") == at)
+            judged, old = written_at(mixed.join(classes, ["core", "f", "g"]).select(*KEY, "place", (F.col("n") > 1).alias("alike"), below.alias("below")), "judged")
+            discard(spark, counted)
+            alike = met.where("not mixed").select(*KEY, "place").unionByName(judged.where("alike").select(*KEY, "place"))
+            a, node = F.shiftright("place", 24), F.col("place").bitwiseAND(255)
+            low = F.greatest(node * size, F.shiftright("place", 16).bitwiseAND(255))
+            high = F.least(node * size + (size - 1), F.shiftright("place", 8).bitwiseAND(255))
+            spans.append(written(alike.select(*KEY, (a - high).alias("start"), (a - low + WIDTH).alias("end")), "spans"))
+            discard(spark, now)
+            places, now = judged.where("below").select(*KEY, "place"), old
         discard(spark, now)
-        release(spark)
-        places, now = judged.where("below").select("row", "place"), old
-    discard(spark, now)
+        texts = spark.read.schema(texts.schema).parquet(path)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")  # its files stay, as results read them
     return texts, functools.reduce(DataFrame.unionByName, spans)
 
 
@@ -222,12 +255,13 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, spans, kept) of documents that lose bytes: the maximal removed byte ranges, and the remaining bytes, concatenated.
+    """(doc, row, spans, kept) of documents that lose bytes: the maximal removed byte ranges, and the remaining bytes, concatenated.
 
-    row is row_key(); documents without a row here stay whole. The cases of repeated_spans() hold.
+    doc and row are row_key(); rows that share it are cut alike, each for itself. Documents without a row
+    here stay whole. The cases of repeated_spans() hold.
     """
     texts, spans = repeated_spans(docs, id_col, text_col)
-    listed = spans.groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("found"))
+    listed = spans.groupBy(*KEY).agg(F.collect_set(F.struct("start", "end")).alias("found"))
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         ranges, kept = [], []
@@ -237,6 +271,6 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             edges = [0, *(x for r in ranges[-1] for x in r), len(data)]
             kept.append(b"".join(data[i:j] for i, j in zip(edges[::2], edges[1::2])))
         spans = pa.array([[{"start": s, "end": e} for s, e in r] for r in ranges], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-        return pa.RecordBatch.from_arrays([batch.column("row"), spans, pa.array(kept, pa.binary())], ["row", "spans", "kept"])
+        return pa.RecordBatch.from_arrays([*(batch.column(k) for k in KEY), spans, pa.array(kept, pa.binary())], [*KEY, "spans", "kept"])
 
-    return arrow_map(texts.join(listed, "row"), cut, "row long, spans array<struct<start: bigint, end: bigint>>, kept binary")
+    return arrow_map(texts.join(listed, KEY), cut, "doc long, row long, spans array<struct<start: bigint, end: bigint>>, kept binary")
