@@ -282,9 +282,9 @@ class _Pieces(dict):
 
     def __missing__(self, ids: bytes) -> bytes:
         found = b"".join([self.bytes_of[i] for i in np.frombuffer(ids, np.int32).tolist()])
-        if len(self) >= CACHE_WORDS:
+        if len(self) >= CACHE_WORDS // 4:
             self.clear()
-        if len(ids) <= 64:
+        if len(ids) <= 32:
             self[ids] = found
         return found
 
