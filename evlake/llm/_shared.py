@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -64,15 +65,22 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(a, b - a)
 
 
-def arrow_map(df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """mapInArrow, with rows() called on parts of bounded size, so that long texts stay within a worker's memory.
+def _bytes(size: str) -> int:
+    """What a size setting says, in bytes: "64m", "1g", "67108864" and "67108864b" alike."""
+    number, unit = re.fullmatch(r"(-?\d+)\s*([a-z]*)", size.strip().lower()).groups()
+    return int(number) << {"": 0, "b": 0, "k": 10, "kb": 10, "m": 20, "mb": 20, "g": 30, "gb": 30, "t": 40, "tb": 40, "p": 50, "pb": 50}[unit]
+
 
-    Spark's own limit of a batch, 64 MB in a fresh session, is lowered to 8 MB; a lower one stays.
-    """
+def small_batches(spark: SparkSession) -> None:
+    """Lowers Spark's limit of an Arrow batch, 64 MB in a fresh session, to 8 MB for the session; a lower one stays."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    limit = df.sparkSession.conf.get(name)
-    if limit.endswith("b") and limit[:-1].isdigit() and int(limit[:-1]) > 8 << 20:
-        df.sparkSession.conf.set(name, "8m")
+    if not 0 < _bytes(spark.conf.get(name)) <= 8 << 20:
+        spark.conf.set(name, "8m")
+
+
+def arrow_map(df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+    """mapInArrow in small batches, with rows() called on parts of bounded size, so that long texts stay within a worker's memory."""
+    small_batches(df.sparkSession)
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, line_dedup, packing, pii, quality_model, quality_rules, simhash, substring_dedup, url_filter
+from . import bpe, divergence, fingerprint, lexical_search, line_dedup, packing, pii, quality_model, quality_rules, simhash, substring_dedup, url_filter, warc
 from ._shared import table
 
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -127,6 +127,51 @@ m as (select p.*, rhost || rpath as rule, verdict, row_number() over (partition
 select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from m where rn = 1
 """
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = """
+with d as (select coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as text, row_number() over () as id from documents),
+g as (select distinct lang, source from d),
+w as (select lang, source, id, translate(unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as term from d),
+k as (select lang, term, count(*) as c from w group by lang, term having count(distinct id) >= 3),
+t as (select lang, count(*) as v, sum(c) as n from k group by lang),
+s as (select w.lang, w.source, w.term, count(*) as c from w join k using (lang, term) group by w.lang, w.source, w.term),
+h as (select lang, source, sum(c) as n from s group by lang, source),
+a as (select g.lang, g.source, k.term, coalesce(s.c, 0) as c, cast(1 + 1000000000::hugeint * (coalesce(s.c, 0) + 1) // (coalesce(h.n, 0)::hugeint + t.v) as bigint) as p,
+  cast(1 + 1000000000::hugeint * (k.c + 1) // (t.n::hugeint + t.v) as bigint) as ql
+  from g join k on g.lang = k.lang join t on t.lang = g.lang left join h on h.lang = g.lang and h.source = g.source left join s on s.lang = g.lang and s.source = g.source and s.term = k.term),
+f as (select x.lang, x.source, y.source as item, sum((x.p - y.p) * (x.p - y.p) // y.p) as value from a x join a y on x.lang = y.lang and x.term = y.term and x.source <> y.source group by x.lang, x.source, y.source),
+p as (select x.lang, x.source, y.source as item, cast(coalesce(f.value, 0) as bigint) as value from g x join g y on x.lang = y.lang and x.source <> y.source left join f on f.lang = x.lang and f.source = x.source and f.item = y.source),
+e as (select lang, source, term as item, (p - ql) * (p - ql) // ql as value from a where c > 0 and p > ql)
+select lang, source, 'pair' as part, item, value, cast(row_number() over (partition by lang, source order by value desc, item) as int) as rank from p
+union all select lang, source, 'term', item, value, cast(rank as int) from (select *, row_number() over (partition by lang, source order by value desc, item) as rank from e) where rank <= 200
+"""
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP13_SQL = """
+with terms as (select doc_id, unnest(regexp_extract_all(text, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as raw from documents),
+w as (select doc_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as term from terms),
+t as (select doc_id, term, count(*) as tf from w group by doc_id, term),
+n as (select doc_id, sum(tf)::bigint as n from t group by doc_id),
+c as (select count(*)::bigint as docs, sum(n)::bigint as total from n),
+m as (select doc_id, 100 - 50 + (50 * n * docs) // total as m from n, c),
+d as (select term, count(*) as df from t group by term),
+i as (select distinct item_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as term from (select item_id, unnest(regexp_extract_all(text, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as raw from benchmark)),
+iw as (select item_id, term, cast(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) as bigint) as weight from i join d using (term), c),
+s as (select item_id, doc_id, cast(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * m))) as bigint) as score from iw join t using (term) join m using (doc_id) group by item_id, doc_id)
+select item_id, cast(rank as int) as rank, doc_id, score from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from s where score > 0) where rank <= 50
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_byte_bpe": op2_byte_bpe,
@@ -138,6 +183,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_packing": op9_packing,
     "op10_url_filter": op10_url_filter,
+    "op11_warc": op11_warc,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_lexical_search": op13_lexical_search,
 }
 
-SQL: dict[str, str] = {"op3_quality_rules": OP3_SQL, "op7_line_dedup": OP7_SQL, "op10_url_filter": OP10_SQL}
+SQL: dict[str, str] = {"op3_quality_rules": OP3_SQL, "op7_line_dedup": OP7_SQL, "op10_url_filter": OP10_SQL, "op12_source_divergence": OP12_SQL, "op13_lexical_search": OP13_SQL}
