@@ -100,7 +100,7 @@ select 'https://p.test/e/' || k as native_id, case when k % 17 <> 0 then 'Order
 """)
 def page_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of pages, each by the node whose own url is the page's; a state is filled in where none is named."""
-    found = jsonld.event_nodes(jsonld.nodes(_event_pages(spark, sf_dir))).withColumn("source_id", F.lit("s"))
+    found = jsonld.page_events(_event_pages(spark, sf_dir)).withColumn("source_id", F.lit("s"))
     drafts = jsonld.parse_event_pages(found, default_state="CA", zone="America/Los_Angeles")
     return drafts.select("native_id", "title", "start_utc", "end_utc", "venue", "address", "lat", "attendance_mode", "status", "organizer", "size_signal", "reason")
 
