@@ -275,7 +275,31 @@ def haversine_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.where("km <= 25").select(F.col("a_event_id").alias("a"), F.col("b_event_id").alias("b"), F.round("km", 6).alias("km"))
 
 
-@query()
+#: Likeness of pairs p(x, y, sx, sy) with sorted words, and arrays wx, wy of different words: the longest common
+#: subsequence by a bit for each character of one text, then strict and loose as functions.text has them.
+_LIKENESS = """
+r as (select *, coalesce(array_to_string(list_sort(list_filter(wx, lambda w: list_contains(wy, w))), ' '), '') as common, coalesce(array_to_string(list_sort(list_filter(wx, lambda w: not list_contains(wy, w))), ' '), '') as ox,
+  coalesce(array_to_string(list_sort(list_filter(wy, lambda w: not list_contains(wx, w))), ' '), '') as oy from p),
+q as (select sx as s1, sy as s2 from r union select ox, oy from r),
+k as (select s1, s2, (1::hugeint << length(s1)) - 1 as ones, list_transform(range(1, length(s2) + 1), lambda j: coalesce(list_sum(list_transform(range(length(s1)), lambda i: case when substr(s1, i + 1, 1) = substr(s2, j, 1) then 1::hugeint << i else 0::hugeint end)), 0)::hugeint) as hits from q),
+l as (select s1, s2, case when s1 = '' or s2 = '' then 0 else length(s1) - bit_count(list_reduce(list_prepend(ones, hits), lambda f, h: ((f + (f & h)) | (f - (f & h))) & ones)) end as lcs from k),
+g as (select r.*, u.lcs as whole, v.lcs as rest, length(common) + (common <> '')::int + length(ox) as lx, length(common) + (common <> '')::int + length(oy) as ly from r join l u on u.s1 = sx and u.s2 = sy join l v on v.s1 = ox and v.s2 = oy),
+m as (select x, y, case when replace(x, ' ', '') = replace(y, ' ', '') then 100 else 200.0::double * whole / (length(sx) + length(sy)) end as strict,
+  case when replace(x, ' ', '') = replace(y, ' ', '') or (common <> '' and (ox = '' or oy = '')) then 100 else greatest(100 * (1 - (length(ox) + length(oy) - 2 * rest)::double / (lx + ly)),
+    case when common <> '' then 100 * (1 - (1 + length(ox))::double / (length(common) + lx)) else 0 end, case when common <> '' then 100 * (1 - (1 + length(oy))::double / (length(common) + ly)) else 0 end) end as loose from g)
+"""
+
+
+@query("""
+with recursive t as (select event_id, ts, event_id % 9 <> 0 as precise, lower(p_name || ' ' || event_type) as norm, 33 + user_id % 20 / 1000.0 as lat from events join part on user_id = p_partkey),
+n as (select distinct norm, array_to_string(list_sort(string_split(norm, ' ')), ' ') as s, list_distinct(string_split(norm, ' ')) as w from t),
+p as (select a.norm as x, b.norm as y, a.s as sx, b.s as sy, a.w as wx, b.w as wy from n a join n b on a.norm <= b.norm),
+""" + _LIKENESS + """,
+e as (select a.event_id as a, b.event_id as b from t a join t b on a.event_id <> b.event_id and abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 5400000000 join m on x = least(a.norm, b.norm) and y = greatest(a.norm, b.norm)
+  where case when a.precise and b.precise and 6371.0 * 2 * asin(sqrt(power(sin(radians(b.lat - a.lat) / 2), 2))) <= 1 then loose >= 85 else strict >= 92 end),
+c as (select a as event_id, a as seen from e union select e.b, seen from c join e on e.a = c.event_id)
+select event_id, min(seen) as survivor from c group by event_id
+""")
 def duplicate_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as postings with product names for titles: those that are the same event, with their survivor."""
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name")
@@ -298,7 +322,11 @@ def serial_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", text.serials(F.concat(F.col("p_brand"), F.lit(" 7 2026 10/24 v"), F.col("p_size"))).alias("serials"))
 
 
-@query()
+@query("""
+with p as (select a.p_partkey, a.p_name as x, b.p_name as y, array_to_string(list_sort(string_split(a.p_name, ' ')), ' ') as sx, array_to_string(list_sort(string_split(b.p_name, ' ')), ' ') as sy, list_distinct(string_split(a.p_name, ' ')) as wx, list_distinct(string_split(b.p_name, ' ')) as wy from part a join part b on b.p_partkey = a.p_partkey + 1),
+""" + _LIKENESS + """
+select distinct p.p_partkey, round(strict::double, 6) as strict, round(loose::double, 6) as loose from p join m using (x, y)
+""")
 def title_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Likeness of each part's name to that of the part after it, strict and loose."""
     parts = table(spark, sf_dir, "part")
