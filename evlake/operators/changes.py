@@ -17,6 +17,12 @@ def latest_versions(raw: DataFrame, keys: list[str], at: str) -> DataFrame:
     return newest.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
+def latest_hashes(raw: DataFrame, keys: list[str], at: str, digest: str = "content_hash") -> DataFrame:
+    """(keys, at, digest) of the newest row of each key; payloads aren't read. Of equal times the greater digest counts."""
+    newest = raw.groupBy(*keys).agg(F.max(F.struct(at, digest)).alias("_n"))
+    return newest.select(*keys, f"_n.{at}", f"_n.{digest}")
+
+
 def prune(raw: DataFrame, keys: list[str], at: str, cutoff: Column) -> DataFrame:
     """Rows at or after the cutoff, and each key's latest whatever its age."""
     last = F.max(at).over(Window.partitionBy(*keys))
@@ -31,8 +37,8 @@ def detect_changes(incoming: DataFrame, latest: DataFrame, keys: list[str], dige
 
 
 def append_raw(changed: DataFrame, path: str, run_id: str) -> None:
-    """Appends to the raw log; content that comes back is appended again, and so becomes the latest."""
-    changed.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("source_id").parquet(path)
+    """Appends to the raw log; content that comes back is appended again, and so becomes the latest. A run that is tried again replaces its own records."""
+    changed.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_id", "run_id").parquet(path)
 
 
 def draft_reasons() -> Column:

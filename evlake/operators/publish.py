@@ -1,12 +1,14 @@
-"""Feeds of a profile's events, and the manifest that commits them."""
+"""Feeds of a profile's events, and the version that commits them."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.times import db_text, rss_when
+from . import versions
+from .storage import discard, written
 
 SCHEMA_VERSION = 1
 RSS_ITEMS = 100
@@ -98,8 +100,14 @@ def _ics_text(value: Column) -> Column:
 
 
 def fold_line(line: Column) -> Column:
-    """A content line in pieces of 74 characters at most, which stay within the format's 75 octets for ASCII."""
-    return F.regexp_replace(line, r"(?s)(.{74})(?=.)", "$1\r\n ")
+    """A content line in pieces of 74 octets at most, so that none exceeds the format's 75 with its space; no character is cut."""
+
+    def step(acc: Column, c: Column) -> Column:
+        wide = acc["octets"] + F.octet_length(c)
+        return F.when(wide > 74, F.struct(F.concat(acc["text"], F.lit("\r\n "), c).alias("text"), F.octet_length(c).alias("octets"))).otherwise(F.struct(F.concat(acc["text"], c).alias("text"), wide.alias("octets")))
+
+    by_octets = F.aggregate(F.split(line, ""), F.struct(F.lit("").alias("text"), F.lit(0).alias("octets")), step)["text"]
+    return F.when(F.octet_length(line) == F.length(line), F.regexp_replace(line, r"(?s)(.{74})(?=.)", "$1\r\n ")).otherwise(by_octets)
 
 
 def ics_event(generated: Column) -> Column:
@@ -172,23 +180,37 @@ def manifest(counts: DataFrame, runs: DataFrame, run_id: str) -> DataFrame:
 
 
 def publish(feed: DataFrame, runs: DataFrame, run_id: str, path: str, now: Column, names: DataFrame | None = None, site: str = "") -> bool:
-    """Writes all feeds and the day's additions, and last the manifest, without which readers see nothing; nothing if every active source failed.
+    """Writes all feeds and the day's additions to a folder of the run's own and then commits it; nothing if every active source failed.
 
-    names(profile_id, name) are the profiles, also those without an event; without it those of the feed.
+    Readers take the folder from published(), which names the run before until all of this one is
+    written, whatever is written or lost meanwhile. The feed is worked out once. names(profile_id, name)
+    are the profiles, also those without an event; without it those of the feed.
     """
     active, failed = runs.agg(F.count_if(F.col("status") != "disabled"), F.count_if(~F.col("status").isin("ok", "disabled"))).first()
     if active and active == failed:
         return False
-    write_json_feed(feed, f"{path}/json", now, names)
+    spark = runs.sparkSession
+    number, before = versions.current(spark, path)
+    folder = f"{path}/run-{number + 1:06d}"  # a run that broke off used the same one, and is overwritten
+    feed = written(feed, "feed")
+    write_json_feed(feed, f"{folder}/json", now, names)
     day = F.date_trunc("day", now)
-    write_json_feed(added_between(feed, day, day + F.make_dt_interval(F.lit(1)), now), f"{path}/new", now, named_profiles(feed, names))
-    write_ics_feed(feed, f"{path}/ics", now, names)
-    write_rss_feed(feed, f"{path}/rss", now, names, site)
+    write_json_feed(added_between(feed, day, day + F.make_dt_interval(F.lit(1)), now), f"{folder}/new", now, named_profiles(feed, names))
+    write_ics_feed(feed, f"{folder}/ics", now, names)
+    write_rss_feed(feed, f"{folder}/rss", now, names, site)
     counted = named_profiles(feed, names).select("profile_id").join(feed_counts(feed, now), "profile_id", "left").na.fill(0, ["upcoming", "new"])
-    _write(manifest(counted, runs, run_id), f"{path}/manifest")
+    _write(manifest(counted, runs, run_id), f"{folder}/manifest")
+    versions.commit(spark, path, number, {"run_id": run_id, "folder": folder, "before": before.get("folder")})
+    if before.get("before"):  # who reads the run before still finds it
+        discard(spark, before["before"])
     return True
 
 
+def published(spark: SparkSession, path: str) -> str | None:
+    """The folder of the last run that was published whole; None if there is none."""
+    return versions.current(spark, path)[1].get("folder")
+
+
 def _fields(schema: T.DataType, path: str = "") -> list[tuple[str, str, bool]]:
     out = []
     if isinstance(schema, T.StructType):

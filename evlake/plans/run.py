@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import address_key
 from ..functions.urls import canonical_url
-from ..operators import changes, classify, folds, health, locate, publish, resolve, spatial, upsert
+from ..operators import changes, classify, folds, hash_table, health, locate, publish, resolve, spatial, upsert
 from ..operators.storage import written
 
 PRUNE_DAYS = 30
@@ -47,6 +47,8 @@ class Reference:
     site: str = ""
     #: Folder of the raw log, to which each run appends; without one the log is a union of written tables.
     raw_path: str = ""
+    #: Folder of the table of latest hashes, by which changes are found; without one they are found from the log.
+    hash_path: str = ""
 
 
 @dataclass
@@ -90,7 +92,9 @@ def ingest(state: State, incoming: DataFrame, drafts_of, reference: Reference, n
     enabled ones. Of the raw log only what is new is written; prune_raw() shortens it.
     """
     keys = ["source_id", "native_id"]
-    compared = written(changes.detect_changes(incoming, changes.latest_versions(state.raw, keys, "fetched_at"), keys), "compared")
+    hashes = hash_table.HashTable(incoming.sparkSession, reference.hash_path, keys) if reference.hash_path else None
+    told = hashes.detect(incoming, run_id) if hashes else changes.detect_changes(incoming, changes.latest_hashes(state.raw, keys, "fetched_at"), keys)
+    compared = written(told, "compared")
     fresh = compared if replay else compared.where("change <> 'unchanged'")
     parsed = drafts_of(fresh).withColumn("url", canonical_url(F.col("url")))
     reasons = F.array_distinct(F.concat(changes.draft_reasons(), F.array_compact(F.array("reason"))))
@@ -116,6 +120,8 @@ def ingest(state: State, incoming: DataFrame, drafts_of, reference: Reference, n
         raw = log.sparkSession.read.schema(state.raw.schema).parquet(reference.raw_path).select(*state.raw.columns)
     else:
         raw = state.raw.unionByName(written(log.withColumn("run_id", F.lit(run_id)), "raw").select(*state.raw.columns))
+    if hashes:
+        hashes.append(log, run_id)
     after = State(written(events, "events"), written(links, "links"), raw, state.runs.unionByName(metrics.select(*state.runs.columns)), state.members, state.aliases)
     return after, metrics, rejects
 

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import pathlib
 import xml.etree.ElementTree as ET
 
 import pytest
@@ -9,7 +10,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from evlake.functions import geo, text
-from evlake.operators import browse, classify, health, locate, publish
+from evlake.operators import browse, classify, health, locate, publish, versions
 from evlake.sources import geojson, ics, jsonld, robots
 
 
@@ -34,6 +35,7 @@ def test_feeds_are_whole_documents(spark, tmp_path):
     names = spark.createDataFrame([("p", 'Name & "more"'), ("q", "None yet")], "profile_id string, name string")
     runs = spark.createDataFrame([("s", "ok", 1, 1, 1, 0), ("a", "failed", 0, 0, 0, 0)], "source_id string, status string, fetched int, changed int, parsed int, parse_errors int")
     assert publish.publish(feed(spark), runs, "r1", str(tmp_path), now(), names, "https://site.test/")
+    tmp_path = pathlib.Path(publish.published(spark, str(tmp_path)))
     one = json.loads(whole(spark, tmp_path / "json/profile_id=p"))
     assert (one["count"], one["schema_version"], one["profile"]) == (3, 1, {"id": "p", "name": 'Name & "more"'}) and [e["event_id"] for e in one["events"]] == ["e0", "e1", "e2"] and list(one) == sorted(one)
     none = json.loads(whole(spark, tmp_path / "json/profile_id=q"))
@@ -49,6 +51,39 @@ def test_feeds_are_whole_documents(spark, tmp_path):
     assert manifest["counts"] == {"new": 0, "upcoming": 0} and [s["source_id"] for s in manifest["sources"]] == ["a", "s"]
 
 
+def test_a_broken_run_leaves_the_one_before(spark, tmp_path, monkeypatch):
+    """Broken off at any sink, a run isn't seen; tried again, it is; the run before it stays for those who read it."""
+    runs = spark.createDataFrame([("s", "ok", 1, 1, 1, 0)], "source_id string, status string, fetched int, changed int, parsed int, parse_errors int")
+    path = str(tmp_path)
+    seen = lambda: json.loads(whole(spark, f"{publish.published(spark, path)}/json/profile_id=p"))["count"]
+    assert publish.published(spark, path) is None
+    publish.publish(feed(spark, 2), runs, "r1", path, now())
+    first = publish.published(spark, path)
+    for sink in ("write_json_feed", "write_ics_feed", "write_rss_feed", "_write"):
+        with monkeypatch.context() as m:
+            m.setattr(publish, sink, lambda *a, **b: (_ for _ in ()).throw(OSError("lost")))
+            with pytest.raises(OSError):
+                publish.publish(feed(spark, 3), runs, "r2", path, now())
+        assert publish.published(spark, path) == first and seen() == 2
+        assert json.loads(whole(spark, f"{first}/manifest/profile_id=p"))["run_id"] == "r1"
+    publish.publish(feed(spark, 3), runs, "r2", path, now())
+    assert seen() == 3 and spark.read.text(f"{first}/json").count() > 0
+    publish.publish(feed(spark, 4), runs, "r3", path, now())
+    assert seen() == 4 and not pathlib.Path(first).exists()
+    with pytest.raises(PySparkException):  # another writer was first
+        versions.commit(spark, path, 1, {})
+
+
+def test_calendar_lines_stay_within_octets(spark):
+    texts = ["ü" * 200, "日本" * 90, "a" * 73 + "é" + "b" * 80, "a" * 74 + "😀" * 50, "plain " * 40, "", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", "t", publish.fold_line(F.col("t")).alias("f")).collect()
+    for r in rows:
+        if r.t is not None:
+            assert all(len(line.encode()) <= 75 for line in r.f.split("\r\n")) and r.f.replace("\r\n ", "") == r.t
+        else:
+            assert r.f is None
+
+
 def robots_rules(spark, body, agent="crawler"):
     return sorted((r.pattern, r.allow) for r in robots.read_robots(spark.createDataFrame([("a.test", body)], "host string, body string"), agent).collect())
 

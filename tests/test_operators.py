@@ -172,6 +172,6 @@ def test_feeds(spark, tmp_path):
     assert "<title>A, B &amp; C</title>" in item and "CANCELLED\nWed, Oct 14 2026, 6:00 PM PDT" in item
     runs = spark.createDataFrame([("s", "ok", 1, 1, 1, 0)], "source_id string, status string, fetched int, changed int, parsed int, parse_errors int")
     assert publish.publish(feed, runs, "r1", str(tmp_path / "out"), F.lit("2026-10-01").cast("timestamp"))
-    assert '"run_id":"r1"' in spark.read.text(str(tmp_path / "out/manifest")).first().value
+    assert '"run_id":"r1"' in spark.read.text(f"{publish.published(spark, str(tmp_path / 'out'))}/manifest").first().value
     failed = runs.withColumn("status", F.lit("failed"))
     assert not publish.publish(feed, failed, "r2", str(tmp_path / "none"), F.lit("2026-10-01").cast("timestamp")) and not (tmp_path / "none").exists()

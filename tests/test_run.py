@@ -3,7 +3,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from evlake.operators import classify
+from evlake.operators import classify, publish
 from evlake.plans import run as daily
 from evlake.sources import geojson, ics
 
@@ -34,14 +34,14 @@ def records(spark, *feeds):
 
 def test_a_day_and_the_next(spark, tmp_path):
     state, reference = setup(spark)
-    reference.raw_path = str(tmp_path / "raw")
+    reference.raw_path, reference.hash_path = str(tmp_path / "raw"), str(tmp_path / "hashes")
     incoming = records(spark, ("a", feed_text("AI Night")), ("b", feed_text("AI Night!", uid="9")))
     state, report = daily.run(state, incoming, ics.parse_ics, reference, NOW, "r1", str(tmp_path / "one"))
     (event,) = state.events.collect()
     # two postings of one event: the higher priority's title, the lower id
     assert report.published and event.title == "AI Night!" and event.rule_kinds == ["meetup", "talk"] and state.links.count() == 2 and state.aliases.count() == 1
     assert {(r.source_id, r.fetched, r.parsed, r.parse_errors) for r in state.runs.collect()} == {("a", 2, 1, 1), ("b", 2, 1, 1)}
-    document = json.loads("\n".join(r.value for r in spark.read.text(str(tmp_path / "one/json")).collect()))
+    document = json.loads("\n".join(r.value for r in spark.read.text(f"{publish.published(spark, str(tmp_path / 'one'))}/json").collect()))
     assert (document["count"], document["profile"], [e["title"] for e in document["events"]]) == (1, {"id": "p", "name": "p"}, ["AI Night!"])
     assert report.alerts.count() == 0 and {(r.source_id, len(r.records)) for r in report.drift.collect()} == {("a", 2), ("b", 2)}
     again, _, _ = daily.ingest(state, incoming, ics.parse_ics, reference, NOW + dt.timedelta(days=1), "r2")
