@@ -20,7 +20,7 @@ TOP = 50
 #: Bytes of terms of the items that one pass over the documents takes; more items take more passes.
 MAX_BLOCK_BYTES = 8 << 20
 #: Terms of items that share one tree, and cells of a batch of documents by these terms.
-TREE_TERMS, MAX_CELLS = 8192, 1 << 21
+TREE_TERMS, MAX_CELLS = 8192, 1 << 20
 #: Items of a leaf, documents of a leaf, children of a node.
 ITEM_LEAF, DOC_LEAF, FAN = 8, 16, 8
 #: One in so many documents is scored first, for the scores that the others have to reach; results don't depend on it.
@@ -136,39 +136,33 @@ class DocTree:
             self.levels.append(np.maximum.reduceat(below, np.arange(0, len(below), self.fans[-1]), axis=0))
 
 
+def _visit(tree: DocTree, node: ItemNode, level: int, at: np.ndarray, best: Best) -> int:
+    rows = tree.levels[level][np.ix_(at, node.terms)]
+    at = at[rows @ node.most >= best.least[node.items].min()]
+    if not len(at):
+        return 0
+    if level:
+        fan = tree.fans[level - 1]
+        below = (at[:, None] * fan + np.arange(fan)).ravel()
+        below = below[below < len(tree.levels[level - 1])]
+        return sum(_visit(tree, child, level - 1, below, best) for child in node.children or [node])
+    if node.children:
+        return sum(_visit(tree, child, 0, at, best) for child in node.children)
+    scores = tree.levels[0][np.ix_(at, node.terms)] @ node.each.T
+    for k, item in enumerate(node.items):
+        good = np.flatnonzero(scores[:, k] >= best.least[item])
+        if len(good):
+            best.take(item, scores[good, k].astype(np.int64), tree.ids[at[good]])
+    return scores.size
+
+
 def search_batch(tree: DocTree, root: ItemNode, best: Best) -> int:
     """Takes what the batch's documents score into best; the number of scores worked out.
 
     A pair of nodes is left when the product of its maxima is below the weakest score that one of its
     items asks for. A product that equals it is kept, as a tie may fall to a smaller id.
     """
-    done = 0
-
-    def visit(node: ItemNode, level: int, at: np.ndarray) -> None:
-        nonlocal done
-        rows = tree.levels[level][np.ix_(at, node.terms)]
-        at = at[rows @ node.most >= best.least[node.items].min()]
-        if not len(at):
-            return
-        if level:
-            fan = tree.fans[level - 1]
-            below = (at[:, None] * fan + np.arange(fan)).ravel()
-            below = below[below < len(tree.levels[level - 1])]
-            for child in node.children or [node]:
-                visit(child, level - 1, below)
-        elif node.children:
-            for child in node.children:
-                visit(child, 0, at)
-        else:
-            scores = tree.levels[0][np.ix_(at, node.terms)] @ node.each.T
-            done += scores.size
-            for k, item in enumerate(node.items):
-                good = np.flatnonzero(scores[:, k] >= best.least[item])
-                if len(good):
-                    best.take(item, scores[good, k].astype(np.int64), tree.ids[at[good]])
-
-    visit(root, len(tree.levels) - 1, np.arange(len(tree.levels[-1])))
-    return done
+    return _visit(tree, root, len(tree.levels) - 1, np.arange(len(tree.levels[-1])), best)
 
 
 def _trees(block: list[tuple[object, list[bytes]]], ids: dict[bytes, int], weights: dict[int, int]) -> list[tuple[np.ndarray, ItemNode]]:
