@@ -62,7 +62,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     holders = found.select("h", "g", "doc_id").distinct().groupBy("h", "g").agg(F.count("*").alias("n"), F.min("doc_id").alias("keeper"))
     # read from storage, so that Spark can split the rows of a line that many documents have
     repeated = written(holders.where(F.col("n") >= min_docs).drop("n"), "repeated")
-    gone = found.join(repeated, ["h", "g"]).where("doc_id > keeper").groupBy("doc_id", "t").agg(F.flatten(F.collect_list("places")).alias("gone"))
+    # rows that repeat have the same places, which count once
+    gone = found.join(repeated, ["h", "g"]).where("doc_id > keeper").groupBy("doc_id", "t").agg(F.flatten(F.collect_set("places")).alias("gone"))
     joined = keyed.select("doc_id", "t", "row").join(written(gone, "gone"), ["doc_id", "t"], "left").select("row", "gone")
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -144,8 +144,8 @@ def document_frequencies(pieces: DataFrame, number_type: str, n_terms: int) -> n
 class Dealer:
     """Deals pieces to shards by their words, so that the neighbours of a seed are mostly in its own shard.
 
-    Clusters of BM25 vectors by cosine, fitted on a sample. A cluster that holds more than a shard is
-    parted by number; its share is that of the sample.
+    Clusters of BM25 vectors by cosine, fitted on a sample; what each holds is counted over all pieces
+    before they are dealt, and a cluster that holds more than a shard is parted by number.
     """
 
     def __init__(self, sample: list[np.ndarray], idf: np.ndarray, mean_length: float, n_ids: int, shard_ids: int) -> None:
@@ -169,9 +169,6 @@ class Dealer:
         self.row = np.full(len(idf), -1, np.int32)
         self.row[telling] = np.arange(len(telling))
         self.weights = np.ascontiguousarray(weights[telling])
-        held = np.bincount([self.cluster(x) for x in sample], [len(x) for x in sample], k) if sample else np.ones(k)
-        self.parts = np.maximum(1, np.ceil(held / max(held.sum(), 1) * n_ids / shard_ids - 0.3)).astype(np.int64)
-        self.first = np.cumsum(self.parts) - self.parts
 
     def vector(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         terms, tf = np.unique(ids, return_counts=True)
@@ -187,9 +184,17 @@ class Dealer:
         rows = self.row[ids]
         return int(self.weights[rows[rows >= 0]].sum(0).argmax())
 
-    def shard(self, ids: np.ndarray, number: int) -> int:
-        j = self.cluster(ids)
-        return int(self.first[j] + number % self.parts[j])
+
+def shards_of(clusters: DataFrame, shard_ids: int) -> DataFrame:
+    """clusters(cluster, number, length, ...) with shard: each cluster in as many parts as it needs, counted over all its rows.
+
+    The counts are a row for each cluster, MAX_CLUSTERS at most.
+    """
+    held = {r.cluster: r.n for r in clusters.groupBy("cluster").agg(F.sum("length").alias("n")).collect()}
+    parts = [max(1, -(-held.get(j, 0) // shard_ids)) for j in range(max(held, default=0) + 1)]
+    first = np.cumsum([0, *parts[:-1]]).tolist()
+    of = lambda values: F.element_at(F.array(*map(F.lit, values)).cast("array<bigint>"), F.col("cluster") + 1)
+    return clusters.withColumn("shard", of(first) + F.pmod(F.xxhash64("number"), of(parts))).drop("cluster")
 
 
 class Bm25Shard:
@@ -287,8 +292,9 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, window: int = WI
     """(doc_id, start, length, doc_tokens, ids, sequence_id, offset): every id of every document in exactly one piece.
 
     Whole windows of long documents are sequences of their own; the rest of each document is dealt by
-    its words to a shard, and only there are neighbours sought, so that no task holds more than about
-    shard_ids ids. Term statistics are those of all rests. ids is binary, unsigned 32-bit little-endian.
+    its words to a shard, and only there are neighbours sought. What clusters of words hold is counted over
+    all rests, so a shard has about shard_ids ids at most, whatever the sample met. Term statistics are
+    those of all rests. ids is binary, unsigned 32-bit little-endian.
     Null and empty texts are end_id alone; repeated rows, and rows without an id, are packed as often as
     they come, wherever there is room; empty input: no rows.
     """
@@ -300,9 +306,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, window: int = WI
     dealer = docs.sparkSession.sparkContext.broadcast(dealer_of(left, number_type, n_terms, shard_ids))
 
     def placed(batch: pa.RecordBatch) -> pa.RecordBatch:
-        numbers = batch.column("number").to_pylist()
-        shards = [dealer.value.shard(np.frombuffer(x, number_type), k) for x, k in zip(batch.column("ids").to_pylist(), numbers)]
-        return batch.append_column("shard", pa.array(shards, pa.int64()))
+        return batch.append_column("cluster", pa.array([dealer.value.cluster(np.frombuffer(x, number_type)) for x in batch.column("ids").to_pylist()], pa.int32()))
 
     def packed(found: pa.Table) -> pa.Table:
         found = found.sort_by([("doc_id", "ascending"), ("start", "ascending"), ("number", "ascending")]).combine_chunks()
@@ -318,8 +322,9 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, window: int = WI
         })
 
     schema = "doc_id long, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long"
-    columns = "doc_id long, start long, length long, doc_tokens long, ids binary, number long, shard long"
-    dealt = arrow_map(left, placed, columns).groupBy("shard").applyInArrow(packed, schema)
+    columns = "doc_id long, start long, length long, doc_tokens long, ids binary, number long, cluster int"
+    clusters = written(arrow_map(left, placed, columns), "clusters")
+    dealt = shards_of(clusters, shard_ids).groupBy("shard").applyInArrow(packed, schema)
 
     def widened(batch: pa.RecordBatch) -> pa.RecordBatch:
         wide = pa.array([np.frombuffer(x, number_type).astype("<u4").tobytes() for x in batch.column("ids").to_pylist()], pa.binary())

@@ -90,7 +90,8 @@ def _by_trie(pages: DataFrame, rules: list[tuple[str, str, str]], default: str,
 def _by_join(pages: DataFrame, rules: DataFrame, default: str, id_col: str, url_col: str) -> DataFrame:
     """The same verdicts for rules of any number: a url's host suffixes and path prefixes are joined with the rules.
 
-    Each different url is looked up once. A prefix is a hash; rules that it brings are compared themselves.
+    Each different url is looked up once, by prefixes of the lengths that rules have. A prefix is a hash;
+    rules that it brings are compared themselves.
     """
     key = F.xxhash64("r_host", "r_path")
     known = rules.select(F.col("verdict").alias("r_verdict"), F.col("host").alias("r_host"), F.col("path").alias("r_path")).groupBy("r_host", "r_path").agg(F.max("r_verdict").alias("r_verdict"))
@@ -99,7 +100,9 @@ def _by_join(pages: DataFrame, rules: DataFrame, default: str, id_col: str, url_
     different = split.select("url_key", "host", "path").distinct()
     labels = F.split("host", r"\.")
     hosts = F.array_distinct(F.concat(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), ".")), F.array(F.lit(""))))
-    paths = F.transform(F.sequence(F.lit(0), F.length("path")), lambda n: F.left("path", n))
+    # only prefixes as long as some rule's path; there are no more such lengths than the longest has characters
+    lengths = sorted(r.n for r in known.select(F.length("r_path").alias("n")).distinct().collect())
+    paths = F.transform(F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length("path")), lambda n: F.left("path", n))
     tried = different.select("url_key", "host", "path", F.explode(hosts).alias("t_host"), F.col("path").alias("_p")).select("url_key", "host", "path", "t_host", F.explode(paths).alias("t_path"))
     met = tried.withColumn("key", F.xxhash64("t_host", "t_path")).join(known, "key").where("t_host = r_host and t_path = r_path")
     best = met.groupBy("host", "path").agg(F.max_by(F.struct(F.concat("r_host", "r_path").alias("rule"), F.col("r_verdict").alias("verdict")), F.struct(F.length("r_host"), F.length("r_path"))).alias("b"))

@@ -136,9 +136,8 @@ def test_pieces_of_one_subject_are_dealt_together():
     seen = np.bincount(np.concatenate([np.unique(x) for x in ids]), minlength=1200)
     idf = np.log1p((200 - seen + 0.5) / (seen + 0.5)).astype(np.float32)
     dealer = packing.Dealer(ids[:80], idf, 200.0, 200 * 200, 200 * 50)
-    shards = np.array([dealer.shard(x, i) for i, x in enumerate(ids)])
-    # of a piece's subject most lie in its own shard, where a deal by number would leave a quarter
-    assert np.mean([(shards[i % 4 :: 4] == shards[i]).mean() for i in range(200)]) > 0.6
-    assert np.bincount(shards).max() <= 110
+    clusters = np.array([dealer.cluster(x) for x in ids])
+    # of a piece's subject most lie in its own cluster, where a deal by number would leave a quarter
+    assert np.mean([(clusters[i % 4 :: 4] == clusters[i]).mean() for i in range(200)]) > 0.6
     alone = packing.Dealer([], idf, 200.0, 0, 100)
-    assert alone.shard(ids[0], 5) == 0
+    assert alone.cluster(ids[0]) == 0

@@ -1,6 +1,7 @@
 """Retrieval of the packing operator against plain BM25."""
 
 import numpy as np
+import public_tokenizers
 
 from evlake.llm import packing
 
@@ -32,3 +33,17 @@ def test_all_terms_of_long_seeds_count():
         assert sorted(got) == sorted(d for d in want if want[d] > 0)
         scores = [want[d] for d in got]
         assert all(a >= b - 1e-4 * a for a, b in zip(scores, scores[1:]))
+
+
+def test_shards_stay_within_their_size(spark, monkeypatch):
+    """Topics that the sample hardly meets, one that holds half of all, and rests without a telling term."""
+    monkeypatch.setattr(packing, "FIT_RESTS", 40)
+    monkeypatch.setattr(packing, "TELLING_TERMS", 64)
+    rng = np.random.default_rng(3)
+    words = [[f"{chr(97 + t % 26)}{chr(97 + t // 26)}{w}word" for w in "abcdefghij"] for t in range(60)]
+    of = np.where(rng.random(4000) < 0.5, 0, rng.integers(0, 60, 4000))
+    rows = [(i, " ".join(rng.choice(words[t], 25)) if i % 9 else "the") for i, t in enumerate(of.tolist())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), shard_ids=20_000).selectExpr("(sequence_id - 1) div 2 >> 32 as shard", "length").groupBy("shard").sum("length").collect()
+    sizes = [r[1] for r in got]
+    assert max(sizes) <= 1.1 * 20_000 and len(sizes) > sum(sizes) / 20_000 > 5
