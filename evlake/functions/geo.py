@@ -70,9 +70,14 @@ def place_key(name: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(name, r"\s+", " ")))
 
 
+# Legal types that gazetteer names end in.
+PLACE_TYPES = ["city and borough", "city", "town", "village", "borough", "CDP", "comunidad", "zona urbana", "municipality", "corporation", "urban county", "unified government", "consolidated government", "metropolitan government"]
+
+
 def place_name(name: Column) -> Column:
-    """A gazetteer name without its legal type."""
-    return F.trim(F.regexp_replace(F.trim(name), r" (?:city|town|village|borough|CDP|municipality|city and borough|consolidated government|metro government|unified government)(?: \(balance\))?$", ""))
+    """A gazetteer name without its legal type, in any letter case, and without (balance), with a type or alone."""
+    kind, rest = "|".join(PLACE_TYPES), r"\(balance\)"
+    return F.trim(F.regexp_replace(F.trim(name), rf"(?i)\s+(?:(?:{kind})(?:\s+{rest})?|{rest})$", ""))
 
 
 def city_state(address: Column) -> Column:

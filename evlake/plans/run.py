@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import address_key
@@ -14,6 +14,19 @@ from ..operators import changes, classify, folds, hash_table, health, locate, pu
 from ..operators.storage import written
 
 PRUNE_DAYS = 30
+#: Days after its end from which an event is closed: no step of a run looks at it of itself any more.
+CLOSED_DAYS = 2
+#: Tables whose rows belong to an event, and close with it.
+SPLIT = ("events", "links", "members")
+
+
+@dataclass
+class Closed:
+    """Rows of closed events, which a run leaves where they lie; each has closed_in, the version of the store that closed it."""
+
+    events: DataFrame
+    links: DataFrame
+    members: DataFrame
 
 
 @dataclass
@@ -26,6 +39,9 @@ class State:
     runs: DataFrame
     members: DataFrame
     aliases: DataFrame
+    #: Rows of closed events, where a store keeps them apart; and which of them this run has opened again.
+    closed: Closed | None = None
+    reopened: DataFrame | None = None
 
 
 @dataclass
@@ -84,6 +100,22 @@ def keep_region(drafts: DataFrame, sources: DataFrame, polygons: DataFrame) -> D
     return joined.where("keep_region is null or _in").drop("keep_region", "_in")
 
 
+def is_closed(now: Column) -> Column:
+    return F.coalesce(F.coalesce("end_utc", "start_utc") < now - F.make_dt_interval(F.lit(CLOSED_DAYS)), F.lit(False))
+
+
+def with_touched(state: State, records: DataFrame, drafts: DataFrame) -> State:
+    """state with the closed events that a run touches among its open ones: those that its records link to, and those of its drafts' pages and days."""
+    closed = state.closed
+    linked = closed.links.join(records.select("source_id", "native_id").distinct(), ["source_id", "native_id"], "left_semi").select("event_id", "closed_in")
+    pages = drafts.where("url is not null").select("url", F.to_date("start_utc").alias("_day")).distinct()
+    paged = closed.events.select("event_id", "closed_in", "url", F.to_date("start_utc").alias("_day")).join(pages, ["url", "_day"], "left_semi").select("event_id", "closed_in")
+    back = written(linked.unionByName(paged).distinct(), "reopened")
+    rows = [getattr(state, n).unionByName(getattr(closed, n).join(back, ["event_id", "closed_in"], "left_semi").select(*getattr(state, n).columns)) for n in SPLIT]
+    events, links, members = (written(r, n) for r, n in zip(rows, SPLIT))
+    return State(events, links, state.raw, state.runs, members, state.aliases, closed, back)
+
+
 def ingest(state: State, incoming: DataFrame, drafts_of, reference: Reference, now, run_id: str, replay: bool = False, active: DataFrame | None = None) -> tuple[State, DataFrame, DataFrame]:
     """(state, this run's metrics, rejects) after incoming raw records; replay parses unchanged ones too.
 
@@ -103,6 +135,8 @@ def ingest(state: State, incoming: DataFrame, drafts_of, reference: Reference, n
     judged = written(in_order.withColumn("pos", F.monotonically_increasing_id()), "drafts")
     valid, rejects = judged.where("size(reasons) = 0").drop("reasons", "reason"), judged.where("size(reasons) > 0").drop("pos")
     kept = keep_region(valid, reference.sources, reference.polygons)
+    if state.closed is not None:
+        state = with_touched(state, compared, kept)
     # a row for each configured source
     index = reference.sources.select("source_id").distinct().withColumn("source_index", F.dense_rank().over(Window.orderBy("source_id")))
     ordered = kept.join(F.broadcast(index), "source_id", "left").withColumn("source_index", F.coalesce("source_index", F.lit(0)))
@@ -122,7 +156,7 @@ def ingest(state: State, incoming: DataFrame, drafts_of, reference: Reference, n
         raw = state.raw.unionByName(written(log.withColumn("run_id", F.lit(run_id)), "raw").select(*state.raw.columns))
     if hashes:
         hashes.append(log, run_id)
-    after = State(written(events, "events"), written(links, "links"), raw, state.runs.unionByName(metrics.select(*state.runs.columns)), state.members, state.aliases)
+    after = State(written(events, "events"), written(links, "links"), raw, state.runs.unionByName(metrics.select(*state.runs.columns)), state.members, state.aliases, state.closed, state.reopened)
     return after, metrics, rejects
 
 

@@ -13,7 +13,8 @@ from ..sources import geojson, ics
 from ..streaming import jobs
 from . import run as daily
 from .registry import query, table
-from .view_queries import _VERDICTS, _verdicts
+from .store import Store
+from .view_queries import _VERDICTS, _runs, _verdicts
 
 NOW = dt.datetime(2026, 10, 1)
 EVENT = "event_id string, title string, description string, start_utc timestamp, end_utc timestamp, tz string, venue string, address string, lat double, lon double, attendance_mode string, status string, organizer string, url string, kinds array<string>, size_signal bigint, rule_kinds array<string>, geo_precision string, primary_source string, first_seen timestamp, last_seen timestamp"
@@ -127,6 +128,21 @@ def stream_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("source_id", "started_at", "unhealthy_runs", "since", "state", "action")
 
 
+@query("with " + _VERDICTS + """,
+i as (select *, len(reasons) = 0 as healthy, sum(case when len(reasons) = 0 then 1 else 0 end) over (partition by source_id order by started_at) as island from v),
+s as (select *, sum(case when healthy then 0 else 1 end) over (partition by source_id, island order by started_at) as streak, min(case when not healthy then started_at end) over (partition by source_id, island order by started_at) as first_bad from i),
+l as (select *, coalesce(lag(streak) over (partition by source_id order by started_at), 0) as before from s)
+select source_id, started_at, typical, n_history, array_to_string(reasons, '; ') as reasons, cast(streak as bigint) as unhealthy_runs, case when not healthy then first_bad end as since, case when healthy then 'healthy' when streak >= 4 then 'disabled' else 'unhealthy' end as state,
+  case when not healthy and streak in (2, 4) then 'alert' when healthy and before >= 2 then 'resolve' end as action from l
+""")
+def stream_run_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts and states of health_verdicts and health_states, from a stream of the runs themselves."""
+    runs = _runs(spark, sf_dir).withColumn("started_at", F.col("started_at").cast("timestamp"))
+    _, path = written_at(runs, "stream-in")
+    found = _drained(jobs.stream_run_health(spark.readStream.schema(runs.schema).parquet(path), 0.9, 7, 3, 0.06, 2, 4), "stream-run-health")
+    return found.select("source_id", "started_at", "typical", "n_history", F.array_join("reasons", "; ").alias("reasons"), "unhealthy_runs", "since", "state", "action")
+
+
 @query("select event_type as profile_id, date_trunc('day', ts)::timestamp as day, cast(count(*) as bigint) as n from events group by 1, 2 having date_trunc('day', min(ts)) + interval 2 day <= (select max(ts) from events)")
 def stream_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily counts of a stream, of the days that are over for certain."""
@@ -145,3 +161,18 @@ def stream_ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     jobs.stream_ingest(spark, landing, "event_id long, event_type string", f"{landing}-state", ingest).awaitTermination()
     return spark.read.schema("event_type string, n long, run_id string").parquet(out)
+
+
+@query("with " + _CUSTOMERS + " select title, start_utc, cast(lat as double) as lat, 'cal-' || s as source_id, k::varchar as native_id from c where not bad and (s <> 2 or lat > 30)")
+def stream_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records that come as files, a run for each, over a store; then once more from the beginning, which changes nothing."""
+    records, landing = written_at(_records(spark, sf_dir, 1).repartition(2), "landing")
+    reference = _reference(spark)
+    reference.raw_path, reference.hash_path = f"{landing}-raw", f"{landing}-hashes"
+    store = Store(spark, f"{landing}-store", _empty(spark))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in records.schema)
+    moment = lambda run_id: NOW + dt.timedelta(minutes=int(run_id.split("-")[1]))
+    step = lambda state, batch, run_id: daily.ingest(state, batch, ics.parse_ics, reference, moment(run_id), run_id)[0]
+    for turn in range(2):
+        jobs.stream_runs(spark, landing, schema, f"{landing}-state{turn}", store, step, moment, 1).awaitTermination()
+    return store.whole("events").join(store.whole("links").select("event_id", "native_id"), "event_id").select("title", "start_utc", "lat", F.col("primary_source").alias("source_id"), "native_id")

@@ -13,7 +13,8 @@ def read_robots(files: DataFrame, agent: str) -> DataFrame:
 
     A group names an agent if one of its agent lines is the agent's product name (what stands before /),
     whatever the case. Agent lines share the rules after them; an allow, disallow or delay line closes
-    the list, an empty Disallow too, which forbids nothing. Lines of other fields are passed over.
+    the list, an empty Disallow too, which forbids nothing. Lines of other fields are passed over. A host
+    with a delay and no path rule has one row, without allow and pattern.
     """
     product = agent.split("/")[0].strip().lower()
     lines = files.select("host", F.posexplode(F.split("body", r"\r\n|\r|\n")).alias("n", "line")).withColumn("line", F.trim(F.regexp_replace("line", r"#.*$", "")))
@@ -26,7 +27,8 @@ def read_robots(files: DataFrame, agent: str) -> DataFrame:
     rules = grouped.where("field <> 'user-agent'").join(ranked, ["host", "group"])
     delay = rules.where("field = 'crawl-delay'").groupBy("host").agg(F.max(F.col("value").try_cast("double")).alias("delay"))
     paths = rules.where("field <> 'crawl-delay' and value <> ''").select("host", (F.col("field") == "allow").alias("allow"), F.col("value").alias("pattern"))
-    return paths.join(delay, "host", "left")
+    # a host may have a delay and forbid nothing
+    return paths.join(delay, "host", "full")
 
 
 def pattern_regex(pattern: F.Column) -> F.Column:
@@ -44,7 +46,7 @@ def crawl_decisions(urls: DataFrame, rules: DataFrame, unavailable: DataFrame |
     query = part(F.col(url), 4)
     path = F.concat(F.when(part(F.col(url), 3) == "", F.lit("/")).otherwise(part(F.col(url), 3)), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
     keyed = urls.select(url).distinct().select(url, host(F.col(url)).alias("host"), path.alias("_path"))
-    fits = keyed.join(rules.select("host", "allow", "pattern"), "host").where(F.regexp_like("_path", pattern_regex(F.col("pattern"))))
+    fits = keyed.join(rules.where("pattern is not null").select("host", "allow", "pattern"), "host").where(F.regexp_like("_path", pattern_regex(F.col("pattern"))))
     best = fits.groupBy(url).agg(F.max_by("allow", F.struct(F.length("pattern"), "allow")).alias("_allow"))
     out = urls.join(best, url, "left").withColumn("allowed", F.coalesce("_allow", F.lit(True))).drop("_allow")
     if unavailable is not None:

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -35,6 +36,25 @@ def test_health_equals_the_batch_form(spark, tmp_path):
     assert sorted(map(str, spark.table("states").select(columns).collect())) == sorted(map(str, want.collect()))
 
 
+def test_raw_runs_equal_the_batch_form_over_restarts(spark, tmp_path):
+    """Runs in three portions, the stream started anew for each: baselines, verdicts and streaks go on."""
+    schema = "source_id string, run_id string, started_at timestamp, status string, fetched long, parsed long, parse_errors long, error string"
+    rng = random.Random(4)
+    rows = []
+    for s in "abc":
+        for i in range(40):
+            at = dt.datetime(2026, 1, 1) + dt.timedelta(days=i, hours=rng.randrange(3))
+            rows.append((s, f"{i:02d}", at, rng.choice(["ok"] * 6 + ["failed", "disabled"]), rng.choice([0, 10, 10, 12, 50]), rng.randrange(9), rng.choice([0, 0, 0, 3]), rng.choice([None, "timeout"])))
+    want = health.states(health.verdicts(spark.createDataFrame(rows, schema), window_days=6, min_history=2), alert_after=2, disable_after=3)
+    columns = ["source_id", "run_id", "typical", "n_history", "reasons", "unhealthy_runs", "since", "state", "action"]
+    out, folder = str(tmp_path / "out"), str(tmp_path / "in")
+    for part in range(3):
+        spark.createDataFrame([r for r in rows if int(r[1]) // 14 == part], schema).coalesce(1).write.mode("append").parquet(folder)
+        found = jobs.stream_run_health(spark.readStream.schema(schema).parquet(folder), window_days=6, min_history=2, alert_after=2, disable_after=3)
+        drain(found.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start())
+    assert sorted(map(str, spark.read.parquet(out).select(columns).collect())) == sorted(map(str, want.select(columns).collect()))
+
+
 def test_daily_counts_and_ingest(spark, tmp_path):
     schema = "profile_id string, event_id string, first_seen timestamp"
     rows = [("p", str(i), dt.datetime(2026, 1, 1 + i // 3)) for i in range(12)]
