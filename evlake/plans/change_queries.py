@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo, urls
-from ..operators import changes
+from ..operators import browse, changes
 from ..operators.hash_table import HashTable
 from ..operators.storage import shared_dir, written
 from ..sources import ics, pages, robots
@@ -90,3 +90,11 @@ def hash_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
         hashes.append(told.where("change <> 'unchanged'"), f"week{k}")
         found = told if found is None else found.unionByName(told)
     return found.select("source_id", "native_id", "week", "change")
+
+
+@query("select o_orderkey, place, cast(420 as int) as page from (select o_orderkey, row_number() over (order by o_orderpriority, o_orderdate desc, o_orderkey) as place from orders) where place between 419 * 25 + 1 and 420 * 25")
+def deep_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page 420 of all orders by priority, from a ranked table."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderdate")
+    ranked = browse.Ranked.write(orders, ["o_orderpriority", F.desc("o_orderdate"), "o_orderkey"], f"{shared_dir(spark)}/ranked-{uuid.uuid4().hex}", 32)
+    return ranked.page("25", 420).select("o_orderkey", "place", "page")
