@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,10 +24,33 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Paths written within each scratch() that is open, the innermost last.
+_open: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what written() and written_at() have written within it.
+
+    Results are lazy and read those tables, so they must be stored or collected before it ends:
+    `with scratch(spark): query(spark, folder).write.parquet(out)`.
+    """
+    paths: list[str] = []
+    _open.append(paths)
+    try:
+        yield
+    finally:
+        _open.remove(paths)
+        for path in paths:
+            discard(spark, path)
+
+
 def written_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """written(), and where it lies."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
@@ -33,7 +58,8 @@ def written_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, and a lost executor costs nothing.
 
-    It stays there, as results read it later; a cluster clears the folder as it does checkpoints.
+    It stays there, as results read it later, until the scratch() around it ends; without one a cluster
+    clears the folder as it does checkpoints.
     """
     return written_at(df, name)[0]
 

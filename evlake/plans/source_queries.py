@@ -542,6 +542,16 @@ def feed_ics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return publish.ics_document(_full_feed(spark, sf_dir), ts(_NOW))
 
 
+@query("""
+with t as (select s_suppkey, repeat('é', cast(s_suppkey * 7 % 200 as int)) as body from supplier)
+select s_suppkey, array_to_string(list_prepend('X:' || left(body, 36), list_transform(range(36, greatest(length(body), 36), 37), lambda i: substr(body, i + 1, 37))), chr(13) || chr(10) || ' ') as line from t
+""")
+def folded_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calendar lines of letters of two octets."""
+    length = (F.col("s_suppkey") * 7 % 200).cast("int")
+    return table(spark, sf_dir, "supplier").select("s_suppkey", publish.fold_line(F.concat(F.lit("X:"), F.repeat(F.lit("é"), length))).alias("line"))
+
+
 @query("with " + _UPCOMING + """,
 r as (select *, timezone('America/Los_Angeles', timezone('UTC', start_utc)) as a, row_number() over (partition by profile_id order by first_seen desc, event_id desc) as place from u)
 select profile_id, '<?xml version="1.0" encoding="utf-8"?><rss version="2.0"><channel><title>' || profile_id || '</title><link>https://site.test/</link><description>New events: ' || profile_id || '</description><lastBuildDate>Mon, 01 Jun 1998 00:00:00 +0000</lastBuildDate>' as value from u group by profile_id

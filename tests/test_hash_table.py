@@ -8,7 +8,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from evlake.operators import changes, hash_table, versions
+from evlake.operators import changes, hash_table, storage, versions
 
 KEYS = ["source_id", "native_id"]
 RAW = "source_id string, native_id string, content_hash string, payload string, fetched_at timestamp"
@@ -67,3 +67,17 @@ def test_a_crash_leaves_the_table_as_it_was(spark, tmp_path, monkeypatch):
     with pytest.raises(PySparkException):
         versions.commit(spark, table.path, 0, {})
     assert hash_table.HashTable(spark, str(tmp_path / "none"), KEYS).latest() is None
+
+
+def test_scratch_deletes_what_was_written_within(spark):
+    _, before = storage.written_at(spark.range(3), "kept")
+    with storage.scratch(spark):
+        table, inner = storage.written_at(spark.range(3), "gone")
+        with storage.scratch(spark):
+            _, deeper = storage.written_at(spark.range(3), "gone")
+        assert table.count() == 3
+        with pytest.raises(PySparkException):
+            spark.read.parquet(deeper)
+    with pytest.raises(PySparkException):
+        spark.read.parquet(inner)
+    assert spark.read.parquet(before).count() == 3
