@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from datetime import datetime
+from datetime import datetime, timedelta
 from typing import TYPE_CHECKING
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,9 @@ if TYPE_CHECKING:
     from ..plans.run import State
     from ..plans.store import Store
 
+#: Rows that a stateful operator gives out at a time.
+_CHUNK = 10_000
+
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -42,29 +46,50 @@ def stream_runs(spark: SparkSession, landing: str, schema: str, checkpoint: str,
 
 
 class _LastHash(StatefulProcessor):
-    """Passes a key's records whose content differs from the record before."""
+    """Passes a key's records whose content differs from the record before.
+
+    Of a key's records it holds a time and a number each, 16 bytes, and each different content once.
+    """
+
+    def __init__(self, ttl_ms: int | None) -> None:
+        self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "content_hash string")
+        self.last = handle.getValueState("last", "content_hash string", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["fetched_at", "content_hash"], kind="stable")
+        times, numbers, known = [], [], {}
+        for part in rows:
+            times.append(part["fetched_at"].to_numpy("datetime64[ns]"))
+            numbers.append(np.fromiter((known.setdefault(h, len(known)) for h in part["content_hash"]), np.int64, len(part)))
+        at, number = np.concatenate(times), np.concatenate(numbers)
+        names = np.array(list(known), object)
+        rank = np.empty(len(names), np.int64)
+        rank[sorted(range(len(names)), key=lambda i: names[i] or "")] = np.arange(len(names))
+        order = np.lexsort((rank[number], at))
+        at, number = at[order], number[order]
         held = self.last.get()[0] if self.last.exists() else None
-        before = batch["content_hash"].shift()
-        before.iloc[0] = held
-        self.last.update((batch["content_hash"].iloc[-1],))
-        changed = batch[batch["content_hash"] != before]
-        if len(changed):
-            yield changed
+        new = np.ones(len(number), bool)
+        new[1:] = number[1:] != number[:-1]
+        new[0] = not self.last.exists() or names[number[0]] != held
+        self.last.update((names[number[-1]],))
+        changed = np.flatnonzero(new)
+        for k in range(0, len(changed), _CHUNK):
+            part = changed[k : k + _CHUNK]
+            yield pd.DataFrame({"source_id": key[0], "native_id": key[1], "content_hash": names[number[part]], "fetched_at": at[part]})
 
     def close(self) -> None:
         pass
 
 
-def stream_changes(raw: DataFrame) -> DataFrame:
-    """Records of a stream raw(source_id, native_id, content_hash, fetched_at) that differ from their key's last; a return to old content counts."""
+def stream_changes(raw: DataFrame, keep: timedelta | None = None) -> DataFrame:
+    """Records of a stream raw(source_id, native_id, content_hash, fetched_at) that differ from their key's last; a return to old content counts.
+
+    With keep, a key that brings nothing for so long is forgotten, and new when it comes again.
+    """
     columns = raw.select("source_id", "native_id", "content_hash", "fetched_at")
-    return columns.groupBy("source_id", "native_id").transformWithStateInPandas(_LastHash(), "source_id string, native_id string, content_hash string, fetched_at timestamp", "Append", "None")
+    processor = _LastHash(int(keep.total_seconds() * 1000) if keep else None)
+    return columns.groupBy("source_id", "native_id").transformWithStateInPandas(processor, "source_id string, native_id string, content_hash string, fetched_at timestamp", "Append", "ProcessingTime" if keep else "None")
 
 
 class _Health(StatefulProcessor):

@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -25,6 +26,24 @@ def test_changes_pass_reverts(spark, tmp_path):
     assert [r.content_hash for r in spark.table("changed").orderBy("fetched_at").collect()] == ["a", "b", "a"]
 
 
+def test_a_key_of_many_records_and_forgotten_keys(spark, tmp_path):
+    """A key's records in any order, far more than a portion; and a key that comes again after its time."""
+    schema, folder, out = "source_id string, native_id string, content_hash string, fetched_at timestamp", str(tmp_path / "in"), str(tmp_path / "out")
+    n = 9_000
+    rows = spark.range(n).select(F.lit("s").alias("source_id"), F.lit("1").alias("native_id"), F.concat(F.lit("h"), (F.col("id") / 3).cast("int") % 7).alias("content_hash"), F.timestamp_seconds(F.col("id") + 1_700_000_000).alias("fetched_at"))
+    rows.repartition(4).write.parquet(folder)
+
+    def run():
+        found = jobs.stream_changes(spark.readStream.schema(schema).parquet(folder), dt.timedelta(seconds=1))
+        drain(found.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start())
+        return spark.read.parquet(out).count()
+
+    assert run() == n // 3
+    time.sleep(1.5)
+    rows.orderBy(F.desc("fetched_at")).limit(1).write.mode("append").parquet(folder)
+    assert run() == n // 3 + 1
+
+
 def test_health_equals_the_batch_form(spark, tmp_path):
     schema = "source_id string, run_id string, started_at timestamp, healthy boolean"
     rows = [(s, f"{i:02d}", dt.datetime(2026, 1, 1) + dt.timedelta(days=i), (i * k) % 4 == 0) for s, k in (("a", 1), ("b", 3)) for i in range(12)]
