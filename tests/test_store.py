@@ -19,8 +19,6 @@ DAYS = [
     (6, [("a", 3, "AI three again", "20261014T180000Z", ""), ("b", 4, "AI four", "20261020T180000Z", ""), ("b", 5, "Talk five", "20261016T180000Z", "")]),
     (7, [("a", 1, "AI one, moved on", "20261001T180000Z", ""), ("a", 3, "AI three again", "20261014T180000Z", ""), ("b", 9, "AI two elsewhere", "20261002T190000Z", "https://e/2")]),
     (8, [("a", 2, "AI two", "20261002T180000Z", "https://e/2"), ("b", 5, "Talk five", "20261016T180000Z", "")]),
-    (9, [("a", 1, "AI one at last", "20261022T180000Z", "")]),
-    (18, [("b", 4, "AI four", "20261020T180000Z", "")]),
 ]
 
 
@@ -46,7 +44,7 @@ def test_split_state_equals_whole_tables(spark, tmp_path, both):
     empty, before, closed_rows = state, {}, []
     for k, (day, rows) in enumerate(DAYS):
         now, incoming = dt.datetime(2026, 10, day), records(spark, day, rows)
-        whole = day in (1, 7)  # the other days end after ingesting, which is where closed events come in
+        whole = day == 7  # the other days end after ingesting, which is where closed events come in
 
         def step(s, own, folder):
             if whole:  # noqa: B023
@@ -66,7 +64,7 @@ def test_split_state_equals_whole_tables(spark, tmp_path, both):
         value = versions.current(spark, store.path)[1]
         assert set(before) <= set(value.get("closed_events", []))
         before = value.get("closed_events", [])
-    assert closed_rows[:4] == [0, 2, 2, 2] and closed_rows[-1] == 2 and value["reopened"]
+    assert closed_rows == [0, 2, 2, 2] and value["reopened"]
 
 
 def test_a_run_that_breaks_off_is_tried_again(spark, tmp_path, both):
