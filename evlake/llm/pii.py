@@ -164,21 +164,23 @@ def pseudonymised(docs: DataFrame, key: str, text_col: str = "text") -> DataFram
 
     Adds n_private (long), how many were found. Other columns stay, but for n_private, which is replaced.
     A null text stays null, with none found; an invalid number stays as it is. Row by row, without a
-    shuffle; texts without a digit or @ are passed on. key is a secret that whoever holds can link by.
+    shuffle; texts without a digit or @ are passed on. key is a secret that whoever holds can link by;
+    it is read by a subquery over a table of one row, so that no plan, page or log of Spark's prints it.
     """
     text = F.col(f"`{text_col}`")
     docs = docs.drop("n_private")
-    found, new = (unused_name(docs, n) for n in ("found", "new"))
+    found, new, own = (unused_name(docs, n) for n in ("found", "new", "own"))
+    secret = docs.sparkSession.createDataFrame([(key,)], "value string").scalar()
     matches = F.regexp_extract_all(text, F.lit(_ANY), F.lit(0))
-    with_found = docs.withColumn(found, F.when(text.rlike("[0-9@]"), matches))
-    with_new = with_found.withColumn(new, F.transform(found, lambda m: pseudonym(m, F.lit(key))))
+    with_found = docs.withColumns({found: F.when(text.rlike("[0-9@]"), matches), own: secret})
+    with_new = with_found.withColumn(new, F.transform(found, lambda m: pseudonym(m, F.col(own))))
 
     def piece(between: Column, i: Column) -> Column:
         return F.concat(between, F.coalesce(F.get(F.col(new), i), F.get(F.col(found), i), F.lit("")))
 
     rebuilt = F.array_join(F.transform(F.split(text, _ANY, -1), piece), "")
     n = F.when(F.size(found) > 0, F.size(F.array_compact(new))).otherwise(0).cast("long")
-    return with_new.withColumn("n_private", n).withColumn(text_col, F.when(F.col("n_private") > 0, rebuilt).otherwise(text)).drop(found, new)
+    return with_new.withColumn("n_private", n).withColumn(text_col, F.when(F.col("n_private") > 0, rebuilt).otherwise(text)).drop(found, new, own)
 
 
 @functools.cache

@@ -338,6 +338,14 @@ def test_op8_leaves_none_of_what_it_finds(spark, docs):
     assert seen
 
 
+def test_op8_key_is_in_no_plan(spark):
+    made = pii.pseudonymised(spark.createDataFrame([(1, "mail a.b1@mail8.example.com")], "doc_id long, text string"), "not-to-be-printed")
+    assert made.first().n_private == 1
+    execution = made._jdf.queryExecution()
+    printed = execution.toString() + execution.executedPlan().treeString() + execution.executedPlan().toJSON()
+    assert "Subquery" in printed and "not-to-be-printed" not in printed
+
+
 def test_feistel_is_a_permutation(spark):
     from pyspark.sql import functions as F
 
