@@ -118,16 +118,29 @@ def contains_clipped(odd: Column, edges: Column, corner_x: Column, corner_y: Col
     return F.when(F.size(edges) == 0, odd).otherwise((right_leg + up_leg + odd.cast("int")) % 2 == 1)
 
 
-def polygon_hits(points: DataFrame, polygons: DataFrame, keys: list[str], lat: str = "lat", lon: str = "lon", cell: float = CELL) -> DataFrame:
-    """(keys, region_id, poly_ord, name) for each point and polygon that contains it. Points without a location hit nothing."""
+def on_border(edges: Column, lat: Column, lon: Column) -> Column:
+    """Whether a point lies on one of the edges."""
+    within = lambda v, a, b: v.between(F.least(a, b), F.greatest(a, b))
+    level = lambda e: (lon - e["x1"]) * (e["y2"] - e["y1"]) == (lat - e["y1"]) * (e["x2"] - e["x1"])
+    return F.exists(edges, lambda e: within(lon, e["x1"], e["x2"]) & within(lat, e["y1"], e["y2"]) & level(e))
+
+
+def polygon_hits(points: DataFrame, polygons: DataFrame, keys: list[str], lat: str = "lat", lon: str = "lon", cell: float = CELL, border: bool = False) -> DataFrame:
+    """(keys, region_id, poly_ord, name) for each point and polygon that contains it. Points without a location hit nothing.
+
+    By the even-odd rule a point on the border is inside on some sides only; with border it is on all.
+    """
     placed = points.select(*keys, F.col(lat).alias("_lat"), F.col(lon).alias("_lon")).where("_lat is not null and _lon is not null")
     placed = placed.withColumns({"cell_x": F.floor(F.col("_lon") / cell), "cell_y": F.floor(F.col("_lat") / cell)})
     met = placed.join(covering_cells(polygons, cell), ["cell_x", "cell_y"])
     boxed = met.where("_lon between min_x and max_x and _lat between min_y and max_y")
-    return boxed.where(contains_clipped(*map(F.col, ("odd", "edges", "corner_x", "corner_y", "_lat", "_lon")))).select(*keys, "region_id", "poly_ord", "name")
+    inside = contains_clipped(*map(F.col, ("odd", "edges", "corner_x", "corner_y", "_lat", "_lon")))
+    if border:
+        inside |= on_border(F.col("edges"), F.col("_lat"), F.col("_lon"))
+    return boxed.where(inside).select(*keys, "region_id", "poly_ord", "name")
 
 
-def region_members(points: DataFrame, polygons: DataFrame, keys: list[str], **at: str) -> DataFrame:
+def region_members(points: DataFrame, polygons: DataFrame, keys: list[str], **at: str | bool) -> DataFrame:
     """(keys, region_id), once for each region that holds a point."""
     return polygon_hits(points, polygons, keys, **at).select(*keys, "region_id").distinct()
 

@@ -92,10 +92,10 @@ def drafts_of_adapters(adapters: dict[str, Callable[[DataFrame], DataFrame]], so
     return parse
 
 
-def keep_region(drafts: DataFrame, sources: DataFrame, polygons: DataFrame) -> DataFrame:
-    """Drafts but those of sources bound to a region that lie outside it, or nowhere."""
+def keep_region(drafts: DataFrame, sources: DataFrame, polygons: DataFrame, border: bool = False) -> DataFrame:
+    """Drafts but those of sources bound to a region that lie outside it, or nowhere; with border those on all sides of its border stay."""
     bound = sources.where("keep_region is not null").select("source_id", "keep_region")
-    hits = spatial.region_members(drafts.join(bound.select("source_id"), "source_id", "left_semi"), polygons, ["source_id", "native_id"]).withColumnRenamed("region_id", "keep_region").withColumn("_in", F.lit(True))
+    hits = spatial.region_members(drafts.join(bound.select("source_id"), "source_id", "left_semi"), polygons, ["source_id", "native_id"], border=border).withColumnRenamed("region_id", "keep_region").withColumn("_in", F.lit(True))
     joined = drafts.join(bound, "source_id", "left").join(hits, ["source_id", "native_id", "keep_region"], "left")
     return joined.where("keep_region is null or _in").drop("keep_region", "_in")
 

@@ -460,7 +460,7 @@ with p as (select event_id, event_type, (user_id % 100) / 10.0 + value / 100000
 select event_id from p where event_type <> 'click' or (not lost and lon between 0 and 4 and lat between 0 and 4)
 """)
 def kept_in_region(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of a source bound to a region: those outside it, and those without a place, are dropped."""
+    """Events of a source bound to a region, border included: those outside it, and those without a place, are dropped."""
     from ..sources import geojson
 
     body = '{"type":"Polygon","coordinates":[[[0,0],[4,0],[4,4],[0,4]]]}'
@@ -469,7 +469,7 @@ def kept_in_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     types = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("source_id"))
     drafts = _points(spark, sf_dir).join(types, "event_id").select("event_id", "source_id", _s("event_id").alias("native_id"), F.when(~lost, F.col("lat")).alias("lat"), F.when(~lost, F.col("lon")).alias("lon"))
     sources = types.select("source_id").distinct().withColumn("keep_region", F.when(F.col("source_id") == "click", F.lit("box")))
-    return daily.keep_region(drafts, sources, region).select("event_id")
+    return daily.keep_region(drafts, sources, region, border=True).select("event_id")
 
 
 # --- health -----------------------------------------------------------------------------
