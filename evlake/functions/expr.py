@@ -13,6 +13,11 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def kept(value: Column, holds: Callable[[Column], Column]) -> Column:
+    """A generator of value where it holds, else of nothing: a filter after a select would work value out twice."""
+    return F.explode(F.filter(F.array(value), holds))
+
+
 def literal_map(values: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
 

@@ -95,22 +95,25 @@ def _without_dots(path: Column) -> Column:
 
 
 def url_join(base: Column, link: Column) -> Column:
-    """link as seen from the page base."""
-    link = F.trim(link)
-    root = F.concat(part(base, 1), F.lit("://"), part(base, 2))
-    folder = F.regexp_replace(F.when(part(base, 3) == "", F.lit("/")).otherwise(part(base, 3)), r"[^/]*$", "")
-    tail = F.regexp_extract(link, r"^[^?#]*(.*)$", 1)
-    own_path = F.regexp_extract(link, r"^([^?#]*)", 1)
-    base_query = F.when(part(base, 4) != "", F.concat(F.lit("?"), part(base, 4))).otherwise("")
-    return (
-        F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), link)
-        .when(link.startswith("//"), F.concat(part(base, 1), F.lit(":"), link))
-        .when(link == "", F.concat(root, part(base, 3), base_query))
-        .when(link.startswith("#"), F.concat(root, part(base, 3), base_query, link))
-        .when(link.startswith("?"), F.concat(root, part(base, 3), link))
-        .when(link.startswith("/"), F.concat(root, _without_dots(own_path), tail))
-        .otherwise(F.concat(root, _without_dots(F.concat(folder, own_path)), tail))
-    )
+    """link as seen from the page base. Both are worked out once a row."""
+
+    def joined(link: Column) -> Column:
+        root = F.concat(part(base, 1), F.lit("://"), part(base, 2))
+        folder = F.regexp_replace(F.when(part(base, 3) == "", F.lit("/")).otherwise(part(base, 3)), r"[^/]*$", "")
+        tail = F.regexp_extract(link, r"^[^?#]*(.*)$", 1)
+        own_path = F.regexp_extract(link, r"^([^?#]*)", 1)
+        base_query = F.when(part(base, 4) != "", F.concat(F.lit("?"), part(base, 4))).otherwise("")
+        return (
+            F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), link)
+            .when(link.startswith("//"), F.concat(part(base, 1), F.lit(":"), link))
+            .when(link == "", F.concat(root, part(base, 3), base_query))
+            .when(link.startswith("#"), F.concat(root, part(base, 3), base_query, link))
+            .when(link.startswith("?"), F.concat(root, part(base, 3), link))
+            .when(link.startswith("/"), F.concat(root, let(own_path, _without_dots), tail))
+            .otherwise(F.concat(root, let(F.concat(folder, own_path), _without_dots), tail))
+        )
+
+    return let(F.trim(link), joined)
 
 
 def first_url(text: Column) -> Column:

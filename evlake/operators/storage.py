@@ -64,6 +64,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return written_at(df, name)[0]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over all cores, for work on rows that costs far more than their bytes tell: a small file is a single task otherwise."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Deletes a table of written_at(); nothing may read it any more."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

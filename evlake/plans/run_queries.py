@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import classify
-from ..operators.storage import shared_dir, written_at
+from ..operators.storage import shared_dir, spread, written_at
 from ..sources import geojson, ics
 from ..streaming import jobs
 from . import run as daily
@@ -44,7 +44,7 @@ def _records(spark: SparkSession, sf_dir: str, day: int) -> DataFrame:
     start = F.lit("2026-10-02").cast("timestamp") + F.make_dt_interval(F.lit(0), (k * 3).cast("int"))
     again = F.when((k % 5 == 0) & F.lit(day > 1), F.lit(" again")).otherwise("")
     lines = F.array(F.lit("BEGIN:VCALENDAR\nBEGIN:VEVENT"), F.concat(F.lit("UID:"), k), F.when(k % 13 != 0, F.concat(F.lit("SUMMARY:Gathering "), k, F.lit(" "), "c_mktsegment", again)), F.concat(F.lit("DTSTART:"), F.date_format(start, "yyyyMMdd'T'HHmmss'Z'")), F.when(k % 4 != 0, F.lit("GEO:34.05;-118.24")).when(k % 8 == 0, F.lit("GEO:1.0;1.0")), F.lit("LOCATION:Hall\nEND:VEVENT\nEND:VCALENDAR"))
-    feeds = table(spark, sf_dir, "customer").select(F.concat(F.lit("cal-"), k % 3).alias("source_id"), F.array_join(F.array_compact(lines), "\n").alias("body"), (F.lit(NOW).cast("timestamp") + F.make_dt_interval(F.lit(day))).alias("fetched_at"))
+    feeds = spread(table(spark, sf_dir, "customer")).select(F.concat(F.lit("cal-"), k % 3).alias("source_id"), F.array_join(F.array_compact(lines), "\n").alias("body"), (F.lit(NOW).cast("timestamp") + F.make_dt_interval(F.lit(day))).alias("fetched_at"))
     return ics.read_ics(feeds).drop("pos")
 
 

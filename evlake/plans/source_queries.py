@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, keys, text, times, urls
 from ..operators import browse, classify, health, locate, publish, spatial, upsert
+from ..operators.storage import spread
 from ..sources import ics, jsonld, listings, rules
 from ..sources import pages as page_source
 from . import run as daily
@@ -87,7 +88,7 @@ def _event_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = F.concat(F.lit('{"@type":"ItemList","itemListElement":[{"item":{"url":"/e/'), _k() + 1, F.lit('","name":"next"}},"/e/'), _k() + 2, F.lit('"]}'))
     script = F.concat(F.lit('<script type="application/ld+json;charset=utf-8"><!-- {"@graph":[{"@type":"Event","name":"other","url":"/other"},'), event, F.lit(","), items, F.lit("]} --></script>"))
     html = F.concat(F.lit("<html><head>"), F.lit('<script type="application/ld+json">{broken</script>'), script, F.lit('</head><a href="/e/'), _k() + 3, F.lit('#top">x</a></html>'))
-    return table(spark, sf_dir, "orders").select(_k(), F.concat(F.lit("https://p.test/e/"), _k()).alias("url"), html.alias("html"), F.col("o_orderdate"))
+    return spread(table(spark, sf_dir, "orders")).select(_k(), F.concat(F.lit("https://p.test/e/"), _k()).alias("url"), html.alias("html"), F.col("o_orderdate"))
 
 
 @query("""
@@ -131,7 +132,7 @@ def candidate_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = F.concat(F.lit("s"), F.regexp_extract("page", r"(\d)$", 1))
     order = F.regexp_extract("page", r"(\d+)$", 1).cast("bigint").alias("page_ord")
     links = page_source.page_links(listing).select(source.alias("source_id"), "page", order, F.col("pos").cast("bigint").alias("pos"), "url")
-    items = jsonld.item_list(jsonld.nodes(listing)).select(source.alias("source_id"), "page", order, "pos", "url", "item")
+    items = jsonld.item_list(jsonld.nodes(listing, of_type="ItemList")).select(source.alias("source_id"), "page", order, "pos", "url", "item")
     # places within the list, not within the page
     items = items.withColumn("pos", F.pmod("pos", F.lit(1_000_000)))
     fixed = listing.select(F.concat(F.lit("s"), _k() % 10).alias("source_id"), F.col("url").alias("page"), _k().alias("page_ord"), F.lit(0).cast("bigint").alias("pos"), F.concat(F.lit("https://p.test/e/"), _k() + 4).alias("url"))
@@ -339,7 +340,7 @@ select k, street || ', ' || town || ', CA 92507' as postal, case when k % 3 = 0
 def address_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers' segments as towns: addresses joined, completed and read again."""
     k = F.col("c_custkey")
-    homes = table(spark, sf_dir, "customer").select(k.alias("k"), F.col("c_mktsegment").alias("town"), F.concat(k % 50, F.lit(" Oak Ave")).alias("street"))
+    homes = spread(table(spark, sf_dir, "customer")).select(k.alias("k"), F.col("c_mktsegment").alias("town"), F.concat(k % 50, F.lit(" Oak Ave")).alias("street"))
     k, town, street = F.col("k"), F.col("town"), F.col("street")
     postal = geo.postal_address(F.concat(street, F.lit(", "), F.lower(town)), F.upper(town), F.lit(" CA 92507 "), F.lit("92507"), F.lit(None).cast("string"))
     raw = F.when(k % 3 == 0, F.concat(street, F.lit(", "), town, F.lit(", USA"))).when(k % 3 == 1, F.concat(street, F.lit(", "), town, F.lit(", NV, USA"))).otherwise(F.concat(street, F.lit(", "), town, F.lit(", Germany")))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import let
+from ..functions.expr import kept, let
 from ..functions.keys import content_hash
 from ..functions.geo import attendance_mode, capacity, location_fields, organization_name, postal_address, with_state
 from ..functions.text import clean_text, enum_suffix
@@ -18,11 +18,18 @@ from ..functions.urls import canonical_url, url_join
 
 MAX_DESCRIPTION = 5000
 _SCRIPT = r"""(?is)<script\b[^>]*?\btype\s*=\s*["']?\s*application/ld\+json\s*(?:;[^"'>]*)?["']?[^>]*>(.*?)</script>"""
-_WRAPPER = r"(?s)^\s*(?:<!--|//\s*<!\[CDATA\[|/\*\s*<!\[CDATA\[\s*\*/|<!\[CDATA\[)?(.*?)(?:-->|//\s*\]\]>|/\*\s*\]\]>\s*\*/|\]\]>)?\s*$"
+_OPENS = r"^\s*(?:<!--|//\s*<!\[CDATA\[|/\*\s*<!\[CDATA\[\s*\*/|<!\[CDATA\[)?"
+_CLOSES = r"(?://\s*\]\]>|/\*\s*\]\]>\s*\*/|\]\]>)$"
+
+
+def _unwrapped(body: Column) -> Column:
+    """A script without white space and comment marks around it; what it ends with is looked at before a pattern is."""
+    plain = lambda b: F.when(b.endswith("-->"), F.left(b, F.length(b) - 3)).when(b.endswith("]]>") | b.endswith("*/"), F.regexp_replace(b, _CLOSES, "")).otherwise(b)
+    return let(F.rtrim(F.regexp_replace(body, _OPENS, ""), F.lit(" \t\n\x0b\f\r")), plain)
 
 
 def _bodies(html: str) -> Column:
-    return F.transform(F.regexp_extract_all(html, F.lit(_SCRIPT), F.lit(1)), lambda b: F.regexp_replace(b, _WRAPPER, "$1"))
+    return F.transform(F.regexp_extract_all(html, F.lit(_SCRIPT), F.lit(1)), _unwrapped)
 
 
 def blocks(pages: DataFrame, page: str = "url", html: str = "html") -> DataFrame:
@@ -62,8 +69,8 @@ def _page_nodes(bodies: list[str]) -> Iterator[tuple[dict, list[str], bool]]:
             continue
 
 
-def nodes(pages: DataFrame, page: str = "url", html: str = "html") -> DataFrame:
-    """(page, pos, types, nested, node): every object of a page's structured data as JSON text, depth first.
+def nodes(pages: DataFrame, page: str = "url", html: str = "html", of_type: str | None = None) -> DataFrame:
+    """(page, pos, types, nested, node): every object of a page's structured data as JSON text, depth first; of one type, or of all.
 
     nested says that it lies in an event. Blocks that aren't JSON, or are nested beyond Python's depth, are
     passed over. JSON of any shape can't be typed beforehand, so one Arrow pass walks each page's blocks;
@@ -74,13 +81,14 @@ def nodes(pages: DataFrame, page: str = "url", html: str = "html") -> DataFrame:
         for batch in batches:
             out: list[tuple] = []
             for url, bodies in zip(batch.column("page").to_pylist(), batch.column("bodies").to_pylist()):
-                for pos, (node, types, nested) in enumerate(_page_nodes(bodies)):
-                    out.append((url, pos, types, nested, json.dumps(node)))
+                for pos, (node, types, nested) in enumerate(_page_nodes(bodies or [])):
+                    if of_type is None or of_type in types:
+                        out.append((url, pos, types, nested, json.dumps(node)))
             columns = list(zip(*out)) or [[]] * 5
             kinds = [pa.string(), pa.int64(), pa.list_(pa.string()), pa.bool_(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["page", "pos", "types", "nested", "node"])
 
-    with_blocks = pages.select(F.col(page).alias("page"), _bodies(html).alias("bodies")).where("size(bodies) > 0")
+    with_blocks = pages.select(F.col(page).alias("page"), _bodies(html).alias("bodies"))
     return with_blocks.mapInArrow(rows, "page string, pos long, types array<string>, nested boolean, node string")
 
 
@@ -92,10 +100,10 @@ def event_nodes(found: DataFrame) -> DataFrame:
 def item_list(found: DataFrame) -> DataFrame:
     """(page, pos, url, item) of every ItemList: its elements' items, given as a url or an object with one."""
     lists = found.where(F.array_contains("types", "ItemList")).select("page", F.col("pos").alias("_list"), F.posexplode(F.from_json(F.get_json_object("node", "$.itemListElement"), "array<string>")).alias("_at", "element"))
-    item = F.coalesce(F.get_json_object("element", "$.item"), F.col("element"))
-    link = F.when(item.startswith("{"), F.get_json_object(item, "$.url")).otherwise(item)
-    rows = lists.select("page", (F.col("_list") * 1_000_000 + F.col("_at")).alias("pos"), link.alias("_link"), F.when(item.startswith("{"), item).alias("item")).where("_link is not null and _link not like '{%'")
-    return rows.select("page", "pos", url_join(F.col("page"), F.col("_link")).alias("url"), "item")
+    read = lambda item: F.struct(F.when(item.startswith("{"), F.get_json_object(item, "$.url")).otherwise(item).alias("link"), F.when(item.startswith("{"), item).alias("item"))
+    entry = let(F.coalesce(F.get_json_object("element", "$.item"), F.col("element")), read)
+    rows = lists.select("page", (F.col("_list") * 1_000_000 + F.col("_at")).alias("pos"), kept(entry, lambda r: r["link"].isNotNull() & ~r["link"].startswith("{")).alias("_r"))
+    return rows.select("page", "pos", url_join(F.col("page"), F.col("_r.link")).alias("url"), "_r.item")
 
 
 # Properties of an event, of its places and of its organizers that are kept.
@@ -114,14 +122,14 @@ def slim(node: Column) -> Column:
     row = lambda keys: "struct<" + ", ".join(f"`{k}`: string" for k in keys) + ">"
     cut = lambda value, keys: F.when(value.startswith("{"), F.to_json(F.from_json(value, row(keys)))).otherwise(value)
 
-    def kept(event: Column) -> Column:
+    def whole(event: Column) -> Column:
         values = {k: event[k] for k in EVENT_KEYS}
         for name, keys in (("location", PLACE_KEYS), ("organizer", ORGANIZER_KEYS)):
             several = F.to_json(F.transform(F.from_json(event[name], "array<string>"), lambda v: cut(v, keys)))  # noqa: B023
             values[name] = F.when(event[name].startswith("["), several).otherwise(cut(event[name], keys))
         return F.to_json(F.struct(*[v.alias(k) for k, v in values.items()]))
 
-    return let(F.from_json(F.to_json(F.try_parse_json(node)), row(EVENT_KEYS)), kept)
+    return let(F.from_json(F.to_json(F.try_parse_json(node)), row(EVENT_KEYS)), whole)
 
 
 # --- typed events -----------------------------------------------------------------------
@@ -168,7 +176,7 @@ def event_fields(events: DataFrame) -> DataFrame:
 
     A text that isn't an object has null fields. Its content_hash, by slim(), is added.
     """
-    kept = [c for c in events.columns if c != "node"]
+    others = [c for c in events.columns if c != "node"]
     names = [*_TEXTS, "places", "organizers"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,11 +189,11 @@ def event_fields(events: DataFrame) -> DataFrame:
                     node = {}
                 found.append(_typed(node if isinstance(node, dict) else {}))
             columns = list(zip(*found)) or [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in [*kept, "content_hash"]), *(pa.array(list(c), k) for c, k in zip(columns, _TYPED_ARROW))], [*kept, "content_hash", *names])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in [*others, "content_hash"]), *(pa.array(list(c), k) for c, k in zip(columns, _TYPED_ARROW))], [*others, "content_hash", *names])
 
-    hashed = events.select(*kept, "node", content_hash(slim(F.col("node"))).alias("content_hash"))
+    hashed = events.select(*others, "node", content_hash(slim(F.col("node"))).alias("content_hash"))
     types = dict(events.dtypes)
-    return hashed.mapInArrow(rows, ", ".join(f"`{c}` {types[c]}" for c in kept) + ", content_hash string, " + TYPED)
+    return hashed.mapInArrow(rows, ", ".join(f"`{c}` {types[c]}" for c in others) + ", content_hash string, " + TYPED)
 
 
 def page_events(pages: DataFrame, page: str = "url", html: str = "html") -> DataFrame:
@@ -196,13 +204,13 @@ def page_events(pages: DataFrame, page: str = "url", html: str = "html") -> Data
         for batch in batches:
             out = []
             for url, bodies in zip(batch.column("page").to_pylist(), batch.column("bodies").to_pylist()):
-                for pos, (node, types, nested) in enumerate(_page_nodes(bodies)):
+                for pos, (node, types, nested) in enumerate(_page_nodes(bodies or [])):
                     if not nested and is_event_type(types):
                         out.append((url, pos, json.dumps(node), *_typed(node)))
             columns = list(zip(*out)) or [[]] * (3 + len(names))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, [pa.string(), pa.int64(), pa.string(), *_TYPED_ARROW])], ["page", "pos", "node", *names])
 
-    with_blocks = pages.select(F.col(page).alias("page"), _bodies(html).alias("bodies")).where("size(bodies) > 0")
+    with_blocks = pages.select(F.col(page).alias("page"), _bodies(html).alias("bodies"))
     found = with_blocks.mapInArrow(rows, "page string, pos long, node string, " + TYPED)
     return found.select("page", "pos", content_hash(slim(F.col("node"))).alias("content_hash"), *names)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.expr import kept
 from ..functions.text import unescape
 from ..functions.urls import canonical_url, refresh_due, url_join
 
@@ -15,7 +16,7 @@ def page_links(pages: DataFrame, page: str = "url", html: str = "html") -> DataF
     """(page, pos, url): http(s) links of each page, resolved against it, once each at their first place."""
     hrefs = F.transform(F.regexp_extract_all(html, F.lit(_HREF), F.lit(0)), lambda a: F.concat_ws("", *[F.regexp_extract(a, _HREF, i) for i in (1, 2, 3)]))
     found = pages.select(F.col(page).alias("page"), F.posexplode(hrefs).alias("pos", "_href"))
-    joined = found.select("page", "pos", url_join(F.col("page"), unescape(F.col("_href"))).alias("url")).where(F.col("url").rlike("^(?i)https?://"))
+    joined = found.select("page", "pos", kept(url_join(F.col("page"), unescape(F.col("_href"))), lambda u: u.rlike("^(?i)https?://")).alias("url"))
     return joined.groupBy("page", "url").agg(F.min("pos").alias("pos")).select("page", "pos", "url")
 
 
@@ -37,10 +38,10 @@ def frontier(links: DataFrame, pattern: str, cap: int) -> DataFrame:
     The listing page itself is left out. item is that of the first place that has the page. cap is the
     source's own request limit.
     """
-    ready = links.withColumn("_url", canonical_url(F.col("url"))).where(F.col("_url").rlike(pattern)).where(F.col("_url") != canonical_url(F.col("page")))
+    ready = links.select("*", kept(canonical_url(F.col("url")), lambda u: u.rlike(pattern) & (u != canonical_url(F.col("page")))).alias("_url"))
     at = F.struct("page_ord", "pos")
-    kept = [F.min_by("item", at).alias("item")] if "item" in links.columns else []
-    first = ready.groupBy("source_id", F.col("_url").alias("url")).agg(F.min(at).alias("_at"), *kept)
+    item = [F.min_by("item", at).alias("item")] if "item" in links.columns else []
+    first = ready.groupBy("source_id", F.col("_url").alias("url")).agg(F.min(at).alias("_at"), *item)
     placed = first.withColumn("place", F.row_number().over(Window.partitionBy("source_id").orderBy("_at", "url")))
     return placed.where(F.col("place") <= cap).drop("_at")
 
