@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .expr import let
+
 HOME_ZONE = "America/Los_Angeles"
 _OFFSET = r"(?:Z|[+-]\d{2}:?\d{2})$"
 
@@ -104,8 +106,12 @@ def season_of(day: Column) -> Column:
 
 def duration_seconds(text: Column) -> Column:
     """Seconds of an ISO duration such as P1DT2H30M or P2W; null if it isn't one."""
-    number = lambda unit: F.coalesce(F.regexp_extract(text, rf"(\d+){unit}", 1).try_cast("bigint"), F.lit(0))
-    time = F.regexp_extract(text, r"T(.*)$", 1)
-    of_time = lambda unit: F.coalesce(F.regexp_extract(time, rf"(\d+){unit}", 1).try_cast("bigint"), F.lit(0))
-    total = number("W") * 604800 + F.coalesce(F.regexp_extract(text, r"^[+-]?P[^T]*?(\d+)D", 1).try_cast("bigint"), F.lit(0)) * 86400 + of_time("H") * 3600 + of_time("M") * 60 + of_time("S")
-    return F.when(text.rlike(r"^\+?P"), total).when(text.rlike(r"^-P"), -total)
+
+    def seconds(text: Column) -> Column:
+        # a part that isn't there is no failed cast, which costs far more
+        value = lambda digits: let(digits, lambda d: F.when(d != "", F.coalesce(d.try_cast("bigint"), F.lit(0))).otherwise(0))
+        time = F.regexp_extract(text, r"T(.*)$", 1)
+        of_time = lambda unit: value(F.regexp_extract(time, rf"(\d+){unit}", 1))
+        return value(F.regexp_extract(text, r"(\d+)W", 1)) * 604800 + value(F.regexp_extract(text, r"^[+-]?P[^T]*?(\d+)D", 1)) * 86400 + of_time("H") * 3600 + of_time("M") * 60 + of_time("S")
+
+    return let(text, lambda t: F.when(t.rlike(r"^\+?P"), seconds(t)).when(t.rlike(r"^-P"), -seconds(t)))

@@ -7,6 +7,7 @@ from zoneinfo import available_timezones
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.expr import let
 from ..functions.geo import valid_coordinates
 from ..functions.times import duration_seconds
 from ..functions.urls import first_url, is_meeting_url, is_url
@@ -83,7 +84,10 @@ def _custom_instant(local: Column, zones: Column, name: Column) -> Column:
 
 def _instant(event: Column, name: str, zone: Column, zones: Column) -> Column:
     """A date or time property as an instant: UTC, in its own zone, else local to zone."""
-    value, own = F.trim(prop(event, name)), _parameter(event, name, "TZID")
+    return let(F.struct(F.trim(prop(event, name)).alias("value"), _parameter(event, name, "TZID").alias("own")), lambda p: _moment(p["value"], p["own"], zone, zones))
+
+
+def _moment(value: Column, own: Column, zone: Column, zones: Column) -> Column:
     local = F.try_to_timestamp(F.regexp_replace(F.when(F.length(value) == 8, F.concat(value, F.lit("T000000"))).otherwise(value), "[TZ]", ""), F.lit("yyyyMMddHHmmss"))
     known = own.isin(ZONES)
     custom = own.isNotNull() & ~known & F.contains(zones, F.concat(F.lit("TZID:"), own))
