@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import address_key
 from ..functions.urls import canonical_url
 from ..operators import changes, classify, folds, hash_table, health, locate, publish, resolve, spatial, upsert
-from ..operators.storage import written
+from ..operators.storage import spread, written
 
 PRUNE_DAYS = 30
 #: Days after its end from which an event is closed: no step of a run looks at it of itself any more.
@@ -124,14 +124,15 @@ def ingest(state: State, incoming: DataFrame, drafts_of, reference: Reference, n
     enabled ones. Of the raw log only what is new is written; prune_raw() shortens it.
     """
     keys = ["source_id", "native_id"]
+    incoming = written(incoming, "incoming")  # several steps read it, and records may be dear to make
     hashes = hash_table.HashTable(incoming.sparkSession, reference.hash_path, keys) if reference.hash_path else None
     told = hashes.detect(incoming, run_id) if hashes else changes.detect_changes(incoming, changes.latest_hashes(state.raw, keys, "fetched_at"), keys)
     compared = written(told, "compared")
     fresh = compared if replay else compared.where("change <> 'unchanged'")
-    parsed = drafts_of(fresh).withColumn("url", canonical_url(F.col("url")))
+    parsed = drafts_of(spread(fresh)).withColumn("url", canonical_url(F.col("url")))
     reasons = F.array_distinct(F.concat(changes.draft_reasons(), F.array_compact(F.array("reason"))))
-    # ranges keep the order of sources and records, whatever the size of a source
-    in_order = parsed.withColumn("reasons", reasons).repartitionByRange("source_id", "native_id").sortWithinPartitions("source_id", "native_id")
+    # ranges keep the order of sources and records, whatever the size of a source; finding them reads the drafts once more, so they are parsed before
+    in_order = written(parsed.withColumn("reasons", reasons), "parsed").repartitionByRange("source_id", "native_id").sortWithinPartitions("source_id", "native_id")
     judged = written(in_order.withColumn("pos", F.monotonically_increasing_id()), "drafts")
     valid, rejects = judged.where("size(reasons) = 0").drop("reasons", "reason"), judged.where("size(reasons) > 0").drop("pos")
     kept = keep_region(valid, reference.sources, reference.polygons)
