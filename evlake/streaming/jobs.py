@@ -68,10 +68,10 @@ class _LastHash(StatefulProcessor):
         rank[sorted(range(len(names)), key=lambda i: names[i] or "")] = np.arange(len(names))
         order = np.lexsort((rank[number], at))
         at, number = at[order], number[order]
-        held = self.last.get()[0] if self.last.exists() else None
+        before = self.last.get()  # one call for each key, where exists() would be two more
         new = np.ones(len(number), bool)
         new[1:] = number[1:] != number[:-1]
-        new[0] = not self.last.exists() or names[number[0]] != held
+        new[0] = before is None or names[number[0]] != before[0]
         self.last.update((names[number[-1]],))
         changed = np.flatnonzero(new)
         for k in range(0, len(changed), _CHUNK):
