@@ -1,4 +1,5 @@
 import datetime as dt
+import math
 
 import pytest
 from hypothesis import given, settings
@@ -107,3 +108,27 @@ def test_keys(spark):
     assert one(spark, keys.content_hash(F.lit('{"b":1,"a":{"d":2,"c":3}}'))) == one(spark, keys.content_hash(F.lit('{"a":{"c":3,"d":2},"b":1}')))
     first = one(spark, keys.event_id(F.lit("2026-10-01 00:00:00").cast("timestamp"), F.lit(2), F.lit(10)))
     assert first < one(spark, keys.event_id(F.lit("2026-10-01 00:00:00").cast("timestamp"), F.lit(10), F.lit(1)))
+
+
+def test_within_km_is_the_haversine_at_any_point(spark):
+    places = [(33.0, -118.0), (33.2248, -118.0), (33.22483, -118.0), (33.3, -118.01), (90.0, 0.0), (89.9, 170.0), (-89.95, 10.0), (-90.0, 0.0), (10.0, 179.95), (10.0, -179.95), (370.0, -180.05), (1e9 + 10, 1e9), (1e9 + 10.1, 1e9), (None, 1.0), (1.0, None), (float("nan"), 0.0), (float("inf"), 0.0), (0.0, 0.0), (0.0, 0.2248)]
+    rows = [(*p, *q) for p in places for q in places]
+    # points all around one, a hair to either side of 25 km
+    for i in range(200):
+        up, east = math.sin(i), math.cos(i)
+        d = math.degrees(25 / 6371.0) * (1 + (i - 100) * 1e-12)
+        rows.append((33.0, -118.0, 33.0 + d * up, -118.0 + d * east / math.cos(math.radians(33.0 + d * up / 2))))
+    pairs = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    km = geo.haversine_km(F.col("a"), F.col("b"), F.col("c"), F.col("d"))
+    near = geo.within_km(geo.on_sphere(F.col("a"), F.col("b")), geo.on_sphere(F.col("c"), F.col("d")), 25, km)
+    got = pairs.select(F.coalesce(near, F.lit(False)).alias("got"), F.coalesce(km <= 25, F.lit(False)).alias("want")).collect()
+    assert all(r.got == r.want for r in got) and 20 < sum(r.got for r in got) < len(got)
+
+
+def test_round_half_up_is_that_of_doubles(spark):
+    # the product with a million decides, as in SQL on doubles
+    values = [0.0, 0.5e-6, 1.4999999e-6, 1.5e-6, 2.5e-6, 24.9999995, 12.3456784999, 1.0000005, None]
+    frame = spark.createDataFrame([(v,) for v in values], "v double")
+    got = [r[0] for r in frame.select(geo.round_half_up(F.col("v"), 6)).collect()]
+    want = [None if v is None else math.floor(v * 1e6) / 1e6 if v * 1e6 - math.floor(v * 1e6) < 0.5 else (math.floor(v * 1e6) + 1) / 1e6 for v in values]
+    assert got == want

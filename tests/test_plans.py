@@ -24,3 +24,10 @@ def test_a_fold_is_one_shuffle(spark):
 
 def test_every_oracle_has_a_query():
     assert set(catalog.SQL) <= set(catalog.QUERIES) and catalog.FLAGSHIP in catalog.QUERIES
+
+
+@pytest.mark.parametrize("name", ["dup_pairs", "haversine_band"])
+def test_band_joins_convert_times_before_pairs(spark, name):
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join [" in line]
+    assert joins and not any("unix_micros" in line or "as timestamp" in line for line in joins)
