@@ -28,6 +28,8 @@ MAX_CLUSTERS, FIT_RESTS = 64, 2000
 TELLING_TERMS = 4096
 #: Words whose ids a worker keeps, the first it meets; others are encoded where they occur.
 CACHE_WORDS = 1_000_000
+#: Neighbours that are sorted at first; where they don't fill a window, all are.
+FEW = 32
 
 
 def _byte_letters() -> list[str]:
@@ -36,62 +38,48 @@ def _byte_letters() -> list[str]:
     return [chr(b) if seen else chr(256 + visible[:b].count(False)) for b, seen in enumerate(visible)]
 
 
-_BYTE_LETTERS = _byte_letters()
+_BYTE_LETTERS = dict(enumerate(_byte_letters()))
+#: Marks that one pre-token holds all of, if they follow a word's letters: no sign of a special token, and no apostrophe.
+CLOSING_MARKS = b".,!?;:#*$%&"
 
 
-class WordIds:
-    """Ids of white-space separated words; these are independent, as the pre-tokeniser never joins across white space."""
+class WordIds(dict):
+    """Ids of white-space separated words, by word; these are independent, as the pre-tokeniser never joins across white space."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(path)
         self.type = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.known: dict[bytes, bytes] = {}
-
-    def learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Encodes words; those of letters alone are one pre-token each and go straight to the merges."""
-        out, merges, kind = {}, self.tokenizer.model.tokenize, self.type[1:].replace("u2", "H").replace("u4", "I")
-        for word in words:
-            if word.isalpha() and word.islower():
-                ids = [t.id for t in merges(word.decode())]
-            else:
-                text = word.decode("utf-8", "replace")
-                plain = self.normalized(text)
-                if plain.isalpha():
-                    ids = [t.id for t in merges("".join([_BYTE_LETTERS[b] for b in plain.encode()]))]
-                else:
-                    ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-            out[word] = array(kind, ids).tobytes()
-        return out
-
-    def normalized(self, text: str) -> str:
-        """text as the tokenizer reads it; most words are in that form already."""
-        if text.lower() == text and unicodedata.is_normalized("NFC", text):
-            return text
-        return self.tokenizer.normalizer.normalize_str(text)
+        self.kind, self.merges = self.type[1:].replace("u2", "H").replace("u4", "I"), self.tokenizer.model.tokenize
+
+    def __missing__(self, word: bytes) -> bytes:
+        """Encodes a new word, and keeps it if there is room."""
+        # letters before closing marks are a word of their own to the pre-tokeniser
+        bare = word.rstrip(CLOSING_MARKS)
+        if len(bare) < len(word) and bare and self.letters(bare) is not None:
+            ids = self[bare] + self[word[len(bare) :]]
+        elif (letters := self.letters(word)) is not None:
+            # one pre-token, which goes straight to the merges
+            ids = array(self.kind, [t.id for t in self.merges(letters)]).tobytes()
+        else:
+            ids = array(self.kind, self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
+        if len(self) < CACHE_WORDS and len(word) <= 64:
+            self[word] = ids
+        return ids
+
+    def letters(self, word: bytes) -> str | None:
+        """A word of letters alone as the merges read it, a character for each byte; else None."""
+        if word.isalpha() and word.islower():
+            return word.decode()
+        text = word.decode("utf-8", "replace")
+        if not (text.lower() == text and unicodedata.is_normalized("NFC", text)):
+            text = self.tokenizer.normalizer.normalize_str(text)
+        return text.encode().decode("latin-1").translate(_BYTE_LETTERS) if text.isalpha() else None
 
     def ids(self, text: str) -> bytes:
-        data, known = text.encode("utf-8", "replace"), self.known
+        data = text.encode("utf-8", "replace")
         # the tokenizer lowers case itself; its special tokens are read before that
-        words = (data if b"<|" in data else data.lower()).split()
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            pass
-        new = [w for w in set(words) if w not in known]
-        bare = {w: x for w in new if (x := w.rstrip(b".,!")) != w and (x.isalpha() or self.normalized(x.decode("utf-8", "replace")).isalpha())}
-        # letters before closing marks are a word of their own to the pre-tokeniser
-        parts = {*bare.values(), *(w[len(x) :] for w, x in bare.items()), *(w for w in new if w not in bare)}
-        made = self.learn([w for w in parts if w not in known])
-        of = lambda w: made[w] if w in made else known[w]
-        made |= {w: of(x) + of(w[len(x) :]) for w, x in bare.items()}
-        if len(known) < CACHE_WORDS:
-            known.update(made)
-            out = b"".join(map(known.__getitem__, words))
-            for w in [w for w in made if len(w) > 64]:
-                del known[w]
-            return out
-        return b"".join([of(w) for w in words])
+        return b"".join(map(self.__getitem__, (data if b"<|" in data else data.lower()).split()))
 
 
 @functools.cache
@@ -129,9 +117,12 @@ def document_frequencies(pieces: DataFrame, number_type: str, n_terms: int) -> n
     """In how many pieces each id occurs; its length is the vocabulary's, whatever the corpus."""
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        counts = np.zeros(n_terms, np.int64)
-        for data in batch.column("ids"):
-            counts[np.unique(np.frombuffer(data.as_py(), number_type))] += 1
+        counts, last = np.zeros(n_terms, np.int64), np.empty(n_terms, np.int64)
+        for data in batch.column("ids").to_pylist():
+            ids = np.frombuffer(data, number_type)
+            places = np.arange(len(ids))
+            last[ids] = places
+            counts[ids[last[ids] == places]] += 1  # each id once, where it comes last
         terms = np.flatnonzero(counts)
         return pa.RecordBatch.from_arrays([pa.array(terms), pa.array(counts[terms])], ["term", "n"])
 
@@ -181,8 +172,8 @@ class Dealer:
     def cluster(self, ids: np.ndarray) -> int:
         if self.weights.shape[1] == 1:
             return 0
-        rows = self.row[ids]
-        return int(self.weights[rows[rows >= 0]].sum(0).argmax())
+        rows = self.row.take(ids)
+        return int(self.weights.take(rows[rows >= 0], 0).sum(0).argmax())
 
 
 def shards_of(clusters: DataFrame, shard_ids: int) -> DataFrame:
@@ -221,8 +212,11 @@ class Bm25Shard:
             at = slice(self.begin[t], self.begin[t + 1])
             row[self.docs[at]] = self.by_term[at]
 
-    def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused pieces that share a term with the seed, by BM25 over all its terms, the best first, ties by place."""
+    def neighbours(self, seed: int, unused: np.ndarray, most: int | None = None) -> np.ndarray:
+        """Unused pieces that share a term with the seed, by BM25 over all its terms, the best first, ties by place.
+
+        With most, at least so many of the best, if there are so many.
+        """
         terms = self.terms[self.own[seed] : self.own[seed + 1]]
         row = self.row[terms]
         scores = np.zeros(self.n, np.float32)
@@ -235,19 +229,35 @@ class Bm25Shard:
             at = np.arange(held.sum()) + np.repeat(begin - np.cumsum(held) + held, held)
             scores += np.bincount(self.docs[at], self.by_term[at], self.n).astype(np.float32)
         found = np.flatnonzero((scores > 0) & unused)
+        if most and len(found) > 2 * most:
+            found = found[scores[found] >= np.partition(scores[found], len(found) - most)[len(found) - most]]
         return found[np.argsort(-scores[found], kind="stable")]
 
 
-def fill(lengths: list[int], neighbours: Callable[[int, np.ndarray], np.ndarray], window: int) -> list[tuple[int, int, int, int, int]]:
+def fill(lengths: list[int], neighbours: Callable[..., np.ndarray], window: int) -> list[tuple[int, int, int, int, int]]:
     """(piece, start within it, length, sequence, offset): pieces dealt to windows, a seed and its neighbours each.
 
-    A neighbour that doesn't fit is cut; its rest stays for later. The last window is dealt out over
-    sequences whose lengths are powers of two, so nothing needs padding.
+    neighbours(seed, unused) are the pieces to fill up with, the best first; with a number as a third
+    argument it may leave out all but so many of them. A neighbour that doesn't fit is cut; its rest stays
+    for later. The last window is dealt out over sequences whose lengths are powers of two, so nothing needs
+    padding.
     """
     out, sequence = [], 0
-    taken, unused = [0] * len(lengths), np.ones(len(lengths), bool)
+    rest, unused = np.array(lengths, np.int64), np.ones(len(lengths), bool)
     left = sum(lengths)
     seed = 0
+
+    def queued(seed: int, room: int) -> list[int]:
+        """Unused pieces that fill the room, the last of them perhaps in part: neighbours, then the next in order."""
+        for most in (FEW, None):
+            found = neighbours(seed, unused, most)
+            held = np.cumsum(rest[found])
+            if len(found) and held[-1] >= room:
+                return found[: np.searchsorted(held, room) + 1].tolist()
+        others = unused.copy()
+        others[found] = False
+        return [*found.tolist(), *np.flatnonzero(others)[:room].tolist()]
+
     while left:
         while not unused[seed]:
             seed += 1
@@ -255,17 +265,15 @@ def fill(lengths: list[int], neighbours: Callable[[int, np.ndarray], np.ndarray]
         queue = [seed]
         while room:
             for piece in queue:
-                n = min(lengths[piece] - taken[piece], room)
-                out.append((piece, taken[piece], n, sequence, size - room))
-                taken[piece] += n
+                n = min(int(rest[piece]), room)
+                out.append((piece, lengths[piece] - int(rest[piece]), n, sequence, size - room))
+                rest[piece] -= n
                 room -= n
-                unused[piece] = taken[piece] < lengths[piece]
+                unused[piece] = rest[piece] > 0
                 if not room:
                     break
             if room:
-                # all neighbours are used: the next in order stand in
-                queue = [*neighbours(seed, unused).tolist(), *np.flatnonzero(unused)[: room + 1].tolist()]
-                queue = list(dict.fromkeys(queue))
+                queue = queued(seed, room)
         left -= size
         sequence += 1
     return out

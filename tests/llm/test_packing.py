@@ -47,3 +47,71 @@ def test_shards_stay_within_their_size(spark, monkeypatch):
     got = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), shard_ids=20_000).selectExpr("(sequence_id - 1) div 2 >> 32 as shard", "length").groupBy("shard").sum("length").collect()
     sizes = [r[1] for r in got]
     assert max(sizes) <= 1.1 * 20_000 and len(sizes) > sum(sizes) / 20_000 > 5
+
+
+def test_only_the_best_neighbours_are_sorted_and_the_windows_stay(monkeypatch):
+    """Windows are as with whole rankings, where few neighbours fill a window and where all of them don't."""
+    monkeypatch.setattr(packing, "FEW", 4)
+
+    def plain(lengths, ranked, window):
+        rest, out, left = list(lengths), [], sum(lengths)
+        while left:
+            seed = next(i for i, n in enumerate(rest) if n)
+            room = size = min(window, 1 << (left.bit_length() - 1))
+            queue = [seed, *[i for i in ranked[seed] if i != seed], *[i for i in range(len(rest)) if i != seed and i not in ranked[seed]]]
+            for i in queue:
+                n = min(rest[i], room)
+                if n:
+                    out.append((i, lengths[i] - rest[i], n, size - room))
+                    rest[i] -= n
+                    room -= n
+            left -= size
+        return out
+
+    rng = np.random.default_rng(8)
+    asked = set()
+    for longest in (3, 20, 63):
+        lengths = rng.integers(1, longest + 1, 90).tolist()
+        ranked = [rng.permutation(90)[: rng.integers(0, 90)].tolist() for _ in lengths]
+
+        def neighbours(seed, unused, most=None):
+            asked.add(most)
+            return np.array([i for i in ranked[seed] if unused[i]][:most], np.int64)
+
+        got = packing.fill(lengths, neighbours, 64)
+        assert [(p, a, n, o) for p, a, n, _, o in got] == plain(lengths, ranked, 64)
+    assert asked == {4, None}
+
+
+def test_the_best_alone_are_the_first_of_all():
+    rng = np.random.default_rng(2)
+    ids = [rng.integers(0, 30, rng.integers(3, 9)).astype("<u2") for _ in range(120)]
+    ids += ids[:40]  # equal pieces have equal scores
+    index = packing.Bm25Shard(ids, np.linspace(1, 2, 30).astype(np.float32), 5.5)
+    for seed in range(0, 160, 9):
+        unused = np.ones(160, bool)
+        unused[seed] = False
+        all_of_them, best = index.neighbours(seed, unused).tolist(), index.neighbours(seed, unused, 10).tolist()
+        assert 10 <= len(best) < len(all_of_them) and best == all_of_them[: len(best)]
+
+
+def test_marks_after_letters_are_words_of_their_own():
+    words = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    for text in ["salt### Öl,$$$ salt.*** salt?!;: salt's. salt's'. don't!! 12.3% a.b&& ... salt", "SALT### <|endoftext|> <|x|>. É! é! #salt# salt###salt."]:
+        assert np.frombuffer(words.ids(text), words.type).tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
+    assert {b"salt", b"###", b"salt###"} <= set(words)
+
+
+def test_words_beyond_the_cache_are_encoded_where_they_occur(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_WORDS", 3)
+    words = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    text = "one two. three### four, five one two. three### " + "x" * 70 + " " + "x" * 70
+    for _ in range(2):
+        assert np.frombuffer(words.ids(text), words.type).tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(words) == 3
+
+
+def test_frequencies_count_a_piece_once(spark):
+    pieces = [np.array(x, "<u2").tobytes() for x in ([1, 2, 1, 1], [2], [5, 5], [1, 5, 2])]
+    frame = spark.createDataFrame([(bytearray(p),) for p in pieces], "ids binary").coalesce(1)
+    assert packing.document_frequencies(frame, "<u2", 7).tolist() == [0, 2, 3, 0, 0, 2, 0]
