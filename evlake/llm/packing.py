@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -28,6 +29,8 @@ MAX_CLUSTERS, FIT_RESTS = 64, 2000
 TELLING_TERMS = 4096
 #: Words whose ids a worker keeps, the first it meets; others are encoded where they occur.
 CACHE_WORDS = 1_000_000
+#: Bytes of texts whose words are looked up together, about; the more, the fewer look-ups.
+TEXT_BYTES = 4 << 20
 #: Neighbours that are sorted at first; where they don't fill a window, all are.
 FEW = 32
 
@@ -41,6 +44,11 @@ def _byte_letters() -> list[str]:
 _BYTE_LETTERS = dict(enumerate(_byte_letters()))
 #: Marks that one pre-token holds all of, if they follow a word's letters: no sign of a special token, and no apostrophe.
 CLOSING_MARKS = b".,!?;:#*$%&"
+_WHITE = b" \t\n\x0b\x0c\r"
+#: Of each byte: 1 white space, 2 a letter a-z, 3 a closing mark, 0 any other.
+_KINDS = bytes(1 if b in _WHITE else 2 if 97 <= b <= 122 else 3 if b in CLOSING_MARKS else 0 for b in range(256))
+#: Whether a unit begins at a byte, by 4 times the kind before it and its own: after white space, and between a letter and a mark.
+_BEGINS = bytes(own != 1 and (before == 1 or {before, own} == {2, 3}) for before in range(4) for own in range(4)).ljust(256, b"\0")
 
 
 class WordIds(dict):
@@ -81,6 +89,51 @@ class WordIds(dict):
         # the tokenizer lowers case itself; its special tokens are read before that
         return b"".join(map(self.__getitem__, (data if b"<|" in data else data.lower()).split()))
 
+    def looked_up(self, words: list[bytes]) -> list[bytes]:
+        """Ids of different words; the new ones are merged one after the other, which takes less time than between look-ups."""
+        found = list(map(self.get, words))
+        new = [i for i, ids in enumerate(found) if ids is None]
+        ids, ends = array(self.kind), [0]
+        for i in new:
+            if (letters := self.letters(words[i])) is not None:
+                ids.extend([t.id for t in self.merges(letters)])
+            ends.append(len(ids))
+        data, width = ids.tobytes(), ids.itemsize
+        for i, begin, end in zip(new, ends, ends[1:]):
+            found[i] = data[width * begin : width * end] if begin < end else self[words[i]]
+            if len(self) < CACHE_WORDS and len(words[i]) <= 64:
+                self[words[i]] = found[i]
+        return found
+
+    def ids_of(self, texts: pa.Array) -> list[bytes]:
+        """ids() of each text, null as empty; what several texts have in common is looked up once for all of them."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        special = pc.match_substring(texts, "<|")
+        whole = {i: self.ids(texts[i].as_py()) for i in np.flatnonzero(special).tolist()}
+        if whole:
+            texts = pc.if_else(special, "", texts)
+        _, ends, data = texts.buffers()
+        ends = np.frombuffer(ends, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = memoryview(data or b"")[ends[0] : ends[-1]].tobytes().lower()
+        ends = ends - ends[0]
+        kinds = np.frombuffer(data.translate(_KINDS), np.uint8)
+        begins = np.empty(len(data), bool)
+        begins[1:] = np.frombuffer((kinds[:-1] << 2 | kinds[1:]).tobytes().translate(_BEGINS), bool)
+        first = ends[:-1][np.diff(ends) > 0]
+        begins[first] = kinds[first] != 1
+        at = np.flatnonzero(begins)
+        units = data.translate(None, _WHITE)
+        # the places of units without white space, and of the texts among units
+        places = np.append(np.cumsum(kinds != 1, dtype=np.int32 if len(data) < 1 << 31 else np.int64)[at] - 1, len(units)).astype(np.int64)
+        found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(places), pa.py_buffer(units)]).dictionary_encode()
+        _, bounds, units = found.dictionary.buffers()
+        bounds, units = np.frombuffer(bounds, np.int64)[: len(found.dictionary) + 1].tolist(), (units or b"") and units.to_pybytes()
+        known = pa.array(self.looked_up([units[a:b] for a, b in zip(bounds, bounds[1:])]), pa.large_binary())
+        _, places, ids = known.take(found.indices).buffers()
+        cuts = np.frombuffer(places, np.int64)[np.searchsorted(at, ends)].tolist()
+        ids = memoryview(ids or b"")
+        return [whole[i] if i in whole else ids[a:b].tobytes() for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+
 
 @functools.cache
 def word_ids(path: str) -> WordIds:
@@ -98,8 +151,8 @@ def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int = 1, window: int
         words = word_ids(tokenizer_path)
         width, end = np.dtype(words.type).itemsize, np.array([end_id], words.type).tobytes()
         of, starts, lengths, totals, ids = [], [], [], [], []
-        for i, text in enumerate(batch.column("text").to_pylist()):
-            data = words.ids(text or "") + end
+        for i, data in enumerate(words.ids_of(batch.column("text"))):
+            data += end
             n = len(data) // width
             for at in range(0, n, window):
                 of.append(i)
@@ -110,7 +163,7 @@ def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int = 1, window: int
         columns = [batch.column("doc_id").take(pa.array(of)), *(pa.array(x, pa.int64()) for x in (starts, lengths, totals)), pa.array(ids, pa.binary())]
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "doc_tokens", "ids"])
 
-    return arrow_map(keyed(docs, id_col, text_col), rows, "doc_id long, start long, length long, doc_tokens long, ids binary")
+    return arrow_map(keyed(docs, id_col, text_col), rows, "doc_id long, start long, length long, doc_tokens long, ids binary", TEXT_BYTES)
 
 
 def document_frequencies(pieces: DataFrame, number_type: str, n_terms: int) -> np.ndarray:
@@ -219,9 +272,7 @@ class Bm25Shard:
         """
         terms = self.terms[self.own[seed] : self.own[seed + 1]]
         row = self.row[terms]
-        scores = np.zeros(self.n, np.float32)
-        for r in row[row >= 0].tolist():
-            scores += self.rows[r]
+        scores = np.add.reduce(self.rows[row[row >= 0]], 0)
         rare = terms[row < 0]
         if len(rare):
             begin, held = self.begin[rare], self.begin[rare + 1] - self.begin[rare]

@@ -2,6 +2,7 @@
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 
 from evlake.llm import packing
 
@@ -111,6 +112,51 @@ def test_words_beyond_the_cache_are_encoded_where_they_occur(monkeypatch):
     assert len(words) == 3
 
 
+def encoded(words, text):
+    return words.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+ODD_TEXTS = [
+    None, "", " ", "\n\t \x0b\x0c\r", "Salt, pepper;\tSALT. salt\r\nsalt", " .a. a.b,c ...x!y?", "don't #'s a'.s .'s '.s x's's. 'll ''re", "12.3% a1,2b 1a#2",
+    "É, é. e\u0301, e.\u0301 a\u0301b .\u0301a n\u0303#\u0303", "\u1100\u1161, \u212b. \u0130! \u1e9e; \ufb01, \u03a3\u03c2.", "a\x1cb.\x85c,\u00a0d \u2028. \u3000, e", "<|endoftext|> A. <|x|>, B", "a <| B,c. |> D", "<|ENDOFTEXT|> e,",
+    "x" * 5000 + ", " + "y." * 70, "日本語,かな. \U0001f600! a\U0001f600.b", "\0a.\0, \x01", ",", "a", "salt.", ".salt",
+]
+
+
+def test_ids_of_many_texts_are_those_of_each(monkeypatch):
+    words = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    rng = np.random.default_rng(4)
+    signs = list("abzAZ  \n\t.,;#'!-1é\u0301\u00a0ßİ<|日")
+    texts = ODD_TEXTS + ["".join(rng.choice(signs, rng.integers(0, 40))) for _ in range(800)]
+    want = [encoded(words, t or "") for t in texts]
+    for room in (packing.CACHE_WORDS, 5):
+        monkeypatch.setattr(packing, "CACHE_WORDS", room)
+        words.clear()
+        for kind in (pa.string(), pa.large_string()):
+            got = words.ids_of(pa.array(["before", *texts, "after"], kind).slice(1, len(texts)))
+            assert [np.frombuffer(x, words.type).tolist() for x in got] == want
+    for texts in ([None], [""], ["", None, " "], ["<|endoftext|>"]):
+        assert [np.frombuffer(x, words.type).tolist() for x in words.ids_of(pa.array(texts, pa.string()))] == [encoded(words, t or "") for t in texts]
+
+
+def test_a_word_of_several_texts_is_looked_up_once():
+    asked = []
+
+    class Words(packing.WordIds):
+        def get(self, word, default=None):
+            asked.append(word)
+            return super().get(word, default)
+
+        def __missing__(self, word):
+            asked.append(word)
+            return super().__missing__(word)
+
+    words = Words(public_tokenizers.path("word_bpe_49k.json"))
+    words.ids_of(pa.array(["Salt and pepper, salt.", "salt; pepper. SALT\nand salt"]))
+    assert sorted(w for w in asked if w.isalpha()) == [b"and", b"pepper", b"salt"]
+    assert len(asked) <= 2 * len(words)
+
+
 def test_frequencies_count_a_piece_once(spark):
     pieces = [np.array(x, "<u2").tobytes() for x in ([1, 2, 1, 1], [2], [5, 5], [1, 5, 2])]
     frame = spark.createDataFrame([(bytearray(p),) for p in pieces], "ids binary").coalesce(1)
