@@ -93,6 +93,7 @@ def _near(a: Column, b: Column, max_bits: int) -> Column:
 
 
 def _cells(rows: DataFrame, masks: list[int]) -> DataFrame:
+    """rows with each of their cells; joins of these hint that they be merged, as Spark sizes an exploded table by what it was before, and would broadcast it."""
     vector = embedding(F.col("fp"))
     return rows.select("*", F.posexplode(F.array(*[vector.bitwiseAND(F.lit(m)) for m in masks])).alias("grid", "cell"))
 
@@ -109,7 +110,7 @@ def stars(fps: DataFrame, max_bits: int = MAX_BITS) -> tuple[DataFrame, DataFram
     masks = _masks(max_bits, grid_groups(different.count(), max_bits))
     least = written(_cells(different, masks).groupBy("grid", "cell").agg(F.min("fp").alias("least"), F.max("fp").alias("last")).where("least < last").drop("last"), "least")
     near = F.expr(_IN_CELL) & (F.col("x.fp") != F.col("y.least")) & _near(F.col("y.least"), F.col("x.fp"), max_bits)
-    met = _cells(different, masks).alias("x").join(least.alias("y"), near)
+    met = _cells(different, masks).alias("x").hint("merge").join(least.alias("y"), near)
     return written(met.select(F.col("y.least").alias("a"), F.col("x.fp").alias("b")).distinct(), "stars"), different, masks
 
 
