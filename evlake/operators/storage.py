@@ -64,6 +64,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return written_at(df, name)[0]
 
 
+#: By how much rows in memory are larger than their Parquet files, at most, where texts are much alike.
+GROWS = 20
+
+
+def sized_as_rows(spark: SparkSession) -> None:
+    """Tells Spark for the session to size files by about what their rows take in memory, as it broadcasts and collects rows, not files; a larger factor stays."""
+    name = "spark.sql.sources.fileCompressionFactor"
+    if float(spark.conf.get(name)) < GROWS:
+        spark.conf.set(name, str(float(GROWS)))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df dealt over all cores, for work on rows that costs far more than their bytes tell: a small file is a single task otherwise."""
     spark = df.sparkSession

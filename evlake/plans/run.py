@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import address_key
 from ..functions.urls import canonical_url
 from ..operators import changes, classify, folds, hash_table, health, locate, publish, resolve, spatial, upsert
-from ..operators.storage import spread, written
+from ..operators.storage import sized_as_rows, spread, written
 
 PRUNE_DAYS = 30
 #: Days after its end from which an event is closed: no step of a run looks at it of itself any more.
@@ -124,6 +124,7 @@ def ingest(state: State, incoming: DataFrame, drafts_of, reference: Reference, n
     enabled ones. Of the raw log only what is new is written; prune_raw() shortens it.
     """
     keys = ["source_id", "native_id"]
+    sized_as_rows(incoming.sparkSession)  # files of records and events are a small part of their rows
     incoming = written(incoming, "incoming")  # several steps read it, and records may be dear to make
     hashes = hash_table.HashTable(incoming.sparkSession, reference.hash_path, keys) if reference.hash_path else None
     told = hashes.detect(incoming, run_id) if hashes else changes.detect_changes(incoming, changes.latest_hashes(state.raw, keys, "fetched_at"), keys)
@@ -248,6 +249,7 @@ def run(state: State, incoming: DataFrame, drafts_of, reference: Reference, now,
     Sources that have been unhealthy for long are passed over but for a weekly probe; they get run rows
     of status disabled.
     """
+    sized_as_rows(incoming.sparkSession)
     moment = F.lit(now).cast("timestamp")
     chosen = written(health.select_sources(reference.sources.where("enabled").select("source_id"), health.source_states(state.runs), moment), "chosen")
     active = chosen.where("fetch").select("source_id")
